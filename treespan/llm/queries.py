@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treespan.llm import bpe, edit_embedding, media, packing, pii, quality, simhash, url_filter
+from treespan.llm import automata, bpe, edit_embedding, media, packing, pii, quality, simhash, suffix_dedup, url_filter
 from treespan.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -47,12 +51,20 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op3_packing, op4_document_fingerprints, op6_media_columns, op7_byte_level_bpe, op8_quality_classifier, op10_pii)}
+    ops = (
+        op1_url_filters, op2_simhash_near_dedup, op3_packing, op4_document_fingerprints, op5_suffix_array_dedup,
+        op6_media_columns, op7_byte_level_bpe, op8_quality_classifier, op9_substring_dedup, op10_pii,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
