@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fitting takes at most so many rows of either label, those of the smallest hash of their id, and none longer than FIT_CHARS.
-FIT_ROWS = 3000
-FIT_CHARS = 20_000
+#: Fitting takes at most so many rows of either label, those of the smallest hash of their id, and no text longer than FIT_CHARS.
+FIT_ROWS = 2000
+FIT_CHARS = 10_000
 DICTIONARY_BYTES = 110 << 10
 LEVEL = 3
 #: Texts are compressed in blocks of nearly equal size, at most so many bytes: else a long text becomes its own dictionary.
@@ -75,14 +75,19 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
     return w
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> Model:
-    """Fits on a bounded sample: at most FIT_ROWS rows of either label (1 good, 0 bad), texts of 1 to FIT_CHARS characters.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fits on a bounded sample: at most FIT_ROWS ids of either label (1 good, 0 bad), texts of 1 to FIT_CHARS characters.
 
-    Every second row makes the dictionaries, the others the calibration. Rows with nulls are left out. With rows
-    of one label or none, every text has the score of that label's share (1/2 if there are none).
+    Ids are chosen among the labels alone, those of smallest hash; then their texts are fetched. Every second text
+    makes the dictionaries, the others the calibration. Rows with nulls are left out. With rows of one label or
+    none, every text has the score of that label's share (1/2 if there are none).
     """
-    rows = labelled.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
-    rows = rows.where(F.col("k").isNotNull() & F.col("y").isNotNull() & (F.length("t") > 0) & (F.length("t") <= FIT_CHARS)).withColumn("h", F.xxhash64(F.col("k").cast("string")))
+    marked = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    marked = marked.withColumn("h", F.xxhash64(F.col("k").cast("string")))
+    # both samples together are at most 2 * FIT_ROWS ids
+    chosen = marked.where("y = 1").orderBy("h", "k").limit(FIT_ROWS).union(marked.where("y = 0").orderBy("h", "k").limit(FIT_ROWS))
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where((F.length("t") > 0) & (F.length("t") <= FIT_CHARS))
+    rows = texts.join(F.broadcast(chosen), "k")
     sample = {y: [r.t for r in rows.where(F.col("y") == y).orderBy("h", "k", "t").limit(FIT_ROWS).collect()] for y in (1, 0)}
     if not (len(sample[1]) > 1 and len(sample[0]) > 1):
         n = len(sample[1]) + len(sample[0])
@@ -111,10 +116,9 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     return df.select(kept).mapInArrow(run, df.select(kept).withColumn(score_col, F.lit(0.0)).schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
-    """The rows that may be learnt from: those with a label whose id's crc32 isn't a multiple of 5."""
-    own = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).where(~held_out(F.col("doc_id")))
-    return docs.select("doc_id", "text").join(own, "doc_id")
+def learnable(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The labels that may be learnt from: those whose id's crc32 isn't a multiple of 5."""
+    return labels.where(~held_out(F.col(id_col)))
 
 
 def held_out(doc_id):

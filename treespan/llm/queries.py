@@ -46,7 +46,7 @@ def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(quality.labelled(docs, table(spark, sf_dir, "labels")))
+    model = quality.fit(docs, quality.learnable(table(spark, sf_dir, "labels")))
     scored = quality.score(docs, model)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
