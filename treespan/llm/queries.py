@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,8 +65,8 @@ def queries():
         op1_url_filters, op2_simhash_near_dedup, op3_packing, op4_document_fingerprints, op5_suffix_array_dedup,
         op6_media_columns, op7_byte_level_bpe, op8_quality_classifier, op9_substring_dedup, op10_pii,
     )
-    return {f.__name__: f for f in ops}
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

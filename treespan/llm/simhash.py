@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treespan.llm.common import materialize
+from treespan.llm.common import materialize, with_row_key
 from treespan.llm.components import components
+from treespan.llm.windows import mix
 
 RADIUS = 2
 SHINGLE = 3
@@ -26,65 +27,93 @@ SPLIT = 2048
 LOOKED_UP = 1 << 13
 
 
-def fingerprint_of(text: str | None, size: int = SHINGLE) -> int:
-    """64 bits: each is 1 if it is 1 in over half the hashes of the shingles, as a signed number; 0 without words."""
+#: Multipliers that make further hashes of a shingle's hash, for fingerprints of more than 64 bits.
+_FURTHER = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def fingerprint_of(text: str | None, size: int = SHINGLE, words: int = 1) -> bytes:
+    """Each bit is 1 if it is 1 in over half the hashes of the shingles; 64 bits a word, least first. All 0 without words.
+
+    Words after the first, at most three, have the bits of hashes made from the shingles' hashes.
+    """
     import xxhash
 
-    words = (text or "").encode().lower().split()  # bytes: A-Z, and white space from 9 to 13 and 32, only
-    if not words:
-        return 0
-    if len(words) < size:
-        said = [b" ".join(words)]
+    said = (text or "").encode().lower().split()  # bytes: A-Z, and white space from 9 to 13 and 32, only
+    if not said:
+        return bytes(8 * words)
+    if len(said) < size:
+        shingles = [b" ".join(said)]
     else:
-        said = map(b" ".join, zip(*(words[i:] for i in range(size))))
+        shingles = map(b" ".join, zip(*(said[i:] for i in range(size))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(s, 42) for s in said], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, len(hashes), 1 << 16):
-        part = hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
-
-
-def fingerprints(df: DataFrame, text_col: str = "text", fingerprint_col: str = "fingerprint", size: int = SHINGLE) -> DataFrame:
-    """Adds the fingerprint of each whole text as a long; null and empty texts have 0. A column of that name is replaced."""
+    hashes = np.fromiter([digest(s, 42) for s in shingles], np.uint64)
+    ones = np.zeros((words, 64), np.int64)
+    for a in range(0, len(hashes), 1 << 14):
+        part = hashes[a : a + (1 << 14)]
+        for w in range(words):
+            own = part if w == 0 else mix(part * np.uint64(_FURTHER[w - 1]))
+            ones[w] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").tobytes()
+
+
+def fingerprints(df: DataFrame, text_col: str = "text", fingerprint_col: str = "fingerprint", size: int = SHINGLE, words: int = 0) -> DataFrame:
+    """Puts the fingerprint of each whole text in the text's place, as a long or, of `words` words, as bytes; null and empty texts have 0. A column of that name is replaced."""
     kept = [c for c in df.columns if c not in (fingerprint_col, text_col)]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            made = [fingerprint_of(t, size) for t in b.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.int64())], names=[*kept, fingerprint_col])
+            made = [fingerprint_of(t, size, words or 1) for t in b.column(len(kept)).to_pylist()]
+            made = pa.array(made, pa.binary()) if words else pa.array(np.frombuffer(b"".join(made), "<i8"), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*kept, fingerprint_col])
 
-    return df.select(*kept, text_col).mapInArrow(run, df.select(*kept).withColumn(fingerprint_col, F.lit(0).cast("long")).schema)
+    return df.select(*kept, text_col).mapInArrow(run, df.select(*kept).withColumn(fingerprint_col, F.lit(None).cast("binary" if words else "long")).schema)
 
 
 class Forest:
-    """BK-trees over fingerprints, one for each shard: a child lies under its parent by its distance, at most one each."""
+    """BK-trees over fingerprints, one for each shard: a child lies under its parent by its distance, at most one each.
 
-    def __init__(self, shard: np.ndarray, value: np.ndarray):
-        """Values of equal shard follow each other and differ; the first of a shard is its root."""
+    `absorb`, where true, lets a value that meets a node within the radius on its way down end there instead of
+    becoming a node: a tree of a large group of near copies stays small. Such values are in `held` by their node.
+    """
+
+    def __init__(self, shard: np.ndarray, value: np.ndarray, radius: int, absorb: np.ndarray | None = None):
+        """Values, a row of words each, of equal shard follow each other and differ; the first of a shard is its root."""
         n = len(value)
-        self.value = value
+        self.value, self.radius, self.far = value, radius, 64 * value.shape[1] + 1
         first = np.concatenate([[True], shard[1:] != shard[:-1]]) if n else np.zeros(0, bool)
         self.root = np.flatnonzero(first)[np.cumsum(first) - 1] if n else np.zeros(0, np.int64)
-        edge = np.full(n, -1, np.int64)  # parent * 65 + distance
+        edge = np.full(n, -1, np.int64)  # parent * far + distance
         cur, waiting = self.root.copy(), np.flatnonzero(~first)
+        at_node, below = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(waiting):
             under = cur[waiting]
-            code = under * 65 + np.bitwise_count(value[waiting] ^ value[under])
+            distance = self.distance(waiting, under)
+            if absorb is not None and (near := (distance <= radius) & absorb[waiting]).any():
+                at_node.append(under[near])
+                below.append(waiting[near])
+                waiting, under, distance = waiting[~near], under[~near], distance[~near]
+            code = under * self.far + distance
             _, at, back = np.unique(code, return_index=True, return_inverse=True)
             child = waiting[at]
             edge[child] = code[at]
             cur[waiting] = child[back]
             waiting = waiting[cur[waiting] != waiting]
-        self.child = np.argsort(edge, kind="stable")
+        self.held = np.concatenate(at_node), np.concatenate(below)
+        node = np.ones(n, bool)
+        node[self.held[1]] = False
+        self.nodes = np.flatnonzero(node)
+        self.child = self.nodes[np.argsort(edge[self.nodes], kind="stable")]
         self.edges = edge[self.child]
 
-    def within(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i, j), i < j, of values of a shard at most `radius` apart."""
-        for a in range(0, len(self.value), LOOKED_UP):
-            asked = np.arange(a, min(len(self.value), a + LOOKED_UP))
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.value[i] ^ self.value[j]).sum(axis=1, dtype=np.int64)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of values of a shard at most the radius apart: each two nodes, and each value that a node holds with it."""
+        if len(self.held[0]):
+            yield self.held
+        for a in range(0, len(self.nodes), LOOKED_UP):
+            asked = self.nodes[a : a + LOOKED_UP]
             todo = [(asked, self.root[asked])]
             while todo:
                 asked, node = todo.pop()
@@ -92,12 +121,12 @@ class Forest:
                     half = len(asked) // 2
                     todo += [(asked[:half], node[:half]), (asked[half:], node[half:])]
                     continue
-                far = np.bitwise_count(self.value[asked] ^ self.value[node]).astype(np.int64)
-                hit = (far <= radius) & (asked < node)
+                distance = self.distance(asked, node)
+                hit = (distance <= self.radius) & (asked < node)
                 if hit.any():
                     yield asked[hit], node[hit]
-                low = np.searchsorted(self.edges, node * 65 + np.maximum(far - radius, 1), "left")
-                count = np.searchsorted(self.edges, node * 65 + np.minimum(far + radius, 64), "right") - low
+                low = np.searchsorted(self.edges, node * self.far + np.maximum(distance - self.radius, 0), "left")
+                count = np.searchsorted(self.edges, node * self.far + np.minimum(distance + self.radius, self.far - 1), "right") - low
                 if total := int(count.sum()):
                     which = np.repeat(np.arange(len(asked)), count)
                     step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
@@ -134,10 +163,10 @@ def _links(radius: int):
             order = np.lexsort((v, s))
             s, v = s[order], v[order]
             new = np.concatenate([[True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])])
-            forest = Forest(s[new], v[new])
-            to = firsts(len(forest.value), forest.within(radius))
+            forest = Forest(s[new], v[new][:, None], radius)
+            to = firsts(len(forest.value), forest.pairs())
             moved = np.flatnonzero(to != np.arange(len(to)))
-            return pa.RecordBatch.from_arrays([pa.array(forest.value[x].view(np.int64)) for x in (moved, to[moved])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(forest.value[x, 0].view(np.int64)) for x in (moved, to[moved])], names=["a", "b"])
 
         for b in parts:
             shard = np.concatenate([shard, b.column(0).to_numpy()])
@@ -193,3 +222,87 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("value").alias("fingerprint"), "component_id")
     return docs.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For documents that are similar rather than nearly equal: words of a fingerprint, bits that two of a shard share,
+#: shards that each document is dealt to, and the radius, which stands for a Jaccard similarity of 0.8 of the
+#: shingles: their cosine is then 2 * 0.8 / 1.8, and a share of acos(cosine) / pi = 0.15 of 256 bits differs.
+WORDS = 4
+SHARD_BITS = 16
+SHARDS = 48
+SIMILAR_RADIUS = 38
+#: Fingerprints of a shard beyond which near ones end at a node.
+DENSE = 256
+
+
+def _bits(shard: int) -> np.ndarray:
+    return np.random.default_rng([2, shard]).choice(64 * WORDS, SHARD_BITS, replace=False)
+
+
+def _dealt(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, key, fingerprint), SHARDS for each (key, fingerprint)."""
+    chosen = np.stack([_bits(i) for i in range(SHARDS)])
+    for b in parts:
+        for a in range(0, b.num_rows, 4096):
+            part = b.slice(a, 4096)
+            fps = np.frombuffer(b"".join(part.column("fingerprint").to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+            bits = np.unpackbits(fps, axis=1, bitorder="little")[:, chosen].astype(np.int64)  # row, shard, bit
+            shard = (bits << np.arange(SHARD_BITS)).sum(axis=2) | (np.arange(SHARDS, dtype=np.int64) << SHARD_BITS)
+            at = pa.array(np.repeat(np.arange(len(fps)), SHARDS))
+            yield pa.RecordBatch.from_arrays([pa.array(shard.ravel()), part.column("key").take(at), part.column("fingerprint").take(at)], names=["shard", "key", "fingerprint"])
+
+
+def _similar(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (shard, key, fingerprint) in order of shard: each key, and the first that it is joined to there."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def made(shard, key, value) -> pa.RecordBatch:
+        _, at, count = np.unique(shard, return_inverse=True, return_counts=True)
+        forest = Forest(shard, value, SIMILAR_RADIUS, count[at] > DENSE)
+        to = firsts(len(value), forest.pairs())
+        moved = np.flatnonzero(to != np.arange(len(to)))
+        return pa.RecordBatch.from_arrays([pa.array(key[moved]), pa.array(key[to[moved]])], names=["a", "b"])
+
+    def all_held():
+        return tuple(np.concatenate(x) for x in zip(*held))
+
+    for b in parts:
+        if not b.num_rows:
+            continue
+        value = np.frombuffer(b"".join(b.column("fingerprint").to_pylist()), np.uint64).reshape(-1, WORDS)
+        held.append((b.column("shard").to_numpy(), b.column("key").to_numpy(), value))
+        shard, key, value = all_held()
+        whole = int(np.searchsorted(shard, shard[-1], "left"))
+        held = [(shard[whole:], key[whole:], value[whole:])]
+        if whole:
+            yield made(shard[:whole], key[:whole], value[:whole])
+    if held:
+        yield made(*all_held())
+
+
+def similar(df: DataFrame, key_col: str, text_col: str = "text", size: int = 5) -> DataFrame:
+    """(key, group): rows of one group are joined by steps of a similarity of 0.8 or more, as their fingerprints show.
+
+    The key is a long that differs between rows. Texts of equal fingerprints, such as copies, are one value. Two
+    similar values share one of SHARDS random sets of SHARD_BITS bits with a probability of 0.97 at the similarity of
+    0.8 (0.998 at 0.85), then their whole fingerprints decide. Texts without words are one group.
+    """
+    docs = materialize(fingerprints(df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")), size=size, words=WORDS))
+    values = materialize(docs.groupBy("fingerprint").agg(F.min("key").alias("key")))
+    dealt = values.select("key", "fingerprint").mapInArrow(_dealt, "shard long, key long, fingerprint binary")
+    found = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_similar, "a long, b long")
+    joined = components(found)
+    named = values.join(joined.select(F.col("node").alias("key"), "root"), "key", "left").select("fingerprint", F.coalesce("root", "key").alias("group"))
+    return docs.join(named, "fingerprint").select(F.col("key").alias(key_col), "group")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """The rows less all but one of each group of similar texts: that of smallest id stays, nulls last."""
+    key = "__row"
+    while key in df.columns:
+        key += "_"
+    rows = with_row_key(df, key)
+    groups = similar(rows, key, text_col, size).withColumnRenamed("group", "__group")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(key))
+    stay = rows.select(id_col, key).join(groups, key).groupBy("__group").agg(F.min(order).alias("m")).select(F.col("m")[key].alias(key))
+    return rows.join(stay, key, "left_semi").drop(key)
