@@ -15,6 +15,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -287,8 +288,11 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("double").alias("id"))
     n = min(MOST_BUCKETS, ids.count() // BUCKET_ROWS)
     bounds = sorted(set(ids.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    bucket = F.expr(f"width_bucket(cast(doc_id as double), array({', '.join(f'{b!r}D' for b in bounds)}))") if bounds else F.lit(0)
-    dealt = docs.withColumn("bucket", F.coalesce(bucket.cast("int"), F.lit(0)))
+    dealt = docs.withColumn("bucket", F.lit(0))
+    if bounds:
+        at = docs.withColumn("__at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf"))))
+        cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__at", outputCol="__bucket")
+        dealt = cut.transform(at).select("doc_id", "text", F.col("__bucket").cast("int").alias("bucket"))
     mark = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")
     firsts = sorted((r.bucket, r.first.doc_id) for r in dealt.groupBy("bucket").agg(F.min(mark).alias("first")).collect())
     closes = [(b, firsts[i - 1][0], d) for i, (b, d) in enumerate(firsts)]

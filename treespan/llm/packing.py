@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treespan.llm.bpe import Pieces
+from treespan.llm.bpe import Pieces, byte_table
 from treespan.llm.common import materialize
 
 WINDOW = 4096
@@ -24,6 +24,8 @@ END = 2
 SHARD = 4096
 
 _UNSURE = re.compile("[\x1c-\x1f]")
+#: Letters that have one form in lower case and are their own normal form, then ASCII signs other than the apostrophe.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _WHITE = re.compile(r"[ \t\n\r\v\f]+")
 
 
@@ -36,7 +38,21 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.words = Pieces(lambda w: self.library.encode(w, add_special_tokens=False).ids)
+        self.model, self.byte = self.library.model, byte_table()
+        self.parts = Pieces(self._part)
+        self.words = Pieces(self._word)
+
+    def _part(self, part: str) -> list[int]:
+        """One match of the vocabulary's pattern, given in lower case."""
+        return [t.id for t in self.model.tokenize("".join(map(self.byte.__getitem__, part.encode())))]
+
+    def _word(self, word: str) -> list[int]:
+        """Letters and what follows them are two matches; the library itself cuts up all other words."""
+        if m := _PLAIN.fullmatch(word):
+            letters, rest = m.groups()
+            ids = self.parts[letters.lower()]
+            return np.frombuffer(ids + self.parts[rest] if rest else ids, "<u4")
+        return self.library.encode(word, add_special_tokens=False).ids
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids. What only str.split() takes for white space isn't cut at."""
