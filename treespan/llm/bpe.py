@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,12 @@ def token_bytes(token: str, back: dict[str, int]) -> bytes:
     return bytes(back[ch] for ch in token)
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Pieces(dict):
-    """Ids of pieces of text as bytes of unsigned 32-bit numbers, computed when first asked for."""
+    """Ids of pieces of text as bytes of little-endian unsigned 32-bit numbers, computed when first asked for."""
 
     def __init__(self, encode):
         self.encode = encode
@@ -37,7 +42,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(self.encode(piece), "<u4").tobytes()
+        ids = self.encode(piece)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -61,8 +66,8 @@ class ByteBPE:
         size = self.library.get_vocab_size()
         self.bytes = [token_bytes(t, back) if (t := self.library.id_to_token(i)) not in known else t.encode() for i in range(size)]
         self.decimal = [b"%d" % i for i in range(size)]
-        self.first = Pieces(lambda p: self.library.encode(p, add_special_tokens=False).ids)
-        self.later = Pieces(lambda p: self.library.encode(" " + p, add_special_tokens=False).ids)
+        self.first = Pieces(lambda p: as_bytes(self.library.encode(p, add_special_tokens=False).ids))
+        self.later = Pieces(lambda p: as_bytes(self.library.encode(" " + p, add_special_tokens=False).ids))
 
     def encode(self, text: str | None) -> np.ndarray:
         head, *tail = _CUT.split(text or "")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treespan.llm.bpe import Pieces, byte_table
+from treespan.llm.bpe import Pieces, as_bytes, byte_table
 from treespan.llm.common import materialize
 
 WINDOW = 4096
@@ -42,17 +42,18 @@ class Tokens:
         self.parts = Pieces(self._part)
         self.words = Pieces(self._word)
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         """One match of the vocabulary's pattern, given in lower case."""
-        return [t.id for t in self.model.tokenize("".join(map(self.byte.__getitem__, part.encode())))]
+        shown = part if part.isascii() else "".join(map(self.byte.__getitem__, part.encode()))
+        return as_bytes([t.id for t in self.model.tokenize(shown)])
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         """Letters and what follows them are two matches; the library itself cuts up all other words."""
         if m := _PLAIN.fullmatch(word):
             letters, rest = m.groups()
             ids = self.parts[letters.lower()]
-            return np.frombuffer(ids + self.parts[rest] if rest else ids, "<u4")
-        return self.library.encode(word, add_special_tokens=False).ids
+            return ids + self.parts[rest] if rest else ids
+        return as_bytes(self.library.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids. What only str.split() takes for white space isn't cut at."""
