@@ -2,3 +2,4 @@
 
 from treespan.plans import scalar_queries  # noqa: F401
 from treespan.plans.registry import QUERIES, SQL  # noqa: F401
+from treespan.plans import tree_queries  # noqa: F401
