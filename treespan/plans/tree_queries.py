@@ -169,10 +169,16 @@ add("sort_unsort", lambda spark, sf_dir: P.numbered(_sorted(spark, sf_dir), ["bo
 
 # sorts, limits and scans
 add("sort_by_keys", lambda spark, sf_dir: _keyed(spark, sf_dir, "parts").select("key", "body_id").orderBy("key", "body_id"), f"WITH {S.keyed('parts')} SELECT key, body_id FROM k")
+
+
+def _placed(spark: SparkSession, sf_dir: str, order: list[str]) -> DataFrame:
+    cell, rank = K3.prefix(F.col("key"), 1).alias("cell"), F.pmod("body_id", F.lit(4)).alias("rank")
+    return P.numbered(_keyed(spark, sf_dir).select("body_id", "key", cell, rank), order, "place").select("body_id", "place")
+
+
 for _n, _o in (("sort_by_perm", ["key", "body_id"]), ("sort_radix", ["key", "body_id"]), ("sort_counting", ["cell", "body_id"]), ("sort_irank", ["rank", "body_id"]), ("sort_ibody", ["body_id"])):
-    _expr = {"cell": (K3.prefix(F.col("key"), 1), S.prefix("key", "1")), "rank": (F.pmod("body_id", F.lit(4)), "body_id % 4")}
-    add(_n, lambda spark, sf_dir, o=_o: P.numbered(_keyed(spark, sf_dir).select("body_id", "key", _expr["cell"][0].alias("cell"), _expr["rank"][0].alias("rank")), o, "place").select("body_id", "place"),
-        f"WITH {S.keyed('b3')}, q AS (SELECT body_id, key, {_expr['cell'][1]} AS cell, {_expr['rank'][1]} AS rank FROM k) SELECT body_id, ROW_NUMBER() OVER (ORDER BY {', '.join(_o)}) - 1 AS place FROM q")
+    add(_n, lambda spark, sf_dir, o=_o: _placed(spark, sf_dir, o),
+        f"WITH {S.keyed('b3')}, q AS (SELECT body_id, key, {S.prefix('key', '1')} AS cell, body_id % 4 AS rank FROM k) SELECT body_id, ROW_NUMBER() OVER (ORDER BY {', '.join(_o)}) - 1 AS place FROM q")
 add("lim_first_n", lambda spark, sf_dir: B.b3(spark, sf_dir).select("body_id").orderBy("body_id").limit(100), f"WITH {B.SQL['b3']} SELECT body_id FROM b ORDER BY body_id LIMIT 100")
 add("lim_stride", lambda spark, sf_dir: P.strided(B.b3(spark, sf_dir).select("body_id"), "body_id", 100), f"WITH {B.SQL['b3']}, n AS (SELECT body_id, ROW_NUMBER() OVER (ORDER BY body_id) - 1 AS n, COUNT(*) OVER () AS m FROM b) SELECT body_id FROM n WHERE n % GREATEST(m // 100, 1) = 0 AND n // GREATEST(m // 100, 1) < 100")
 add("lim_np_check", lambda spark, sf_dir: B.parts(spark, sf_dir).agg(F.least(F.lit(100), F.count("*")).alias("n")), f"WITH {B.SQL['parts']} SELECT LEAST(100, COUNT(*)) AS n FROM b")
