@@ -225,12 +225,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 #: For documents that are similar rather than nearly equal: words of a fingerprint, bits that two of a shard share,
-#: shards that each document is dealt to, and the radius, which stands for a Jaccard similarity of 0.8 of the
-#: shingles: their cosine is then 2 * 0.8 / 1.8, and a share of acos(cosine) / pi = 0.15 of 256 bits differs.
+#: shards that each document is dealt to, and the radius. At a Jaccard similarity of 0.8 of the shingles their cosine
+#: is 2 * 0.8 / 1.8, and a share of acos(cosine) / pi = 0.15 of 256 bits differs.
 WORDS = 4
 SHARD_BITS = 16
-SHARDS = 48
-SIMILAR_RADIUS = 38
+SHARDS = 72
+SIMILAR_RADIUS = 50
+#: Differing bits at a similarity of 0.8 are 38 on average, give or take 5.7: so many are taken for a similarity of at
+#: least that, and from there to the radius the texts themselves decide, for each document and its NEAREST candidates.
+SURE_BITS = 26
+SIMILARITY = 0.8
+NEAREST = 3
 #: Fingerprints of a shard beyond which near ones end at a node.
 DENSE = 256
 
@@ -253,15 +258,19 @@ def _dealt(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (shard, key, fingerprint) in order of shard: each key, and the first that it is joined to there."""
+    """Over rows (shard, key, fingerprint) in order of shard: each key, and the nearest of those before it there."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def made(shard, key, value) -> pa.RecordBatch:
         _, at, count = np.unique(shard, return_inverse=True, return_counts=True)
         forest = Forest(shard, value, SIMILAR_RADIUS, count[at] > DENSE)
-        to = firsts(len(value), forest.pairs())
-        moved = np.flatnonzero(to != np.arange(len(to)))
-        return pa.RecordBatch.from_arrays([pa.array(key[moved]), pa.array(key[to[moved]])], names=["a", "b"])
+        none = np.int64(1 << 62)
+        best = np.full(len(value), none)
+        for i, j in forest.pairs():
+            np.minimum.at(best, np.maximum(i, j), forest.distance(i, j) << 40 | np.minimum(i, j))
+        near = np.flatnonzero(best < none)
+        cols = (key[near], key[best[near] & ((1 << 40) - 1)], best[near] >> 40)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "bits"])
 
     def all_held():
         return tuple(np.concatenate(x) for x in zip(*held))
@@ -280,20 +289,52 @@ def _similar(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(*all_held())
 
 
+def _alike(size: int):
+    """Of rows (a, b, x, y) those whose texts x and y have a Jaccard similarity of SIMILARITY or more."""
+    import xxhash
+
+    def shingles(text: str | None) -> set[int]:
+        said = (text or "").encode().lower().split()
+        if len(said) < size:
+            return {xxhash.xxh64_intdigest(b" ".join(said))} if said else set()
+        return set(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(said[i:] for i in range(size))))))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            keep = []
+            for x, y in zip(p.column("x").to_pylist(), p.column("y").to_pylist()):
+                x, y = shingles(x), shingles(y)
+                keep.append(len(x & y) >= SIMILARITY * len(x | y))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([p.column("a").filter(keep), p.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def similar(df: DataFrame, key_col: str, text_col: str = "text", size: int = 5) -> DataFrame:
-    """(key, group): rows of one group are joined by steps of a similarity of 0.8 or more, as their fingerprints show.
+    """(key, group): rows of one group are joined by steps of a similarity of 0.8 or more of their shingles.
 
     The key is a long that differs between rows. Texts of equal fingerprints, such as copies, are one value. Two
-    similar values share one of SHARDS random sets of SHARD_BITS bits with a probability of 0.97 at the similarity of
-    0.8 (0.998 at 0.85), then their whole fingerprints decide. Texts without words are one group.
+    values of a similarity of 0.8 share one of SHARDS random sets of SHARD_BITS bits with a probability of about 0.98
+    and lie within the radius with one of 0.98. Texts without words are one group.
     """
-    docs = materialize(fingerprints(df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")), size=size, words=WORDS))
-    values = materialize(docs.groupBy("fingerprint").agg(F.min("key").alias("key")))
+    docs = df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
+    marked = materialize(fingerprints(docs, size=size, words=WORDS))
+    values = materialize(marked.groupBy("fingerprint").agg(F.min("key").alias("key")))
     dealt = values.select("key", "fingerprint").mapInArrow(_dealt, "shard long, key long, fingerprint binary")
-    found = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_similar, "a long, b long")
-    joined = components(found)
+    found = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_similar, "a long, b long, bits long")
+    found = materialize(found.distinct())
+    # at most SHARDS candidates each
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct("bits", "b"))), 1, NEAREST)
+    unsure = found.where(F.col("bits") > SURE_BITS).groupBy("a").agg(nearest.alias("n")).select("a", F.explode("n.b").alias("b"))
+    asked = unsure.select(F.col("a").alias("key")).union(unsure.select("b")).distinct()
+    texts = materialize(docs.join(asked, "key"))
+    side = lambda k, t: texts.select(F.col("key").alias(k), F.col("text").alias(t))
+    pairs = unsure.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    sure = found.where(F.col("bits") <= SURE_BITS).select("a", "b")
+    joined = components(sure.union(pairs.mapInArrow(_alike(size), "a long, b long")))
     named = values.join(joined.select(F.col("node").alias("key"), "root"), "key", "left").select("fingerprint", F.coalesce("root", "key").alias("group"))
-    return docs.join(named, "fingerprint").select(F.col("key").alias(key_col), "group")
+    return marked.join(named, "fingerprint").select(F.col("key").alias(key_col), "group")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
