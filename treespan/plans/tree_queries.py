@@ -70,9 +70,9 @@ def _sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the first bodies in the given order, a hundredth but at least 100
 add("tree_sample", lambda spark, sf_dir: P.sample_first(_keyed(spark, sf_dir, "parts"), "body_id").select("body_id", "key"),
     f"WITH {S.keyed('parts')} SELECT body_id, key FROM (SELECT body_id, key, ROW_NUMBER() OVER (ORDER BY body_id) AS n, COUNT(*) OVER () AS m FROM k) WHERE n <= GREATEST(CAST(FLOOR(m * 0.01) AS BIGINT), LEAST(100, m))")
-_SCAN = f"""n AS (SELECT {S.prefix('key', '4')} AS cell, COUNT(*) AS nb FROM k GROUP BY 1),
-s AS (SELECT cell, nb, SUM(nb) OVER (ORDER BY cell) AS scan, SUM(nb) OVER () AS m FROM n)"""
-_HEADS = f"{_SCAN}, h AS (SELECT r AS rank, CASE WHEN r = 0 THEN 0 ELSE MIN(cell) END AS head FROM s, (SELECT UNNEST(range(0, 8)) AS r) WHERE scan > (m // 8) * r GROUP BY r)"
+_SCAN = f"""hn AS (SELECT {S.prefix('key', '4')} AS cell, COUNT(*) AS nb FROM k GROUP BY 1),
+hs AS (SELECT cell, nb, SUM(nb) OVER (ORDER BY cell) AS scan, SUM(nb) OVER () AS m FROM hn)"""
+_HEADS = f"{_SCAN}, h AS (SELECT r AS rank, CASE WHEN r = 0 THEN 0 ELSE MIN(cell) END AS head FROM hs, (SELECT UNNEST(range(0, 8)) AS r) WHERE scan > (m // 8) * r GROUP BY r)"
 _OWNED = f"WITH {S.keyed('lineitems')}, {_HEADS}"
 add("tree_partition_space", lambda spark, sf_dir: P.heads(_keyed(spark, sf_dir, "lineitems"), K3, 8),
     f"{_OWNED} SELECT CAST(rank AS INTEGER) AS rank, head FROM h")
