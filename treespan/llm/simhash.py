@@ -328,7 +328,8 @@ def similar(df: DataFrame, key_col: str, text_col: str = "text", size: int = 5)
     nearest = F.slice(F.array_sort(F.collect_list(F.struct("bits", "b"))), 1, NEAREST)
     unsure = found.where(F.col("bits") > SURE_BITS).groupBy("a").agg(nearest.alias("n")).select("a", F.explode("n.b").alias("b"))
     asked = unsure.select(F.col("a").alias("key")).union(unsure.select("b")).distinct()
-    texts = materialize(docs.join(asked, "key"))
+    # always by shuffle, so that what is moved follows the input at every size
+    texts = materialize(docs.join(asked.hint("merge"), "key"))
     side = lambda k, t: texts.select(F.col("key").alias(k), F.col("text").alias(t))
     pairs = unsure.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     sure = found.where(F.col("bits") <= SURE_BITS).select("a", "b")
