@@ -1,5 +1,6 @@
 """The pipeline's stages on the smallest data, each held against its own input."""
 
+import random
 import re
 import zlib
 
@@ -7,7 +8,7 @@ import corpus_pipeline as pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from treespan.llm import pii
+from treespan.llm import pii, simhash
 from treespan.llm.common import materialize, table
 
 DATA = "/root/testdata/sf0.001"
@@ -83,3 +84,61 @@ def test_packed_whole(spark, kept):
     seq = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("e"))
     assert seq.where("n > 4096 or n <> e").count() == 0
     assert pipeline.run(spark, DATA).count() == got.count()
+
+
+def edited(rng, words, share):
+    """The words, a share of them made anew."""
+    out = list(words)
+    for i in rng.sample(range(len(out)), max(1, int(share * len(out)))):
+        out[i] = f"n{rng.randrange(1 << 40)}"
+    return out
+
+
+def family(seed=5, variants=300, copies=40):
+    """A template's variants, of a similarity of 0.7 to 0.79 to each other, near copies of 0.8 to 0.88 of some of them, and texts alone."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(300)]
+    texts = [template[:-40] + [f"o{rng.randrange(1 << 40)}" for _ in range(rng.randrange(38, 54))] for _ in range(variants)]
+    texts += [edited(rng, texts[7 * k % variants], 0.014 + 0.008 * (k % 2)) for k in range(copies)]
+    texts += [[f"a{rng.randrange(1 << 40)}" for _ in range(60)] for _ in range(40)]
+    return [" ".join(t) for t in texts]
+
+
+def components_of(texts):
+    """The least index of each text's component at a similarity of exactly 0.8, by brute force."""
+    s = [shingles(t) for t in texts]
+    root = list(range(len(s)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(s)):
+        for j in range(i):
+            x = len(s[i] & s[j])
+            if 5 * x >= 4 * (len(s[i]) + len(s[j]) - x):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [top(i) for i in range(len(s))]
+
+
+def grouped_of(spark, texts):
+    got = {r.k: r.group for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k").collect()}
+    least = {}
+    for k in sorted(got):
+        least.setdefault(got[k], k)
+    return [least[got[k]] for k in range(len(texts))]
+
+
+def errors(got, want):
+    """Shares of linked pairs that are not of one group, and of pairs of one group that nothing links."""
+    n = range(len(want))
+    linked = [(i, j) for i in n for j in range(i) if want[i] == want[j]]
+    joined = [(i, j) for i in n for j in range(i) if got[i] == got[j]]
+    return sum(got[i] != got[j] for i, j in linked) / len(linked), sum(want[i] != want[j] for i, j in joined) / max(1, len(joined))
+
+
+def test_dense_family_loses_no_link(spark):
+    texts = family()
+    assert errors(grouped_of(spark, texts), components_of(texts))[0] == 0

@@ -9,6 +9,7 @@ bits are fixed and a shard has 2^16 fingerprints at most. Each tree goes to one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -235,9 +236,15 @@ SIMILAR_RADIUS = 50
 #: least that, and from there to the radius the texts themselves decide, for each document and its NEAREST candidates.
 SURE_BITS = 26
 SIMILARITY = 0.8
+NUM, DEN = Fraction(str(SIMILARITY)).as_integer_ratio()
 NEAREST = 3
 #: Fingerprints of a shard beyond which near ones end at a node.
 DENSE = 256
+#: One row of so many is counted to learn which shingles are common, the most of them that are told to all tasks, and
+#: pairs of postings that are held at once.
+COUNTED = 16
+MOST_COMMON = 250_000
+PAIRS_AT_ONCE = 1 << 20
 
 
 def _bits(shard: int) -> np.ndarray:
@@ -289,34 +296,145 @@ def _similar(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(*all_held())
 
 
-def _alike(size: int):
-    """Of rows (a, b, x, y) those whose texts x and y have a Jaccard similarity of SIMILARITY or more."""
+def shingles_of(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; a text of fewer words is one shingle, one of none has none."""
     import xxhash
 
-    def shingles(text: str | None) -> set[int]:
-        said = (text or "").encode().lower().split()
-        if len(said) < size:
-            return {xxhash.xxh64_intdigest(b" ".join(said))} if said else set()
-        return set(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(said[i:] for i in range(size))))))
+    said = (text or "").encode().lower().split()
+    if not said:
+        return np.zeros(0, np.uint64)
+    parts = [b" ".join(said)] if len(said) < size else map(b" ".join, zip(*(said[i:] for i in range(size))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64))
+
+
+def _alike(size: int):
+    """Of rows (a, b, x, y) those whose texts x and y have a Jaccard similarity of SIMILARITY or more."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
             keep = []
             for x, y in zip(p.column("x").to_pylist(), p.column("y").to_pylist()):
-                x, y = shingles(x), shingles(y)
-                keep.append(len(x & y) >= SIMILARITY * len(x | y))
+                x, y = shingles_of(x, size), shingles_of(y, size)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([p.column("a").filter(keep), p.column("b").filter(keep)], names=["a", "b"])
 
     return run
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar. Texts always move by shuffle, so that what is moved follows the input at every size."""
+    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    texts = materialize(docs.join(asked.hint("merge"), "key"))
+    side = lambda k, t: texts.select(F.col("key").alias(k), F.col("text").alias(t))
+    both = pairs.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
+    return materialize(both.mapInArrow(_alike(size), "a long, b long"))
+
+
+def _postings(size: int, common: np.ndarray):
+    """Over rows (key, group, text): a row for each shingle of the prefix of each text.
+
+    Shingles of a text are in one order for all texts: `common` ones last, as they come there, others by their hash.
+    """
+    by = np.argsort(common)
+    known = common[by]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            made = []
+            for t in b.column("text").to_pylist():
+                own = shingles_of(t, size)
+                rank = np.zeros(len(own), np.int64)
+                if len(known) and len(own):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, by[at] + 1, 0)
+                own = own[np.lexsort((own, rank))]
+                made.append((own[: len(own) - -(-NUM * len(own) // DEN) + 1], len(own)))
+            count = np.array([len(x) for x, _ in made], np.int64)
+            if not count.sum():
+                continue
+            at = pa.array(np.repeat(np.arange(len(made)), count))
+            place = np.concatenate([np.int64(n) << 32 | np.arange(len(x), dtype=np.int64) for x, n in made])
+            shingle = np.concatenate([x for x, _ in made]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), b.column("group").take(at), b.column("key").take(at), pa.array(place)], names=["shingle", "group", "key", "place"])
+
+    return run
+
+
+def _meeting(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over postings in order of shingle and group: pairs of keys of different groups that the places leave possible."""
+    names = ("shingle", "group", "key", "place")
+
+    def made(shingle, group, key, place) -> Iterator[pa.RecordBatch]:
+        new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
+        run = new | np.concatenate([[True], group[1:] != group[:-1]])
+        ends = lambda first: np.append(np.flatnonzero(first), len(first))[np.cumsum(first)]
+        begin = ends(run)  # of the next group
+        count = ends(new) - begin
+        upto = np.cumsum(count)
+        size, at = place >> 32, place & 0xFFFFFFFF
+        low = 0
+        while low < len(key):
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS_AT_ONCE, "right")))
+            c = count[low:high]
+            x = np.repeat(np.arange(low, high), c)
+            y = np.repeat(begin[low:high] - (np.cumsum(c) - c), c) + np.arange(len(x))
+            need = -(-NUM * (size[x] + size[y]) // (NUM + DEN))
+            fits = (at[x] <= size[x] - need) & (at[y] <= size[y] - need)
+            x, y = key[x[fits]], key[y[fits]]
+            low = high
+            if len(x):
+                pair = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for b in parts:
+        if not b.num_rows:
+            continue
+        held.append(tuple(b.column(n).to_numpy() for n in names))
+        if held[0][0][0] != held[-1][0][-1] and sum(len(h[0]) for h in held) >= 1 << 16:
+            rows = tuple(np.concatenate(x) for x in zip(*held))
+            whole = len(rows[0]) - int(np.argmax(rows[0][::-1] != rows[0][-1]))
+            held = [tuple(x[whole:] for x in rows)]
+            yield from made(*(x[:whole] for x in rows))
+    if held:
+        yield from made(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _common(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles that many texts have, the most common last. Of a sample: any order finds the same pairs, a good one few others."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(t, size).view(np.int64))], names=["shingle"])
+
+    some = docs.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0).select("text").mapInArrow(run, "shingle long")
+    top = some.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle")
+    return np.array([r.shingle for r in top.collect()][::-1], np.int64).view(np.uint64)
+
+
+def unmet(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
+    """(a, b): all pairs of keys of different groups that can be similar, and some others. Exact: no similar pair is missing.
+
+    `docs` has key and text, `groups` has key and group of those that count. Where two sets of m and n shingles are
+    similar, they share 0.8 / 1.8 * (m + n); so, with the shingles of both in the same order, the first that they
+    share has as many from there to the end of either. Only the first fifth of a set can hold it.
+    """
+    # by shuffle at every size, as above
+    rows = docs.join(groups.hint("merge"), "key").select("key", "group", "text")
+    postings = rows.mapInArrow(_postings(size, _common(docs, size)), "shingle long, group long, key long, place long")
+    met = postings.repartition("shingle").sortWithinPartitions("shingle", "group", "key").mapInArrow(_meeting, "a long, b long")
+    return materialize(met.distinct())
+
+
 def similar(df: DataFrame, key_col: str, text_col: str = "text", size: int = 5) -> DataFrame:
     """(key, group): rows of one group are joined by steps of a similarity of 0.8 or more of their shingles.
 
-    The key is a long that differs between rows. Texts of equal fingerprints, such as copies, are one value. Two
-    values of a similarity of 0.8 share one of SHARDS random sets of SHARD_BITS bits with a probability of about 0.98
-    and lie within the radius with one of 0.98. Texts without words are one group.
+    The key is a long that differs between rows. Texts of equal fingerprints, such as copies, are one value. The
+    fingerprints' trees find most links at little cost; `unmet` finds all that are missing between the groups of
+    those, so the links that trees and candidates lose cost time only. Texts without words are one group.
     """
     docs = df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     marked = materialize(fingerprints(docs, size=size, words=WORDS))
@@ -327,14 +445,11 @@ def similar(df: DataFrame, key_col: str, text_col: str = "text", size: int = 5)
     # at most SHARDS candidates each
     nearest = F.slice(F.array_sort(F.collect_list(F.struct("bits", "b"))), 1, NEAREST)
     unsure = found.where(F.col("bits") > SURE_BITS).groupBy("a").agg(nearest.alias("n")).select("a", F.explode("n.b").alias("b"))
-    asked = unsure.select(F.col("a").alias("key")).union(unsure.select("b")).distinct()
-    # always by shuffle, so that what is moved follows the input at every size
-    texts = materialize(docs.join(asked.hint("merge"), "key"))
-    side = lambda k, t: texts.select(F.col("key").alias(k), F.col("text").alias(t))
-    pairs = unsure.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     sure = found.where(F.col("bits") <= SURE_BITS).select("a", "b")
-    joined = components(sure.union(pairs.mapInArrow(_alike(size), "a long, b long")))
-    named = values.join(joined.select(F.col("node").alias("key"), "root"), "key", "left").select("fingerprint", F.coalesce("root", "key").alias("group"))
+    links = materialize(sure.union(_verified(docs, unsure, size)))
+    grouped = lambda links: values.join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").select("fingerprint", "key", F.coalesce("root", "key").alias("group"))
+    missing = _verified(docs, unmet(docs, grouped(links).select("key", "group"), size), size)
+    named = grouped(links.union(missing)).select("fingerprint", "group")
     return marked.join(named, "fingerprint").select(F.col("key").alias(key_col), "group")
 
 
