@@ -142,3 +142,11 @@ def errors(got, want):
 def test_dense_family_loses_no_link(spark):
     texts = family()
     assert errors(grouped_of(spark, texts), components_of(texts))[0] == 0
+
+
+def test_links_do_not_hang_on_nearest(spark, monkeypatch):
+    texts = family(seed=6, variants=200, copies=60)
+    want = components_of(texts)
+    for nearest in (3, 1):
+        monkeypatch.setattr(simhash, "NEAREST", nearest)
+        assert errors(grouped_of(spark, texts), want)[0] == 0

@@ -234,6 +234,7 @@ SHARDS = 72
 SIMILAR_RADIUS = 50
 #: Differing bits at a similarity of 0.8 are 38 on average, give or take 5.7: so many are taken for a similarity of at
 #: least that, and from there to the radius the texts themselves decide, for each document and its NEAREST candidates.
+#: Those only save work: what they leave out is found by `unmet`.
 SURE_BITS = 26
 SIMILARITY = 0.8
 NUM, DEN = Fraction(str(SIMILARITY)).as_integer_ratio()
@@ -265,7 +266,7 @@ def _dealt(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (shard, key, fingerprint) in order of shard: each key, and the nearest of those before it there."""
+    """Over rows (shard, key, fingerprint) in order of both: each key, and the nearest of those before it there."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def made(shard, key, value) -> pa.RecordBatch:
@@ -440,9 +441,9 @@ def similar(df: DataFrame, key_col: str, text_col: str = "text", size: int = 5)
     marked = materialize(fingerprints(docs, size=size, words=WORDS))
     values = materialize(marked.groupBy("fingerprint").agg(F.min("key").alias("key")))
     dealt = values.select("key", "fingerprint").mapInArrow(_dealt, "shard long, key long, fingerprint binary")
-    found = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_similar, "a long, b long, bits long")
+    found = dealt.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(_similar, "a long, b long, bits long")
     found = materialize(found.distinct())
-    # at most SHARDS candidates each
+    # at most SHARDS candidates each; the others are left to `unmet`
     nearest = F.slice(F.array_sort(F.collect_list(F.struct("bits", "b"))), 1, NEAREST)
     unsure = found.where(F.col("bits") > SURE_BITS).groupBy("a").agg(nearest.alias("n")).select("a", F.explode("n.b").alias("b"))
     sure = found.where(F.col("bits") <= SURE_BITS).select("a", "b")
