@@ -150,3 +150,12 @@ def test_links_do_not_hang_on_nearest(spark, monkeypatch):
     for nearest in (3, 1):
         monkeypatch.setattr(simhash, "NEAREST", nearest)
         assert errors(grouped_of(spark, texts), want)[0] == 0
+
+
+def test_only_similar_texts_are_joined(spark):
+    rng = random.Random(8)
+    line = " ".join(f"l{i}" for i in range(9))
+    texts = [" ".join([line] * 200 + [f"r{rng.randrange(1 << 40)}" for _ in range(1000)]) for _ in range(4)]
+    texts += [texts[0], "", None, "one two", " One  two ", "one three"] + family(seed=7, variants=200, copies=20)
+    want = components_of(texts)
+    assert errors(grouped_of(spark, texts), want) == (0, 0)

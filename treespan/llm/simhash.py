@@ -47,7 +47,10 @@ def fingerprint_of(text: str | None, size: int = SHINGLE, words: int = 1) -> byt
     else:
         shingles = map(b" ".join, zip(*(said[i:] for i in range(size))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(s, 42) for s in shingles], np.uint64)
+    return _majority(np.fromiter([digest(s, 42) for s in shingles], np.uint64), words)
+
+
+def _majority(hashes: np.ndarray, words: int) -> bytes:
     ones = np.zeros((words, 64), np.int64)
     for a in range(0, len(hashes), 1 << 14):
         part = hashes[a : a + (1 << 14)]
@@ -232,20 +235,21 @@ WORDS = 4
 SHARD_BITS = 16
 SHARDS = 72
 SIMILAR_RADIUS = 50
-#: Differing bits at a similarity of 0.8 are 38 on average, give or take 5.7: so many are taken for a similarity of at
-#: least that, and from there to the radius the texts themselves decide, for each document and its NEAREST candidates.
-#: Those only save work: what they leave out is found by `unmet`.
-SURE_BITS = 26
+#: Differing bits at a similarity of 0.8 are 38 on average, give or take 5.7. They only propose: the texts themselves
+#: decide, for each document and its NEAREST candidates. What those leave out is found by `unmet`.
 SIMILARITY = 0.8
 NUM, DEN = Fraction(str(SIMILARITY)).as_integer_ratio()
 NEAREST = 3
 #: Fingerprints of a shard beyond which near ones end at a node.
 DENSE = 256
 #: One row of so many is counted to learn which shingles are common, the most of them that are told to all tasks, and
-#: pairs of postings that are held at once.
+#: pairs of postings and texts of pairs that are held at once.
 COUNTED = 16
 MOST_COMMON = 250_000
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
+TEXTS_AT_ONCE = 256
+#: Hashes of keys that are told to all tasks at most.
+ASKED_CODES = 1 << 21
 
 
 def _bits(shard: int) -> np.ndarray:
@@ -309,13 +313,18 @@ def shingles_of(text: str | None, size: int) -> np.ndarray:
 
 
 def _alike(size: int):
-    """Of rows (a, b, x, y) those whose texts x and y have a Jaccard similarity of SIMILARITY or more."""
+    """Over rows (a, b, text), those of equal a together and a's own text, of null b, before them: the pairs (a, b) whose texts have a Jaccard similarity of SIMILARITY or more."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, np.uint64)
         for p in parts:
             keep = []
-            for x, y in zip(p.column("x").to_pylist(), p.column("y").to_pylist()):
-                x, y = shingles_of(x, size), shingles_of(y, size)
+            for b, text in zip(p.column("b"), p.column("text")):
+                y = shingles_of(text.as_py(), size)
+                if not b.is_valid:
+                    x = y
+                    keep.append(False)
+                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
@@ -326,11 +335,24 @@ def _alike(size: int):
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) of keys whose texts are similar. Texts always move by shuffle, so that what is moved follows the input at every size."""
+    spark = docs.sparkSession
     asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    texts = materialize(docs.join(asked.hint("merge"), "key"))
-    side = lambda k, t: texts.select(F.col("key").alias(k), F.col("text").alias(t))
-    both = pairs.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(_alike(size), "a long, b long"))
+    # few texts are asked for: most others go by a hash of their key before the shuffle
+    code = F.pmod(F.xxhash64("key"), F.lit(ASKED_CODES)).alias("code")
+    codes = F.broadcast(asked.select(code).distinct())
+    likely = docs.withColumn("code", code).join(codes, "code", "left_semi").drop("code")
+    texts = materialize(likely.join(asked.hint("merge"), "key"))
+    own = texts.join(pairs.select(F.col("a").alias("key")).distinct().hint("merge"), "key").select(F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    other = pairs.join(texts.select(F.col("key").alias("b"), "text").hint("merge"), "b").select("a", "b", "text")
+    rows = own.union(other).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    # a batch holds whole texts
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(TEXTS_AT_ONCE, int(before)) if int(before) > 0 else TEXTS_AT_ONCE))
+    try:
+        return materialize(rows.mapInArrow(_alike(size), "a long, b long"))
+    finally:
+        spark.conf.set(name, before)
 
 
 def _postings(size: int, common: np.ndarray):
@@ -408,8 +430,8 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(t, size).view(np.int64))], names=["shingle"])
+            said = np.concatenate([np.zeros(0, np.uint64), *(shingles_of(t, size) for t in b.column(0).to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(said.view(np.int64))], names=["shingle"])
 
     some = docs.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0).select("text").mapInArrow(run, "shingle long")
     top = some.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle")
@@ -430,28 +452,40 @@ def unmet(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
     return materialize(met.distinct())
 
 
+def _marked(docs: DataFrame, size: int) -> DataFrame:
+    """(key, same, fingerprint): 128 bits that stand for the set of shingles, and the fingerprint of that set."""
+    import xxhash
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            sets = [shingles_of(t, size) for t in b.column("text").to_pylist()]
+            same = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(same, pa.binary()), pa.array([_majority(s, WORDS) for s in sets], pa.binary())], names=["key", "same", "fingerprint"])
+
+    return materialize(docs.select("key", "text").mapInArrow(run, "key long, same binary, fingerprint binary"))
+
+
 def similar(df: DataFrame, key_col: str, text_col: str = "text", size: int = 5) -> DataFrame:
     """(key, group): rows of one group are joined by steps of a similarity of 0.8 or more of their shingles.
 
-    The key is a long that differs between rows. Texts of equal fingerprints, such as copies, are one value. The
-    fingerprints' trees find most links at little cost; `unmet` finds all that are missing between the groups of
+    The key is a long that differs between rows. Texts of equal sets of shingles, such as copies, are one value. All
+    other links are verified by the sets. The fingerprints' trees find most at little cost; `unmet` finds all that are missing between the groups of
     those, so the links that trees and candidates lose cost time only. Texts without words are one group.
     """
     docs = df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-    marked = materialize(fingerprints(docs, size=size, words=WORDS))
-    values = materialize(marked.groupBy("fingerprint").agg(F.min("key").alias("key")))
+    marked = _marked(docs, size)
+    values = materialize(marked.groupBy("same").agg(F.min("key").alias("key"), F.first("fingerprint").alias("fingerprint")))
     dealt = values.select("key", "fingerprint").mapInArrow(_dealt, "shard long, key long, fingerprint binary")
     found = dealt.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(_similar, "a long, b long, bits long")
     found = materialize(found.distinct())
     # at most SHARDS candidates each; the others are left to `unmet`
     nearest = F.slice(F.array_sort(F.collect_list(F.struct("bits", "b"))), 1, NEAREST)
-    unsure = found.where(F.col("bits") > SURE_BITS).groupBy("a").agg(nearest.alias("n")).select("a", F.explode("n.b").alias("b"))
-    sure = found.where(F.col("bits") <= SURE_BITS).select("a", "b")
-    links = materialize(sure.union(_verified(docs, unsure, size)))
-    grouped = lambda links: values.join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").select("fingerprint", "key", F.coalesce("root", "key").alias("group"))
+    asked = found.groupBy("a").agg(nearest.alias("n")).select("a", F.explode("n.b").alias("b"))
+    links = _verified(docs, asked, size)
+    grouped = lambda links: values.join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").select("same", "key", F.coalesce("root", "key").alias("group"))
     missing = _verified(docs, unmet(docs, grouped(links).select("key", "group"), size), size)
-    named = grouped(links.union(missing)).select("fingerprint", "group")
-    return marked.join(named, "fingerprint").select(F.col("key").alias(key_col), "group")
+    named = grouped(links.union(missing)).select("same", "group")
+    return marked.join(named, "same").select(F.col("key").alias(key_col), "group")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
