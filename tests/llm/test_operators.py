@@ -352,3 +352,11 @@ def test_pii_more():
     red = pii.redact(text, pii.find(text))
     assert red.startswith("mail <EMAIL>, IBAN <IBAN>, no GB83") and red.endswith(" 123-45-6789")
     assert pii.redact(None, []) is None
+
+
+def test_account_numbers_before_other_words():
+    for number in ("BE68 5390 0754 7034", "AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32"):
+        for before, after in (("", " EUR"), ("to ", " BIC A1B2 C3D4"), ("", " 1234 5678 90"), ("AB13 ", " 2024"), ("XY99 9999 9999 9999 ", "")):
+            spans = [s for s in pii.find(before + number + after) if s.kind == "iban"]
+            assert [(s.start, s.end) for s in spans] == [(len(before), len(before) + len(number))], (before, number, after)
+    assert not [s for s in pii.find("BE69 5390 0754 7034 EUR") if s.kind == "iban"]

@@ -22,6 +22,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN_LEAST = 15
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -69,6 +70,16 @@ def mod97(iban: str) -> bool:
     return rest == 1
 
 
+def _iban_end(said: str) -> int:
+    """Where the longest account number that begins a match ends: at the match's end or at a space in it; 0 if none is right."""
+    end = len(said)
+    while end > 0:
+        if _IBAN_LEAST <= len(code := said[:end].replace(" ", "")) <= 34 and mod97(code):
+            return end
+        end = said.rfind(" ", 0, end)
+    return 0
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """The leftmost matches: from each @ back over what may stand before it, then forward over the host."""
     free, at = 0, text.find("@")
@@ -95,9 +106,13 @@ def _candidates(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-            yield "iban", m.start(), m.end()
+    at = 0
+    while m := _IBAN.search(text, at):
+        end = _iban_end(m[0])
+        if end:
+            yield "iban", m.start(), m.start() + end
+        # without one, the next number may begin at a group that this match took
+        at = m.start() + (end or 4)
     for m in _SSN.finditer(text):
         yield "ssn", m.start(), m.end()
 
