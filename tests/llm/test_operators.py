@@ -245,6 +245,18 @@ def test_near_pairs(spark):
     assert set(got) <= {(i, 100 + i) for i in range(20)} and len(got) >= 18 and set(got.values()) == {1}
 
 
+def test_near_pairs_behind_others(spark):
+    rng = random.Random(17)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(30)]
+    # relatives of smaller ids share bands with the pairs, but are too far from them
+    far = ["Z" * 8 + t[8:] for t in base]
+    rows = list(enumerate(far)) + [(100 + i, t) for i, t in enumerate(base)] + [(200 + i, t[:390] + "Y" + t[390:]) for i, t in enumerate(base)]
+    texts = dict(rows)
+    got = {(r.a, r.b): r.distance for r in edit_embedding.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert all(edit_embedding.distance_within(texts[a], texts[b], 5) == d for (a, b), d in got.items())
+    assert set(got) <= {(100 + i, 200 + i) for i in range(30)} and len(got) >= 29
+
+
 # 6
 def test_media(spark, docs, none):
     got = {}

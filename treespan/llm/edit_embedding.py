@@ -237,30 +237,34 @@ def _slide(a: str, b: str, i: int, k: int) -> int:
 def near_pairs(df: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified pairs of texts of edit distance at most `most`: candidates share a band of bits of their last group.
 
-    Equal texts are one class, named by its smallest id. Within a band each class is paired with the band's first
-    class only, so a band of n classes gives n - 1 candidates; the result (a, b, distance) links what a join of
-    all pairs would link through those firsts, and each row is verified on the whole texts. Null and empty texts
-    are a class of their own. Recall follows from BANDS and BAND_BITS.
+    Equal texts are one class, named by its smallest id; null and empty texts are a class of their own. All classes
+    of a band whose lengths differ by at most `most` are compared: bands are split by length, into buckets that each
+    class is in two of, so no pair within the distance is parted. The result is (a, b, distance), a < b, and each
+    row is verified on the whole texts. Recall follows from BANDS and BAND_BITS, not from the number of texts.
     """
     classes = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.first("text").alias("text"))
     marked = with_fingerprint(classes.select("id", "text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            ids, bands = [], []
+            ids, lengths, bands = [], [], []
             for i, fp in enumerate(b.column(1).to_pylist()):
                 _, words = _parsed(fp)
+                n = int(fp.partition(".")[0], 16)
                 # the last two groups: texts next to a doubling of length differ in the number of groups
                 for g in range(max(0, len(words) - 2), len(words)):
                     for k, at in enumerate(_bands(g)):
-                        ids.append(i)
-                        bands.append(hashlib.md5(f"{g}.{k}.{sum((words[g] >> s & 1) << n for n, s in enumerate(at))}".encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(bands, pa.string())], names=["id", "band"])
+                        own = sum((words[g] >> s & 1) << m for m, s in enumerate(at))
+                        for bucket in (n // (most + 1), n // (most + 1) + 1):
+                            ids.append(i)
+                            lengths.append(n)
+                            bands.append(hashlib.md5(f"{g}.{k}.{own}.{bucket}".encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(lengths, pa.int64()), pa.array(bands, pa.string())], names=["id", "n", "band"])
 
     kind = marked.schema["id"].dataType.simpleString()
-    bands = marked.select("id", "fingerprint").mapInArrow(run, f"id {kind}, band string")
-    firsts = bands.groupBy("band").agg(F.min("id").alias("a"))
-    pairs = bands.join(firsts, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    bands = marked.select("id", "fingerprint").mapInArrow(run, f"id {kind}, n long, band string")
+    side = lambda i, n: bands.select("band", F.col("id").alias(i), F.col("n").alias(n))
+    pairs = side("a", "m").join(side("b", "n"), "band").where((F.col("a") < F.col("b")) & (F.abs(F.col("m") - F.col("n")) <= most)).select("a", "b").distinct()
     texts = classes.select("id", "text")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
