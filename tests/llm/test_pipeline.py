@@ -159,3 +159,13 @@ def test_only_similar_texts_are_joined(spark):
     texts += [texts[0], "", None, "one two", " One  two ", "one three"] + family(seed=7, variants=200, copies=20)
     want = components_of(texts)
     assert errors(grouped_of(spark, texts), want) == (0, 0)
+
+
+def test_stage_at_exactly_its_similarity(spark):
+    rng = random.Random(9)
+    line = " ".join(f"l{i}" for i in range(11))
+    texts = family(seed=10) + [" ".join([line] * 200 + [f"r{rng.randrange(1 << 40)}" for _ in range(1000)]) for _ in range(3)]
+    want = components_of(texts)
+    assert errors(grouped_of(spark, texts), want) == (0, 0)
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(want)
