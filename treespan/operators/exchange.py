@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from treespan.functions.geometry import Box, point_distance2, slid_distance2
 from treespan.functions.keys import Keys
 from treespan.operators.tree import AXES, Tree
-from treespan.plans.lineage import small
+from treespan.plans.lineage import materialize, small
 
 
 def requests(pairs: DataFrame, owner: Column, source_owner: Column) -> DataFrame:
@@ -58,20 +59,30 @@ def matrix(pairs: DataFrame, source: str, target: str) -> DataFrame:
     return pairs.groupBy(source, target).agg(F.count("*").alias("rows"))
 
 
+def _places(tree_keys: Keys, cells: DataFrame) -> DataFrame:
+    """(key, x, y, z): cells of a level and their places in its grid, written once, so that no join repeats the bit work of keys."""
+    return materialize(cells.select("key", *(tree_keys.index_fast(F.col("key"), k).alias(a) for k, a in enumerate(AXES[: tree_keys.dim]))))
+
+
+def _beside(at: DataFrame, dim: int, side: int) -> DataFrame:
+    """Each row at its place and at those next to it in a grid of `side` a row."""
+    axes = AXES[:dim]
+    steps = F.array(*(F.struct(*(F.lit(o).alias(a) for a, o in zip(axes, step))) for step in product((-1, 0, 1), repeat=dim)))
+    moved = at.withColumn("step", F.explode(steps)).withColumns({a: F.col(a) + F.col("step")[a] for a in axes}).drop("step")
+    return moved.where(reduce(lambda p, q: p & q, [F.col(a).between(0, side - 1) for a in axes]))
+
+
 def neighbours(tree_keys: Keys, cells: DataFrame, level: int) -> DataFrame:
     """(i, j): cells of a level and those next to them, themselves included, by offsets and an equi-join."""
-    side = 1 << level
-    at = cells.select(F.col("key").alias("i"), *(tree_keys.index_fast(F.col("key"), k).alias(a) for k, a in enumerate(AXES[: tree_keys.dim])))
-    moved = at
-    for a in AXES[: tree_keys.dim]:
-        moved = moved.withColumn(f"o{a}", F.explode(F.array(*(F.lit(o) for o in (-1, 0, 1))))).withColumn(a, F.col(a) + F.col(f"o{a}"))
-    inside = reduce(lambda p, q: p & q, [(F.col(a) >= 0) & (F.col(a) < side) for a in AXES[: tree_keys.dim]])
-    return moved.where(inside).select("i", *AXES[: tree_keys.dim]).join(at.withColumnRenamed("i", "j"), list(AXES[: tree_keys.dim])).select("i", "j")
+    at = _places(tree_keys, cells)
+    near = _beside(at.withColumnRenamed("key", "i"), tree_keys.dim, 1 << level)
+    return near.join(at.withColumnRenamed("key", "j"), list(AXES[: tree_keys.dim])).select("i", "j")
 
 
 def far_lists(tree_keys: Keys, cells: DataFrame, level: int) -> DataFrame:
-    """(i, j): children of cells next to a cell's parent that aren't next to the cell."""
-    up = cells.select(F.col("key").alias("c"), tree_keys.parent(F.col("key")).alias("p"))
-    near_parents = neighbours(tree_keys, up.select(F.col("p").alias("key")).distinct(), level - 1)
-    pairs = up.select(F.col("c").alias("i"), F.col("p").alias("pi")).join(near_parents.withColumnsRenamed({"i": "pi", "j": "pj"}), "pi").join(up.select(F.col("c").alias("j"), F.col("p").alias("pj")), "pj")
-    return pairs.select("i", "j").join(neighbours(tree_keys, cells, level), ["i", "j"], "left_anti")
+    """(i, j): children of cells next to a cell's parent that aren't next to the cell. Cells meet by their parents' places."""
+    axes = AXES[: tree_keys.dim]
+    at = _places(tree_keys, cells)
+    side = lambda name: at.select(F.col("key").alias(name), *(F.col(a).alias(name + a) for a in axes), *(F.shiftright(a, 1).alias(a) for a in axes))
+    pairs = _beside(side("i"), tree_keys.dim, 1 << (level - 1)).join(side("j"), list(axes))
+    return pairs.where(reduce(lambda p, q: p | q, [F.abs(F.col("i" + a) - F.col("j" + a)) > 1 for a in axes])).select("i", "j")

@@ -52,10 +52,10 @@ def tree(view: str, ncrit: int, dim: int = 3, box: str = "cube", empty: bool = T
     deepest = MAX[dim] if deepest is None else deepest
     child = f"((c.key + 1) | (i << {below('(c.key & 31) + 1', dim)}))"
     return f"""{keyed(view, dim, box)},
-finest AS (SELECT key, COUNT(*) AS nb FROM k GROUP BY key),
-counts AS (SELECT {prefix('key', 'd', dim)} AS key, CAST(SUM(nb) AS BIGINT) AS nb FROM finest, (SELECT UNNEST(range(0, {deepest + 1})) AS d) GROUP BY 1),
+finest AS MATERIALIZED (SELECT key, COUNT(*) AS nb FROM k GROUP BY key),
+counts AS MATERIALIZED (SELECT {prefix('key', 'd', dim)} AS key, CAST(SUM(nb) AS BIGINT) AS nb FROM finest, (SELECT UNNEST(range(0, {deepest + 1})) AS d) GROUP BY 1),
 below AS (SELECT c.key AS parent, {child} AS key FROM counts c, (SELECT UNNEST(range(0, {1 << dim})) AS i) WHERE c.nb > {ncrit} AND (c.key & 31) < {deepest}),
-grown AS (SELECT 0::BIGINT AS key, -1::BIGINT AS parent, (SELECT COUNT(*) FROM k) AS nb
+grown AS (SELECT 0::BIGINT AS key, -1::BIGINT AS parent, (SELECT SUM(nb) FROM finest) AS nb
  UNION ALL SELECT below.key, below.parent, COALESCE(counts.nb, 0) AS nb FROM below {'LEFT' if empty else 'INNER'} JOIN counts ON counts.key = below.key),
 cells AS (SELECT key, parent, CAST(key & 31 AS INTEGER) AS depth, (nb <= {ncrit} OR (key & 31) >= {deepest}) AS is_leaf, CAST(nb AS BIGINT) AS nb FROM grown)"""
 
