@@ -67,6 +67,56 @@ def test_urls(spark):
     assert url_filter.train(url_filter.labelled_urls(spark).limit(0)) == [0.0] * (url_filter.BUCKETS + 1)
 
 
+def test_rules_by_join_are_those_by_expression(spark):
+    rng = random.Random(13)
+    label = lambda: rng.choice(["a", "b", "net", "org", "x-y", ""])
+    rules = list({(h, p): (h, p, rng.choice(["block", "allow"])) for h, p in ((".".join(label() for _ in range(rng.randint(1, 3))), rng.choice(["/", "/a", "/a/", "/b/c", ""])) for _ in range(120)) if h}.values())
+    urls = [f"http://{'.'.join(label() for _ in range(rng.randint(1, 5)))}{rng.choice(['', '/', '/a/x', '/b/c/d', '?/a'])}" for _ in range(500)] + [None, "", "no scheme"]
+    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    weights = [0.0] * (url_filter.BUCKETS + 1)
+    table = spark.createDataFrame([*rules, (None, "/", "block"), ("a", None, "block"), rules[0]], "host string, path string, verdict string")
+    got, want = ({r.page_id: r for r in url_filter.judge(df, weights, x).collect()} for x in (table, rules))
+    assert len(got) == len(urls) and got[0].__fields__ == want[0].__fields__
+    for i, w in want.items():
+        assert len(got[i].rule or "") == len(w.rule or "") and (got[i].rule != w.rule or got[i].verdict == w.verdict)
+    assert sum(w.rule is not None for w in want.values()) > 50
+    many = [(f"h{i}.net", "/", "block") for i in range(1000)]
+    assert [r.rule for r in url_filter.judge(spark.createDataFrame([(1, "x://w.h7.net/")], "page_id long, url string"), weights, many).collect()] == ["h7.net/"]
+    assert url_filter.judge(df.limit(0), weights, table).count() == 0
+    assert {r.rule for r in url_filter.judge(df, weights, table.limit(0)).collect()} == {None}
+
+
+def test_url_training(spark):
+    """The expressions' steps against the same steps in plain Python."""
+    rows = sorted(url_filter.LABELLED, key=lambda r: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(r[0].encode(), 42)))
+    xs = []
+    for u, y in rows:
+        host, path = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1]).groups()
+        x = np.zeros(url_filter.BUCKETS + 1)
+        for b in (g := grams_of(host.lower(), path)):
+            x[b] += 1 / len(g)
+        x[-1] = 1 / url_filter.BUCKETS
+        xs.append((x, y))
+    w = np.zeros(url_filter.BUCKETS + 1)
+    for _ in range(url_filter.PASSES):
+        for x, y in xs:
+            w += url_filter.RATE * (y - 1 / (1 + np.exp(-w @ x))) * x
+    assert np.allclose(url_filter.train(url_filter.labelled_urls(spark)), w, atol=1e-6)
+    right = sum((1 / (1 + np.exp(-w @ x)) >= 0.5) == bool(y) for x, y in xs)
+    assert right >= 0.95 * len(xs)
+
+
+def test_urls_held_out(spark):
+    """Every fifth labelled url is left out of the fit and judged by what the others taught."""
+    urls = list(url_filter.LABELLED)
+    right = 0
+    for k in range(5):
+        fit = spark.createDataFrame([r for i, r in enumerate(urls) if i % 5 != k], "url string, label int")
+        held = spark.createDataFrame([r for i, r in enumerate(urls) if i % 5 == k], "url string, label int")
+        right += sum((r.score >= 0.5) == bool(r.label) for r in url_filter.judge(held, url_filter.train(fit)).collect())
+    assert right >= 0.8 * len(urls)
+
+
 def test_url_model_learns():
     labelled = url_filter.LABELLED
     assert len(labelled) == 50 and sum(y for _, y in labelled) == 25
@@ -172,6 +222,22 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_full_windows_are_sequences_of_their_own(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["the " * 63, "the " * 127, "the " * 63] * 20  # with their ends 64, 128 and 64 tokens
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), path, window=64).collect()
+    assert len(got) == 80 and len({r.sequence_id for r in got}) == 80 and {(r.offset, r.length) for r in got} == {(0, 64)}
+
+
+def test_padding_is_little(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(12)
+    rows = [(i, "the " * rng.randint(1, 900)) for i in range(600)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, window=512).collect()
+    used, held = sum(r.length for r in got), 512 * len({r.sequence_id for r in got})
+    assert used >= 0.98 * held
+
+
 def test_best_fit():
     rng = random.Random(2)
     lengths = [rng.randint(1, 100) for _ in range(400)]
@@ -281,6 +347,40 @@ def test_html_order():
     assert media.parse(None) == [] == media.parse("")
 
 
+def test_broken_pages_are_read_in_one_pass():
+    import time
+
+    rng = random.Random(4)
+    bits = ["<", ">", "</", "<!", "<!--", "-->", "<![", "<?", "<a ", "<img src=", "'", '"', "=", "/", "<script>", "</script>", "<figure>", "<figcaption>", "</figcaption>", "</figure>", "&#", "&amp", "x", " ", "<title>", "]]>", "\x00", "<template>", "é"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        assert [i["position"] for i in media.parse(page)] == list(range(len(media.parse(page))))
+    for bit in [*bits, "<img src=x><figcaption>y</figcaption>", "<figure><img src=x><figcaption>y</figcaption>", '<a b="', "<a b='", "<p>x", "<img src=x alt='"]:
+        began = time.process_time()
+        media.parse(bit * 30_000)
+        assert time.process_time() - began < 3, bit
+
+
+def test_pages_as_sequences(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("sequence", F.lit("old"))
+    got = media.sequences(pages).collect()
+    assert len(got) == pages.count() and got[0].__fields__ == ["page_id", "url", "html", "sequence"]
+    for r in got:
+        assert [i.position for i in r.sequence] == list(range(len(r.sequence)))
+        assert all(i.kind == "media" or i.text.strip() for i in r.sequence)
+    assert sum(len(r.sequence) > 0 for r in got) > 0.9 * len(got)
+    assert media.sequences(pages.limit(0)).count() == 0
+    store = spark.createDataFrame([], "digest string, size int")
+    assert media.resolve(media.sequences(pages.limit(0)), store).count() == 0
+
+
+def test_captions_belong_to_their_figure():
+    page = "<img src=a alt=z><figure><img src=b><img src=c><figcaption>1</figcaption><img src=d><figcaption>2</figcaption></figure><figcaption>no</figcaption>"
+    assert [(i["text"], i["caption"]) for i in media.parse(page)] == [("a", "z"), ("b", "1"), ("c", "1"), ("d", "2"), ("no", None)]
+    with pytest.raises(ValueError):
+        media.read_back(None)
+
+
 def test_payloads_resolve(spark):
     pages = spark.createDataFrame([(1, '<img src="sha256:d1" alt="c">x<img src="sha256:none">'), (2, None)], "id long, html string")
     store = spark.createDataFrame([("d1", 10)], "digest string, size int")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,57 @@ _HIDDEN = ("script", "style", "template")
 _BREAKS = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "ul", "ol", "table", "blockquote")
 
 
-class _Sequence(HTMLParser):
+#: A tag from its name on, quotes counting only after an equals sign; and its attributes.
+_TAG = re.compile(r"""([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+#: Elements whose content has no tags: it ends at their own end tag only.
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes")}
+
+
+def _marks(html: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
+    """A page as ("data", text), ("start", tag, attributes) and ("end", tag), in one pass over it.
+
+    What nothing closes, be it a comment, a declaration, a tag or raw content, lasts to the end of the page and is no
+    text. So every search either finds its end or is the last, and broken pages take no longer than others.
+    """
+    at, n = 0, len(html)
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0:
+            yield "data", unescape(html[at:]), None
+            return
+        if lt > at:
+            yield "data", unescape(html[at:lt]), None
+        after = html[lt + 1 : lt + 2]
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 2)
+            at = end + 3 if end >= 0 else n
+        elif after and after in "!?" or after == "/" and not html[lt + 2 : lt + 3].isalpha():
+            end = html.find(">", lt)
+            at = end + 1 if end >= 0 else n
+        elif m := _TAG.match(html, lt + 1 + (after == "/")):
+            tag, at = m[1].lower(), m.end()
+            if after == "/":
+                yield "end", tag, None
+                continue
+            attributes: dict[str, str] = {}
+            for a in _ATTRIBUTE.finditer(m[2]) if tag in _MEDIA else ():
+                attributes.setdefault(a[1].lower(), unescape(a[2] or a[3] or a[4] or ""))
+            yield "start", tag, attributes
+            if raw := _RAW.get(tag):
+                end = raw.search(html, at)
+                said, at = html[at : end.start() if end else n], end.start() if end else n
+                if tag in ("textarea", "title") and end:
+                    yield "data", unescape(said), None
+        elif after.isalpha() or after == "/":
+            return  # a tag that nothing closes
+        else:
+            yield "data", "<", None
+            at = lt + 1
+
+
+class _Sequence:
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
         self.caption: list[str] | None = None
@@ -35,34 +84,35 @@ class _Sequence(HTMLParser):
             self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
         self.words = []
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in _HIDDEN:
             self.hidden += 1
         if tag in _BREAKS and self.caption is None:
             self.flush()
         if tag == "figure":
             self.figure = len(self.items)
-        elif tag == "figcaption":
+        elif tag == "figcaption" and self.figure is not None:
             self.caption = []
-        elif tag in _MEDIA and (src := dict(attrs).get("src")):
+        elif tag in _MEDIA and (src := attributes.get("src")):
             self.flush()
             digest = src.removeprefix("sha256:") if src.startswith("sha256:") else None
-            self.items.append({"position": len(self.items), "kind": "media", "text": src, "digest": digest, "caption": dict(attrs).get("alt") or None})
+            self.items.append({"position": len(self.items), "kind": "media", "text": src, "digest": digest, "caption": attributes.get("alt") or None})
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag == "figcaption" and self.caption is not None:
             said, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figure or 0 :]:
+            for item in self.items[self.figure :]:  # those since the figure began or since its last caption
                 if item["kind"] == "media":
                     item["caption"] = said or item["caption"]
+            self.figure = len(self.items)
         elif tag in _BREAKS and self.caption is None:
             self.flush()
             if tag == "figure":
                 self.figure = None
 
-    def handle_data(self, data: str) -> None:
+    def data(self, data: str) -> None:
         if not self.hidden:
             (self.words if self.caption is None else self.caption).append(data)
 
@@ -70,14 +120,22 @@ class _Sequence(HTMLParser):
 def parse(html: str | None) -> list[dict]:
     """Text and media items of a page in reading order. Broken HTML is read as far as it goes; null has no items."""
     page = _Sequence()
-    page.feed(html or "")
-    page.close()
+    for kind, said, attributes in _marks(html or ""):
+        if kind == "data":
+            page.data(said)
+        elif kind == "start":
+            page.start(said, attributes or {})
+        else:
+            page.end(said)
     page.flush()
     return page.items
 
 
 def sequences(df: DataFrame, html_col: str = "html", sequence_col: str = "sequence") -> DataFrame:
-    """Adds each page's interleaved sequence: structs of position, kind, text (a media item's source), digest, caption."""
+    """Adds each page's interleaved sequence: structs of position, kind, text (a media item's source), digest, caption.
+
+    Null and empty pages have an empty sequence. Rows are independent; a column called as the new one is replaced.
+    """
     kept = [c for c in df.columns if c != sequence_col]
     at = kept.index(html_col)
 
@@ -93,9 +151,9 @@ def stored(payload: bytes) -> bytes:
     return b"P5\n%d %d\n255\n" % (WIDTH, len(payload) // WIDTH) + payload
 
 
-def read_back(media: bytes) -> bytes:
-    kind, size, depth, samples = media.split(b"\n", 3)
-    width, height = map(int, size.split())
+def read_back(media: bytes | None) -> bytes:
+    kind, size, depth, samples = [*(media or b"").split(b"\n", 3), b"", b"", b"", b""][:4]
+    width, height = map(int, size.split()) if re.fullmatch(rb"\d+ \d+", size) else (0, 0)
     if kind != b"P5" or depth != b"255" or len(samples) != width * height:
         raise ValueError("no such picture")
     return samples
@@ -114,7 +172,10 @@ def padded(raw: bytes) -> bytes:
 
 
 def media_of_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A page for each text that shows the text's payload as a picture, and the picture: doc_id, html, digest, media."""
+    """A page for each text that shows the text's payload as a picture, and the picture: doc_id, html, digest, media.
+
+    Null and empty texts have a picture of one row of zeros; null ids and repeated rows stay as they are.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -129,7 +190,7 @@ def media_of_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def described(store: DataFrame) -> DataFrame:
-    """What each stored picture (digest, media), read back, holds."""
+    """What each stored picture (digest, media), read back, holds. Bytes that aren't such a picture, null included, raise ValueError."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:

@@ -19,8 +19,8 @@ from treespan.llm.common import materialize
 
 WINDOW = 4096
 END = 2
-#: Pieces that are packed together; the number of such shards follows the number of pieces. Each leaves about one
-#: window half empty, so padding is about 1 / SHARD of all tokens or less.
+#: Pieces shorter than a window that are packed together; the number of such shards follows the number of pieces. Each
+#: leaves about one window half empty, beside what no piece fits.
 SHARD = 4096
 
 _UNSURE = re.compile("[\x1c-\x1f]")
@@ -151,12 +151,15 @@ def cut(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Where each piece of each document lies: sequence_id and offset there, gapless from 0.
 
-    A document is its ids and an end id, so null and empty texts are one token. Pieces are dealt to shards by
-    their place in the table that holds them, not by a key: repeated ids and rows spread as any others.
+    A document is its ids and an end id, so null and empty texts are one token. Full windows are sequences of their
+    own. Shorter pieces are dealt to shards by their place in the table that holds them, not by a key: repeated ids
+    and rows spread as any others, and an empty table has no sequences.
     """
     pieces = materialize(cut(df, path, id_col, text_col, window))
-    shards = max(1, -(-pieces.where(F.col("length") < window).count() // SHARD))
-    dealt = pieces.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
+    full = pieces.where(F.col("length") == window).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rest = pieces.where(F.col("length") < window)
+    shards = max(1, -(-rest.count() // SHARD))
+    dealt = rest.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         at, offset = best_fit(rows["length"].tolist(), window)
@@ -166,4 +169,4 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     kind = pieces.schema["doc_id"].dataType.simpleString()
     told = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
     out = told.groupBy("shard").applyInPandas(run, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).union(full)

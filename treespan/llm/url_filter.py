@@ -10,14 +10,18 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treespan.llm.common import materialize
+from treespan.plans.lineage import small
+
 #: Buckets that n-grams are hashed to, their length, and the passes over the labelled urls.
 BUCKETS = 512
 GRAM = 3
 PASSES = 40
 RATE = 6.0
-#: Most urls to train from, and most rules to match: both go into expressions, not into a join.
+#: Most urls to train from: they go into one row.
 MOST_LABELLED = 2000
-MOST_RULES = 1000
+#: A list of so many rules at most becomes one expression; longer lists, and tables of any length, are joined.
+MOST_IN_EXPRESSION = 200
 BLOCK_AT = 0.5
 
 #: Rules as (host, path, verdict).
@@ -59,8 +63,6 @@ def path(url: Column) -> Column:
 
 def matching_rule(host_col: Column, path_col: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest fitting rule (of equally long ones the first given) and its verdict, both null without one."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
     rule = verdict = None
     for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1])):
         fits = ((host_col == h) | host_col.endswith("." + h)) & path_col.startswith(p)
@@ -70,6 +72,28 @@ def matching_rule(host_col: Column, path_col: Column, rules: Sequence[tuple[str,
     return (none, none) if rule is None else (rule, verdict)
 
 
+def with_rule(df: DataFrame, host_col: str, path_col: str, rules: DataFrame, rule_col: str, verdict_col: str) -> DataFrame:
+    """Adds the longest fitting rule and its verdict, both null without one, from a table of rules (host, path, verdict).
+
+    Rules of one host are one row; rows of `df` look up their host's last label, last two labels and so on, one equi-join
+    for each number of labels that rules have. Rows aren't multiplied, and join sides are broadcast only where they are
+    few. Of equally long rules the least one goes first; rules with a null host or path fit nothing.
+    """
+    longest = F.struct((-F.length(F.concat("host", "path"))).alias("n"), F.concat("host", "path").alias("rule"), "path", "verdict")
+    known = rules.select("host", "path", "verdict").where("host is not null and path is not null")
+    known = known.groupBy("host").agg(F.array_sort(F.collect_set(longest)).alias("own")).withColumn("labels", F.size(F.split("host", "[.]")))
+    known = materialize(known)
+    labels = F.split(host_col, "[.]")
+    out, best = df, F.lit(None).cast("struct<n:int,rule:string,path:string,verdict:string>")
+    for n in sorted(r.labels for r in known.select("labels").distinct().collect()):
+        own = small(known.where(F.col("labels") == n).select(F.col("host").alias("__of"), F.col("own").alias(f"__own{n}")))
+        last = F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), "."))
+        out = out.withColumn("__last", last).join(own, F.col("__last") == F.col("__of"), "left").drop("__of", "__last")
+        fits = F.get(F.filter(f"__own{n}", lambda r: F.col(path_col).startswith(r["path"])), F.lit(0))
+        best = F.least(best, fits)  # nulls are skipped; the longest has the least n
+    return out.withColumn("__best", best).withColumns({rule_col: F.col("__best.rule"), verdict_col: F.col("__best.verdict")}).select(*df.columns, rule_col, verdict_col)
+
+
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value computed once for all its uses, those in lambdas included."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -119,16 +143,23 @@ def score(host_col: Column, path_col: Column, weights: list[float]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(mean + F.lit(weights[BUCKETS] / BUCKETS))))
 
 
-def judge(df: DataFrame, weights: list[float], rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url") -> DataFrame:
+def judge(df: DataFrame, weights: list[float], rules: Sequence[tuple[str, str, str]] | DataFrame = RULES, url_col: str = "url") -> DataFrame:
     """Adds host, path, rule, verdict and score of each url; columns of these names are replaced.
 
+    Rules are a list or a table of (host, path, verdict).
     Null urls and urls without :// have an empty host and path and are judged by the model. Rows are independent.
     """
     url = F.col(url_col)
     added = ("host", "path", "rule", "verdict", "score")
     out = df.select("*", host(url).alias("__h"), path(url).alias("__p"))
-    rule, verdict = matching_rule(F.col("__h"), F.col("__p"), rules)
-    out = out.withColumns({"__r": rule, "__v": verdict, "__s": score(F.col("__h"), F.col("__p"), weights)})
+    if not isinstance(rules, DataFrame) and len(rules) > MOST_IN_EXPRESSION:
+        rules = df.sparkSession.createDataFrame(list(rules), "host string, path string, verdict string")
+    if isinstance(rules, DataFrame):
+        out = with_rule(out, "__h", "__p", rules, "__r", "__v")
+    else:
+        rule, verdict = matching_rule(F.col("__h"), F.col("__p"), rules)
+        out = out.withColumns({"__r": rule, "__v": verdict})
+    out = out.withColumn("__s", score(F.col("__h"), F.col("__p"), weights))
     kept = [c for c in df.columns if c not in added or c == url_col]
     verdict = F.coalesce("__v", F.when(F.col("__s") >= BLOCK_AT, "block").otherwise("allow"))
     return out.select(*kept, F.col("__h").alias("host"), F.col("__p").alias("path"), F.col("__r").alias("rule"), verdict.alias("verdict"), F.col("__s").alias("score"))
