@@ -271,10 +271,73 @@ def test_edit_embedding(spark, docs, none):
         assert (g.n_chars, g.edited_sha256, g.fingerprint, g.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), fp[i], e)
         assert g.near_edited == edit_embedding.likeness(fp[i], e) and g.near_next == edit_embedding.likeness(fp[i], fp[j])
         assert 0 <= g.near_next <= 1
+        for d, a, b in ((g.edits_edited, text, edited), (g.edits_next, text, nxt)):
+            far = edit_embedding.distance_within(a, b, edit_embedding.MOST_EDITS)
+            assert d in (far, None) and (d == 0) == (a == b)
     assert edit_embedding.digest(docs).count() == len(TEXTS)
     assert edit_embedding.digest(none).count() == 0
 
 
+def slow_walk(text):
+    """The embedding step by step, from its definition, with the module's coins and samples."""
+    coins = edit_embedding._coins()[0]
+    steps = edit_embedding.steps_of(len(text))
+    under, pos = [], 0
+    for j in range(steps):
+        c = edit_embedding._classes(text)[pos]
+        under.append(int(c))
+        pos += int(coins[j % edit_embedding.PERIOD][c])
+    words = []
+    for g in range(edit_embedding.groups_of(steps)):
+        at, says = edit_embedding._sample(g)
+        words.append(sum(int(says[k][under[s]]) << k for k, s in enumerate(at) if s < steps))
+    return words
+
+
+def slow_likeness(a, b, m, n):
+    """Agreement beyond chance by group, weighed by the steps that the longer walk has there, bit by bit."""
+    most = max(edit_embedding.steps_of(m), edit_embedding.steps_of(n))
+    total = same = 0
+    for g in range(edit_embedding.groups_of(most)):
+        low, high = (0 if g == 0 else 64 << (g - 1)), min(most, 64 << g)
+        bits = [k for k, s in enumerate(edit_embedding._sample(g)[0]) if s < most]
+        total += high - low
+        if bits and g < min(len(a), len(b)):
+            differ = sum((a[g] >> k ^ b[g] >> k) & 1 for k in bits)
+            same += (high - low) * (1 - 2 * differ / len(bits))
+    return min(1, max(0, same / total)) if total else 1
+
+
+def test_walk_and_likeness():
+    rng = random.Random(19)
+    texts = ["".join(rng.choice("abc dé日👍") for _ in range(n)) for n in (0, 1, 2, 31, 33, 64, 200, 700, 3000)]
+    texts += [texts[6][:100] + "x" + texts[6][100:], texts[7][1:]]
+    walks = [slow_walk(t) for t in texts]
+    assert [g.tolist() for g in edit_embedding.embed(texts)] == walks
+    fps = edit_embedding.fingerprints(texts)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            want = 1 if a == b else slow_likeness(walks[i], walks[j], len(a), len(b))
+            assert abs(edit_embedding.likeness(fps[i], fps[j]) - want) < 1e-12
+
+
+@pytest.mark.parametrize("length, edits, least", [(100, 1, 0.9), (400, 5, 0.9), (2000, 20, 0.9)])
+def test_bands_find_edited_texts(length, edits, least):
+    rng = random.Random(length)
+    found = 0
+    for _ in range(100):
+        a = [rng.choice("abcdefgh ") for _ in range(length)]
+        b = list(a)
+        for _ in range(edits):
+            i = rng.randrange(len(b) - 1)
+            b[i : i + rng.randrange(2)] = [rng.choice("xyz")] * rng.randrange(2)
+        a, b = "".join(a), "".join(b)
+        found += edit_embedding.verified(a, b, *edit_embedding.fingerprints([a, b]), edits) is not None
+    assert found >= least * 100
+    pairs = [edit_embedding.fingerprints(["".join(rng.choice("abcdefgh ") for _ in range(length)) for _ in range(2)]) for _ in range(100)]
+    assert sum(edit_embedding.candidates(*p) for p in pairs) <= 10
+
+
 def test_buckets_do_not_matter(spark, monkeypatch):
     rows = [(i * 3, f"text {i} " * (i % 7), None) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, copy string")
