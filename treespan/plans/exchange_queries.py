@@ -39,10 +39,8 @@ def _product(spark: SparkSession, sf_dir: str, how: str = "all") -> DataFrame:
 
 
 _PRODUCT = f"{_TREE} SELECT p.key AS i, q.key AS j, p.nb * q.nb AS pairs FROM cells p, cells q WHERE p.depth = 1 AND q.depth = 1"
-for _n in ("join_product", "map_product2"):
-    add(_n, _product, _PRODUCT)
-for _n in ("map_product1", "join_product_dedup"):
-    add(_n, lambda spark, sf_dir: _product(spark, sf_dir, "once"), f"{_PRODUCT} AND p.key <= q.key")
+add("join_product", _product, _PRODUCT)
+add("join_product_dedup", lambda spark, sf_dir: _product(spark, sf_dir, "once"), f"{_PRODUCT} AND p.key <= q.key")
 
 
 def _mutual_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +52,11 @@ def _mutual_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.agg(F.sum(F.col("a") * F.col("b")).alias("covered"))
 
 
-QUERIES["join_product_mutual"], SQL["join_product_mutual"] = _mutual_cover, "SELECT COUNT(*) * COUNT(*) AS covered FROM embeddings"
-add("map_subcells", lambda spark, sf_dir: _cells(spark, sf_dir).where("parent >= 0").groupBy("parent").agg(F.count("*").alias("children"), F.sum("nb").alias("nb"), F.max("nb").alias("most")),
-    f"{_TREE} SELECT parent, COUNT(*) AS children, CAST(SUM(nb) AS BIGINT) AS nb, MAX(nb) AS most FROM cells WHERE parent >= 0 GROUP BY parent")
+add("join_product_mutual_cover", _mutual_cover, "SELECT COUNT(*) * COUNT(*) AS covered FROM embeddings")
 # a cell's number when children come before parents, and when parents come first
 add("map_preorder", lambda spark, sf_dir: P.numbered(_cells(spark, sf_dir).select("key", K3.remove_depth(F.col("key")).alias("at"), "depth"), ["at", "depth"], "place").select("key", "place"), f"{_TREE} SELECT key, ROW_NUMBER() OVER (ORDER BY key >> 5, depth) - 1 AS place FROM cells")
 add("map_postorder", lambda spark, sf_dir: P.numbered(_cells(spark, sf_dir).select("key", K3.remove_depth(K3.last(F.col("key"))).alias("at"), (-F.col("depth")).alias("up")), ["at", "up"], "place").select("key", "place"),
     f"{_TREE} SELECT key, ROW_NUMBER() OVER (ORDER BY (key >> 5) + (1::BIGINT << (3 * (19 - depth))), depth DESC) - 1 AS place FROM cells")
-add("map_gpu_body1", lambda spark, sf_dir: rounded(B.b3(spark, sf_dir).select("body_id", (F.col("x") * F.col("src")).alias("v")), "body_id"), f"WITH {B.SQL['b3']} SELECT body_id, ROUND(x * src, 6) + 0.0 AS v FROM b")
 
 # filters
 add("flt_positive", lambda spark, sf_dir: B.b3c(spark, sf_dir).where("src >= 0").select("body_id", "src"), f"WITH {B.SQL['b3c']} SELECT body_id, src FROM b WHERE src >= 0")
@@ -264,6 +259,6 @@ lv AS (SELECT f.key, f.cx, f.cy, f.cz, SUM(l0 + l1 * (f.cx - g.cx) + l2 * (f.cy
  FROM g f JOIN g ON g.depth <= f.depth AND (f.key >> {S.below('g.depth')}) = (g.key >> {S.below('g.depth')}) JOIN lo ON lo.key = g.key WHERE f.is_leaf AND f.nb > 0 GROUP BY f.key, f.cx, f.cy, f.cz)"""
 _ROUND = ", ".join(f"ROUND(l{i}, 6) + 0.0 AS l{i}" for i in range(4))
 _BODY = f"SELECT k.body_id, ROUND(l0 + l1 * (k.x - cx) + l2 * (k.y - cy) + l3 * (k.z - cz), 6) + 0.0 AS pot, " + ", ".join(f"ROUND(l{n}, 6) + 0.0 AS acc_{a}" for n, a in enumerate(AX, 1)) + f" FROM lv JOIN k ON (k.key >> {S.below('(lv.key & 31)')}) = (lv.key >> {S.below('(lv.key & 31)')})"
-for _names, _part, _tail in ((("agg_m2l",), "cell", f"SELECT key, {_ROUND} FROM lo"), (("agg_l2l", "map_down"), "leaf", f"SELECT key, {_ROUND} FROM lv"), (("agg_l2p", "agg_fmm_down"), "p", _BODY)):
+for _names, _part, _tail in ((("agg_m2l",), "cell", f"SELECT key, {_ROUND} FROM lo"), (("agg_l2l",), "leaf", f"SELECT key, {_ROUND} FROM lv"), (("agg_l2p", "agg_fmm_down"), "p", _BODY)):
     for _n in _names:
-        QUERIES[_n], SQL[_n] = (lambda spark, sf_dir, p=_part: _low(spark, sf_dir, p)), f"{_LOW} {_tail}"
+        add(_n, lambda spark, sf_dir, p=_part: _low(spark, sf_dir, p), f"{_LOW} {_tail}")

@@ -52,8 +52,7 @@ def _direct_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(K.direct(b, b, eps2=K.EPS2), "body_id", digits=4)
 
 
-for _n in ("join_direct", "agg_direct_laplace", "map_gpu_body2", "map_cpu_mock"):
-    add(_n, _direct, _DIRECT)
+add("join_direct", _direct, _DIRECT)
 add("agg_bh_force_direct", _direct_soft, _SOFT)
 
 
@@ -65,8 +64,7 @@ def _through_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(K.near_field(t, pairs), "body_id")
 
 
-for _n in ("join_direct_tree", "map_product_bodies"):
-    add(_n, _through_tree, _DIRECT)
+add("join_direct_tree", _through_tree, _DIRECT)
 add("flt_r2_nonzero", lambda spark, sf_dir: (lambda b: K.direct(b, b).agg(F.count("*").alias("targets"), (F.round(F.sum("pot"), 4) + 0.0).alias("pot")))(B.b3(spark, sf_dir)),
     f"WITH {B.SQL['b3']}, {direct_sql(0.0)} SELECT COUNT(*) AS targets, ROUND(SUM(pot), 4) + 0.0 AS pot FROM d")
 
@@ -84,8 +82,8 @@ def _dual_sql(ncrit: int, theta: float, view: str = "b3") -> str:
     return f"WITH RECURSIVE {S.tree(view, ncrit)}, {S.geometry()}, {S.dual(theta)}"
 
 
-for _n, _c, _t, _m in (("join_dtt", 16, 0.4, False), ("map_cell_pair", 16, 0.8, False), ("map_pair_overloads", 64, 0.4, False), ("join_product_mutual", 16, 0.8, True)):
-    add(_n, _dual(_c, _t, mutual=_m), f"{_dual_sql(_c, _t)} SELECT i, j, state FROM pairs WHERE state <> 'split'")
+add("join_dtt", _dual(16, 0.4), f"{_dual_sql(16, 0.4)} SELECT i, j, state FROM pairs WHERE state <> 'split'")
+add("join_product_mutual", _dual(16, 0.8, mutual=True), f"WITH RECURSIVE {S.tree('b3', 16)}, {S.geometry()}, {S.dual_mutual(0.8)} SELECT i, j, state FROM pairs")
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +130,7 @@ def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(K.moments(tree_of(spark, sf_dir)).drop("count"), "key")
 
 
-for _n in ("agg_bh_com", "map_up_local", "map_up_global", "map_cell", "map_reduce", "reduce", "accumulate", "map_py", "map_c"):
-    add(_n, _moments, _COM)
+add("agg_bh_com", _moments, _COM)
 add("agg_count_cells", lambda spark, sf_dir: K.moments(tree_of(spark, sf_dir)).select("key", F.col("count").alias("nb")), f"WITH {S.tree('b3', 16)} SELECT key, nb FROM cells WHERE nb > 0")
 
 
@@ -145,8 +142,7 @@ def _bh_force(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ACT = f"""{_BH}, {_MOMENTS}, s AS (SELECT acts.i, com.mass AS src, com.x, com.y, com.z FROM acts JOIN com ON com.key = acts.j),
 q AS (SELECT t.body_id, s.src, s.x - t.x AS x, s.y - t.y AS y, s.z - t.z AS z, (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z) + 1e-6::DOUBLE AS r2 FROM s JOIN b t ON t.body_id = s.i),
 d AS (SELECT body_id, SUM(src / SQRT(r2)) AS pot, {', '.join(f'SUM({a} * src / (SQRT(r2) * r2)) AS acc_{a}' for a in AX)} FROM q GROUP BY body_id)"""
-for _n in ("agg_bh_force", "map_bodies"):
-    add(_n, _bh_force, f"{_ACT} SELECT body_id, {_r(digits=4)} FROM d")
+add("agg_bh_force", _bh_force, f"{_ACT} SELECT body_id, {_r(digits=4)} FROM d")
 
 
 def _bh_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,8 +220,6 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("agg_p2p", _near, f"""{_dual_sql(16, 0.4)}, lf AS (SELECT k.body_id, k.x, k.y, k.z, k.src, c.key AS leaf FROM k, cells c WHERE c.is_leaf AND c.nb > 0 AND (k.key >> {S.below('c.depth')}) = (c.key >> {S.below('c.depth')})),
 q AS (SELECT t.body_id, s.src, s.x - t.x AS x, s.y - t.y AS y, s.z - t.z AS z, (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z) AS r2 FROM pairs p JOIN lf t ON t.leaf = p.i JOIN lf s ON s.leaf = p.j WHERE p.state = 'near'),
 d AS (SELECT body_id, SUM(src / SQRT(r2)) AS pot, {', '.join(f'SUM({a} * src / (SQRT(r2) * r2)) AS acc_{a}' for a in AX)} FROM q WHERE r2 <> 0 GROUP BY body_id) SELECT body_id, {_r()} FROM d""")
-for _n in ("agg_m2l", "agg_l2l", "agg_l2p", "agg_fmm_down", "map_down"):
-    add(_n, lambda spark, sf_dir: (lambda t: rounded(X.far_field(t, V.dual(t, 0.4).far), "body_id"))(tree_of(spark, sf_dir)))
 add("fmm", lambda spark, sf_dir: rounded(_fmm(spark, sf_dir), "body_id"))
 add("agg_m2p", lambda spark, sf_dir: (lambda t: rounded(X.by_multipoles(t, V.by_bodies(t, 0.4).far), "body_id"))(tree_of(spark, sf_dir)))
 

@@ -48,7 +48,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes `df` once to the shared folder and returns what was written; it outlives lost executors."""
     path = new_path(df.sparkSession)
     with freed_shuffles(df.sparkSession):
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -83,6 +83,25 @@ pairs AS (SELECT walk.i, walk.j, CASE WHEN {d2} > (a.r / {theta}::DOUBLE + b.r /
  FROM walk JOIN n a ON a.key = walk.i JOIN n b ON b.key = walk.j)"""
 
 
+def dual_mutual(theta: float, dim: int = 3) -> str:
+    """As dual, each unordered pair looked at once: a pair of a cell with itself is split on both sides."""
+    d2 = " + ".join(f"(a.c{x} - b.c{x}) * (a.c{x} - b.c{x})" for x in AXES[:dim])
+    far = f"{d2} > POWER((a.r + b.r) / {theta}::DOUBLE, 2)"
+    return f"""n AS (SELECT key, parent, is_leaf, {', '.join('c' + x for x in AXES[:dim])}, GREATEST({', '.join(f's{i}' for i in range(dim))}) / 2 * 1.00001::DOUBLE AS r FROM g),
+opened AS (SELECT parent AS key, key AS at, TRUE AS split FROM n UNION ALL SELECT key, key AS at, FALSE AS split FROM n),
+walk AS (
+ SELECT 0::BIGINT AS i, 0::BIGINT AS j
+ UNION ALL
+ SELECT ca.at, cb.at
+ FROM (SELECT walk.i, walk.j, CASE WHEN b.is_leaf THEN TRUE WHEN a.is_leaf THEN FALSE ELSE a.r >= b.r END AS si
+  FROM walk JOIN n a ON a.key = walk.i JOIN n b ON b.key = walk.j WHERE NOT ({far}) AND NOT (a.is_leaf AND b.is_leaf)) p
+ JOIN opened ca ON ca.key = p.i AND ca.split = (p.i = p.j OR p.si)
+ JOIN opened cb ON cb.key = p.j AND cb.split = (p.i = p.j OR NOT p.si)
+ WHERE p.i <> p.j OR ca.at <= cb.at),
+met AS (SELECT walk.i, walk.j, CASE WHEN {far} THEN 'far' ELSE 'near' END AS state FROM walk JOIN n a ON a.key = walk.i JOIN n b ON b.key = walk.j WHERE {far} OR (a.is_leaf AND b.is_leaf)),
+pairs AS (SELECT i, j, state FROM met UNION ALL SELECT j, i, state FROM met WHERE i <> j)"""
+
+
 def body_walk(theta: float, dim: int = 3) -> str:
     """Recursive CTE of (body, cell) pairs after geometry: acts (i, j, state), far or near."""
     d2 = " + ".join(f"(n.c{x} - t.{x}) * (n.c{x} - t.{x})" for x in AXES[:dim])
