@@ -236,29 +236,3 @@ for _n in ("exch_gather", "exch_allgatherv", "exch_bcast"):
     add(_n, lambda spark, sf_dir: spark.range(8).where("id > 0").select(F.col("id").cast("int").alias("rank"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") - 1)).alias("copy")), _COPIES)
 add("exch_shift_bodies", lambda spark, sf_dir: _ranked(spark, sf_dir).select("body_id", F.pmod(F.col("src_rank") + 1, F.lit(4)).cast("int").alias("rank")), f"{_RANKED} SELECT body_id, CAST((src_rank + 1) % 4 AS INTEGER) AS rank FROM r")
 add("set_concat", lambda spark, sf_dir: (lambda r: r.where("src_rank = 0").unionByName(r.where("src_rank = 1")).select("body_id", "src_rank"))(_ranked(spark, sf_dir)), f"{_RANKED} SELECT body_id, src_rank FROM r WHERE src_rank < 2")
-
-
-# far fields of low order in SQL: l0..l3 of each target, at leaves, and at bodies
-def _low(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
-    t = tree_of(spark, sf_dir)
-    far = V.dual(t, 0.8).far
-    if part == "p":
-        return rounded(X.far_field(t, far, 2), "body_id")
-    c = X.locals_(t, far, 2)
-    c = X.leaf_locals(t, c, 2) if part == "leaf" else c
-    return rounded(c.select("key", *(F.col("l")[i].alias(f"l{i}") for i in range(4))), "key")
-
-
-_R3 = "(SQRT(rx * rx + ry * ry + rz * rz) * (rx * rx + ry * ry + rz * rz))"
-_LOW = f"""WITH RECURSIVE {S.tree('b3', 16)}, {S.geometry()}, {S.dual(0.8)},
-e AS (SELECT k.*, {S.prefix('key', 'd')} AS cell FROM k, (SELECT UNNEST(range(0, 20)) AS d)),
-mm AS (SELECT g.key, g.cx, g.cy, g.cz, SUM(k.src) AS m0, {', '.join(f'SUM(k.src * (g.c{a} - k.{a})) AS m{a}' for a in AX)} FROM e k JOIN g ON g.key = k.cell GROUP BY g.key, g.cx, g.cy, g.cz),
-fr AS (SELECT p.i, m0, mx, my, mz, {', '.join(f'g.c{a} - mm.c{a} AS r{a}' for a in AX)} FROM pairs p JOIN g ON g.key = p.i JOIN mm ON mm.key = p.j WHERE p.state = 'far'),
-lo AS (SELECT i AS key, SUM(m0 / SQRT(rx * rx + ry * ry + rz * rz) - (mx * rx + my * ry + mz * rz) / {_R3}) AS l0, {', '.join(f'SUM(-m0 * r{a} / {_R3}) AS l{n}' for n, a in enumerate(AX, 1))} FROM fr GROUP BY i),
-lv AS (SELECT f.key, f.cx, f.cy, f.cz, SUM(l0 + l1 * (f.cx - g.cx) + l2 * (f.cy - g.cy) + l3 * (f.cz - g.cz)) AS l0, SUM(l1) AS l1, SUM(l2) AS l2, SUM(l3) AS l3
- FROM g f JOIN g ON g.depth <= f.depth AND (f.key >> {S.below('g.depth')}) = (g.key >> {S.below('g.depth')}) JOIN lo ON lo.key = g.key WHERE f.is_leaf AND f.nb > 0 GROUP BY f.key, f.cx, f.cy, f.cz)"""
-_ROUND = ", ".join(f"ROUND(l{i}, 6) + 0.0 AS l{i}" for i in range(4))
-_BODY = f"SELECT k.body_id, ROUND(l0 + l1 * (k.x - cx) + l2 * (k.y - cy) + l3 * (k.z - cz), 6) + 0.0 AS pot, " + ", ".join(f"ROUND(l{n}, 6) + 0.0 AS acc_{a}" for n, a in enumerate(AX, 1)) + f" FROM lv JOIN k ON (k.key >> {S.below('(lv.key & 31)')}) = (lv.key >> {S.below('(lv.key & 31)')})"
-for _names, _part, _tail in ((("agg_m2l",), "cell", f"SELECT key, {_ROUND} FROM lo"), (("agg_l2l",), "leaf", f"SELECT key, {_ROUND} FROM lv"), (("agg_l2p", "agg_fmm_down"), "p", _BODY)):
-    for _n in _names:
-        add(_n, lambda spark, sf_dir, p=_part: _low(spark, sf_dir, p), f"{_LOW} {_tail}")

@@ -201,8 +201,18 @@ _TERMS = ["1.0::DOUBLE", *(_D[a] for a in AX), *(f"{_D[a]} * {_D[b]}" + (" / 2"
 _M = ", ".join(f"ROUND(SUM(k.src * {t}), 6) + 0.0 AS m{i}" for i, t in enumerate(_TERMS))
 _UP = f"WITH {S.tree('b3', 16)}, {S.geometry()}, e AS (SELECT k.*, {S.prefix('key', 'd')} AS cell FROM k, (SELECT UNNEST(range(0, 20)) AS d)) SELECT g.key, {_M} FROM e k JOIN g ON g.key = k.cell"
 add("agg_p2m", _p2m, f"{_UP} WHERE g.is_leaf GROUP BY g.key")
-for _n in ("agg_m2m", "agg_fmm_up"):
-    add(_n, _up, f"{_UP} GROUP BY g.key")
+add("agg_m2m", _up, f"{_UP} GROUP BY g.key")
+
+
+def _fmm_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upward pass of charges of both signs, at the order that forces are computed with."""
+    m = X.multipoles(tree_of(spark, sf_dir, "b3c"), X.ORDER)
+    return rounded(m.select("key", *(F.col("m")[i].alias(f"m{i}") for i in range(len(X.indices(X.ORDER))))), "key", digits=7)
+
+
+_NAMES = ("(g.cx - k.x)", "(g.cy - k.y)", "(g.cz - k.z)")
+_M6 = ", ".join(f"ROUND(SUM(k.src * {S.monomial(_NAMES, a)}), 7) + 0.0 AS m{i}" for i, a in enumerate(S.multi(X.ORDER)))
+add("agg_fmm_up", _fmm_up, f"WITH {S.tree('b3c', 16)}, {S.geometry()}, e AS (SELECT k.*, {S.prefix('key', 'd')} AS cell FROM k, (SELECT UNNEST(range(0, 20)) AS d)) SELECT g.key, {_M6} FROM e k JOIN g ON g.key = k.cell GROUP BY g.key")
 add("agg_mass_norm", lambda spark, sf_dir: rounded(X.multipoles(tree_of(spark, sf_dir), 2).select("key", *((F.col("m")[i] / F.col("m")[0]).alias(f"m{i}") for i in range(4))), "key"),
     f"WITH {S.tree('b3', 16)}, {S.geometry()}, e AS (SELECT k.*, {S.prefix('key', 'd')} AS cell FROM k, (SELECT UNNEST(range(0, 20)) AS d)) SELECT g.key, " + ", ".join(f"ROUND(SUM(k.src * {t}) / SUM(k.src), 6) + 0.0 AS m{i}" for i, t in enumerate(_TERMS[:4])) + " FROM e k JOIN g ON g.key = k.cell GROUP BY g.key")
 
@@ -220,17 +230,55 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("agg_p2p", _near, f"""{_dual_sql(16, 0.4)}, lf AS (SELECT k.body_id, k.x, k.y, k.z, k.src, c.key AS leaf FROM k, cells c WHERE c.is_leaf AND c.nb > 0 AND (k.key >> {S.below('c.depth')}) = (c.key >> {S.below('c.depth')})),
 q AS (SELECT t.body_id, s.src, s.x - t.x AS x, s.y - t.y AS y, s.z - t.z AS z, (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z) AS r2 FROM pairs p JOIN lf t ON t.leaf = p.i JOIN lf s ON s.leaf = p.j WHERE p.state = 'near'),
 d AS (SELECT body_id, SUM(src / SQRT(r2)) AS pot, {', '.join(f'SUM({a} * src / (SQRT(r2) * r2)) AS acc_{a}' for a in AX)} FROM q WHERE r2 <> 0 GROUP BY body_id) SELECT body_id, {_r()} FROM d""")
-add("fmm", lambda spark, sf_dir: rounded(_fmm(spark, sf_dir), "body_id"))
-add("agg_m2p", lambda spark, sf_dir: (lambda t: rounded(X.by_multipoles(t, V.by_bodies(t, 0.4).far), "body_id"))(tree_of(spark, sf_dir)))
+def _far(order: int, part: str):
+    """Local expansions of targets or of leaves, or the far field at bodies."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = tree_of(spark, sf_dir)
+        far = V.dual(t, 0.4).far
+        if part == "bodies":
+            return rounded(X.far_field(t, far, order), "body_id")
+        c = X.locals_(t, far, order)
+        c = X.leaf_locals(t, c, order) if part == "leaves" else c
+        return rounded(c.select("key", *(F.col("l")[i].alias(f"l{i}") for i in range(len(X.indices(order))))), "key", digits=5)
+
+    return run
+
+
+def _far_sql(order: int) -> str:
+    return f"{_dual_sql(16, 0.4)}, {S.expansions(order)}"
+
+
+_L3 = ", ".join(f"ROUND(l{i}, 5) + 0.0 AS l{i}" for i in range(10))
+add("agg_m2l", _far(3, "targets"), f"{_far_sql(3)} SELECT key, {_L3} FROM lo")
+add("agg_l2l", _far(3, "leaves"), f"{_far_sql(3)} SELECT key, {_L3} FROM lv")
+add("agg_l2p", _far(3, "bodies"), f"{_far_sql(3)}, {S.at_bodies(3)} SELECT body_id, {_r()} FROM fb")
+add("agg_fmm_down", _far(X.ORDER, "bodies"), f"{_far_sql(X.ORDER)}, {S.at_bodies(X.ORDER)} SELECT body_id, {_r()} FROM fb")
+_FMM = f"{_far_sql(X.ORDER)}, {S.at_bodies(X.ORDER)}, {S.near_bodies()}, fm AS (SELECT body_id, SUM(pot) AS pot, {', '.join(f'SUM(acc_{a}) AS acc_{a}' for a in AX)} FROM (SELECT * FROM fb UNION ALL SELECT * FROM nbod) GROUP BY body_id)"
+add("fmm", lambda spark, sf_dir: rounded(_fmm(spark, sf_dir), "body_id", digits=5), f"{_FMM} SELECT body_id, {_r(digits=5)} FROM fm")
+
+
+def _m2p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tree_of(spark, sf_dir)
+    return rounded(X.by_multipoles(t, V.by_bodies(t, 0.8).far, 4), "body_id")
+
+
+_UNIT = [tuple(int(i == k) for i in range(3)) for k in range(3)]
+_D4 = [("pot", (0, 0, 0)), *((f"acc_{a}", u) for a, u in zip(AX, _UNIT))]
+_M2P = ", ".join("SUM(" + " + ".join(f"m{i} * {S.inverse_r(S._plus(a, u))}" for i, a in enumerate(S.multi(4))) + f") AS {n}" for n, u in _D4)
+add("agg_m2p", _m2p, f"WITH RECURSIVE {S.tree('b3', 16)}, {S.geometry()}, {S.body_walk(0.8)}, pairs AS (SELECT NULL::BIGINT AS i, NULL::BIGINT AS j, 'far' AS state WHERE FALSE), {S.expansions(4)}, v AS (SELECT acts.i AS body_id, mm.*, b.x - mm.cx AS rx, b.y - mm.cy AS ry, b.z - mm.cz AS rz FROM acts JOIN mm ON mm.key = acts.j JOIN b ON b.body_id = acts.i WHERE acts.state = 'far'), q AS (SELECT v.*, rx * rx + ry * ry + rz * rz AS r2 FROM v), d AS (SELECT body_id, {_M2P} FROM q GROUP BY body_id) SELECT body_id, {_r()} FROM d")
 
 
 def _fmm_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether fast multipole sums are as close to direct ones as asked for, and the errors."""
     b = B.b3(spark, sf_dir)
-    return verify(_fmm(spark, sf_dir), K.direct(b, b), 5e-3).select("bodies", "good")
+    return rounded(verify(_fmm(spark, sf_dir), K.direct(b, b), 5e-3), "bodies", "good", digits=8)
 
 
-for _n in ("agg_verify_fmm", "cart_terms", "cart_uniform"):
-    add(_n, _fmm_gate, "SELECT COUNT(*) AS bodies, TRUE AS good FROM embeddings")
+_OFF = lambda names: " + ".join(f"POWER(fm.{n} - dd.{n}, 2)" for n in names)
+_NORM = lambda names: " + ".join(f"POWER(dd.{n}, 2)" for n in names)
+_POT_ERROR, _ACC_ERROR = (f"SQRT(SUM({_OFF(n)}) / SUM({_NORM(n)}))" for n in (KINDS[:1], KINDS[1:]))
+add("agg_verify_fmm", _fmm_gate, f"{_FMM}, {direct_sql(0.0).replace('d AS (', 'dd AS (')} SELECT COUNT(*) AS bodies, ROUND({_POT_ERROR}, 8) + 0.0 AS pot_error, ROUND({_ACC_ERROR}, 8) + 0.0 AS acc_error, {_POT_ERROR} < 5e-3 AND {_ACC_ERROR} < 5e-3 AS good FROM fm JOIN dd ON dd.body_id = fm.body_id")
 
 
 def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from treespan.sources.bodies import SQL as BODIES
 
 MAX = {2: 29, 3: 19}
@@ -117,3 +119,79 @@ acts AS (SELECT i, j, state FROM walk WHERE state <> 'split')"""
 
 def rounded(expr: str, digits: int = 6) -> str:
     return f"ROUND({expr}, {digits}) + 0.0"
+
+
+# expansions, from their definitions: polynomials over powers of r, made by differentiating, not by recurrences in r
+def multi(order: int) -> list[tuple[int, int, int]]:
+    """Multi-indices of degree below an order, by degree."""
+    return [(i, j, n - i - j) for n in range(order) for i in range(n, -1, -1) for j in range(n - i, -1, -1)]
+
+
+def _plus(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+    return tuple(x + y for x, y in zip(a, b))
+
+
+def _power(names: tuple[str, ...], a: tuple[int, ...]) -> str:
+    """The product of names to powers."""
+    return " * ".join(n for n, p in zip(names, a) for _ in range(p)) or "1.0::DOUBLE"
+
+
+def monomial(names: tuple[str, ...], a: tuple[int, ...]) -> str:
+    """d^a / a!."""
+    return f"({_power(names, a)}) / {factorial(a[0]) * factorial(a[1]) * factorial(a[2])}"
+
+
+def inverse_r(a: tuple[int, ...], names: tuple[str, ...] = ("rx", "ry", "rz"), r2: str = "r2") -> str:
+    """The derivative of 1 / r by a multi-index: a polynomial over r^(2 n + 1)."""
+    poly, n = {(0, 0, 0): 1}, 0
+    for axis in (k for k in range(3) for _ in range(a[k])):
+        unit = [tuple(int(i == k) for i in range(3)) for k in range(3)]
+        out: dict[tuple[int, ...], int] = {}
+        for e, c in poly.items():
+            if e[axis]:
+                lower = tuple(p - (i == axis) for i, p in enumerate(e))
+                for u in unit:
+                    t = _plus(_plus(lower, u), u)
+                    out[t] = out.get(t, 0) + c * e[axis]
+            t = _plus(e, unit[axis])
+            out[t] = out.get(t, 0) - (2 * n + 1) * c
+        poly, n = {e: c for e, c in out.items() if c}, n + 1
+    said = " + ".join(f"{c} * {_power(names, e)}" for e, c in poly.items()) or "0"
+    return f"({said}) / (SQRT({r2}) * POWER({r2}, {n}))"
+
+
+def expansions(order: int) -> str:
+    """CTEs after pairs (of dual): mm (key, centre, m0..), lo (key, l0..) of targets, lv (key, centre, l0..) of leaves."""
+    terms = multi(order)
+    at = {a: i for i, a in enumerate(terms)}
+    d = ("(g.cx - k.x)", "(g.cy - k.y)", "(g.cz - k.z)")
+    m = ", ".join(f"SUM(k.src * {monomial(d, a)}) AS m{i}" for a, i in at.items())
+    local = ", ".join("SUM(" + " + ".join(f"m{j} * d{at[_plus(a, b)]}" for b, j in at.items() if _plus(a, b) in at) + f") AS l{i}" for a, i in at.items())
+    down = ("(f.cx - g.cx)", "(f.cy - g.cy)", "(f.cz - g.cz)")
+    shift = ", ".join("SUM(" + " + ".join(f"l{at[_plus(a, b)]} * {monomial(down, b)}" for b in at if _plus(a, b) in at) + f") AS l{i}" for a, i in at.items())
+    return f"""ex AS (SELECT k.*, {prefix('key', 'd')} AS cell FROM k, (SELECT UNNEST(range(0, 20)) AS d)),
+mm AS MATERIALIZED (SELECT g.key, g.cx, g.cy, g.cz, {m} FROM ex k JOIN g ON g.key = k.cell GROUP BY g.key, g.cx, g.cy, g.cz),
+fv AS (SELECT p.i, mm.*, g.cx - mm.cx AS rx, g.cy - mm.cy AS ry, g.cz - mm.cz AS rz FROM pairs p JOIN g ON g.key = p.i JOIN mm ON mm.key = p.j WHERE p.state = 'far'),
+fr AS (SELECT fv.*, rx * rx + ry * ry + rz * rz AS r2 FROM fv),
+fd AS MATERIALIZED (SELECT fr.*, {', '.join(f'{inverse_r(a)} AS d{i}' for a, i in at.items())} FROM fr),
+lo AS MATERIALIZED (SELECT i AS key, {local} FROM fd GROUP BY i),
+lv AS MATERIALIZED (SELECT f.key, f.cx, f.cy, f.cz, {shift}
+ FROM g f JOIN g ON g.depth <= f.depth AND (f.key >> {below('g.depth')}) = (g.key >> {below('g.depth')}) JOIN lo ON lo.key = g.key WHERE f.is_leaf AND f.nb > 0 GROUP BY f.key, f.cx, f.cy, f.cz)"""
+
+
+def at_bodies(order: int) -> str:
+    """CTE fb (body_id, pot, acc_x, acc_y, acc_z) after expansions: the leaves' local expansions at their bodies."""
+    terms = multi(order)
+    at = {a: i for i, a in enumerate(terms)}
+    d = ("(k.x - lv.cx)", "(k.y - lv.cy)", "(k.z - lv.cz)")
+    pot = " + ".join(f"l{i} * {monomial(d, a)}" for a, i in at.items())
+    unit = [tuple(int(i == k) for i in range(3)) for k in range(3)]
+    acc = ", ".join(" + ".join(f"l{at[_plus(a, unit[k])]} * {monomial(d, a)}" for a in terms if _plus(a, unit[k]) in at) + f" AS acc_{x}" for k, x in enumerate(AXES))
+    return f"fb AS (SELECT k.body_id, {pot} AS pot, {acc} FROM lv JOIN k ON (k.key >> {below('(lv.key & 31)')}) = (lv.key >> {below('(lv.key & 31)')}))"
+
+
+def near_bodies() -> str:
+    """CTE nbod (body_id, pot, acc_x..) after pairs: sums over the bodies of near leaves."""
+    return f"""lb AS (SELECT k.body_id, k.x, k.y, k.z, k.src, c.key AS leaf FROM k, cells c WHERE c.is_leaf AND c.nb > 0 AND (k.key >> {below('c.depth')}) = (c.key >> {below('c.depth')})),
+nq AS (SELECT t.body_id, s.src, s.x - t.x AS x, s.y - t.y AS y, s.z - t.z AS z, (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z) AS r2 FROM pairs p JOIN lb t ON t.leaf = p.i JOIN lb s ON s.leaf = p.j WHERE p.state = 'near'),
+nbod AS (SELECT body_id, SUM(CASE WHEN r2 <> 0 THEN src / SQRT(r2) ELSE 0 END) AS pot, {', '.join(f'SUM(CASE WHEN r2 <> 0 THEN {a} * src / (SQRT(r2) * r2) ELSE 0 END) AS acc_{a}' for a in AXES)} FROM nq GROUP BY body_id)"""

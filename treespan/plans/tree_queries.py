@@ -13,7 +13,7 @@ from treespan.plans.registry import add
 from treespan.sources import bodies as B
 
 K3 = Keys(3)
-VIEWS = {"b3": (B.b3, 3), "b2": (B.b2, 2), "lineitems": (B.lineitems, 3), "coincident": (B.coincident, 3), "parts": (B.parts, 3)}
+VIEWS = {"b3": (B.b3, 3), "b3c": (B.b3c, 3), "b2": (B.b2, 2), "lineitems": (B.lineitems, 3), "coincident": (B.coincident, 3), "parts": (B.parts, 3)}
 
 
 def tree_of(spark: SparkSession, sf_dir: str, view: str = "b3", ncrit: int = 16, **more) -> T.Tree:
