@@ -6,7 +6,8 @@ M[a] = sum q (c - s)^a / a!; a local expansion gives the potential sum L[b] (x -
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import product
 from math import factorial
@@ -125,6 +126,30 @@ def l2p(c: np.ndarray, d: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarra
     return pot, grad
 
 
+def _cartesian_p2m(q: np.ndarray, d: np.ndarray, order: int) -> np.ndarray:
+    return q[:, None] * powers(d, order)
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Coefficients and shifts of one kind of expansion, over arrays of one row a cell or body.
+
+    p2m takes strengths and vectors from source to centre, m2m and l2l the vector to the new centre, m2l that from the
+    multipole's centre to the local one, m2p and l2p that from the centre to the point.
+    """
+
+    terms: Callable[[int], int]
+    p2m: Callable
+    m2m: Callable
+    m2l: Callable
+    l2l: Callable
+    l2p: Callable
+    m2p: Callable
+
+
+CARTESIAN = Rules(lambda order: len(indices(order)), _cartesian_p2m, m2m, m2l, l2l, l2p, m2p)
+
+
 def _array(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).flatten().to_numpy().reshape(batch.num_rows, -1)
 
@@ -160,41 +185,58 @@ def p2m(tree: Tree, order: int = ORDER) -> DataFrame:
     return b.groupBy(F.col("leaf").alias("key")).agg(*terms).select("key", F.array(*(f"__{n}" for n in range(len(terms)))).alias("m"))
 
 
-def multipoles(tree: Tree, order: int = ORDER) -> DataFrame:
+def leaf_multipoles(tree: Tree, order: int, rules: Rules) -> DataFrame:
+    """(key, m) of each leaf with bodies by the rules' own p2m, batch by batch: a batch sends one row for each leaf."""
+    b = tree.bodies_in_leaves().withColumns(_centre(tree, F.col("leaf"), "c"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            leaf = b.column("leaf").to_numpy()
+            by = np.argsort(leaf, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], leaf[by][1:] != leaf[by][:-1]])) if len(by) else by
+            m = rules.p2m(b.column("src").to_numpy(), _vector(b, "c") - _vector(b, ""), order)[by]
+            if len(by):
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[by][first]), _as_arrays(np.add.reduceat(m, first, axis=0))], names=["key", "m"])
+
+    return _summed(b.select("leaf", "src", *AXES, *(f"c{a}" for a in AXES)).mapInArrow(run, "key long, m array<double>"), "key", "m", rules.terms(order))
+
+
+def multipoles(tree: Tree, order: int = ORDER, rules: Rules = CARTESIAN) -> DataFrame:
     """(key, m) of every cell with bodies: each leaf's multipole is shifted straight to all its ancestors, then summed."""
-    up = p2m(tree, order).select(F.col("key").alias("leaf"), "m", F.explode(tree.keys.ancestors(F.col("key"))).alias("key"))
+    leaves = p2m(tree, order) if rules is CARTESIAN else leaf_multipoles(tree, order, rules)
+    up = leaves.select(F.col("key").alias("leaf"), "m", F.explode(tree.keys.ancestors(F.col("key"))).alias("key"))
     up = up.withColumns(_centre(tree, F.col("leaf"), "a") | _centre(tree, F.col("key"), "b"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            yield pa.RecordBatch.from_arrays([b.column("key"), _as_arrays(m2m(_array(b, "m"), _vector(b, "b") - _vector(b, "a"), order))], names=["key", "m"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), _as_arrays(rules.m2m(_array(b, "m"), _vector(b, "b") - _vector(b, "a"), order))], names=["key", "m"])
 
-    return _summed(up.mapInArrow(run, "key long, m array<double>"), "key", "m", len(indices(order)))
+    return _summed(up.mapInArrow(run, "key long, m array<double>"), "key", "m", rules.terms(order))
 
 
-def locals_(tree: Tree, far: DataFrame, order: int = ORDER, sources: Tree | None = None) -> DataFrame:
+def locals_(tree: Tree, far: DataFrame, order: int = ORDER, sources: Tree | None = None, rules: Rules = CARTESIAN) -> DataFrame:
     """(key, l) of every target cell of the far pairs."""
     sources = sources or tree
-    m = multipoles(sources, order)
+    m = multipoles(sources, order, rules)
     pairs = far.join(m.select(F.col("key").alias("j"), "m"), "j").withColumns(_centre(tree, F.col("i"), "a") | _centre(sources, F.col("j"), "b"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            yield pa.RecordBatch.from_arrays([b.column("i"), _as_arrays(m2l(_array(b, "m"), _vector(b, "a") - _vector(b, "b"), order))], names=["key", "l"])
+            yield pa.RecordBatch.from_arrays([b.column("i"), _as_arrays(rules.m2l(_array(b, "m"), _vector(b, "a") - _vector(b, "b"), order))], names=["key", "l"])
 
-    return _summed(pairs.mapInArrow(run, "key long, l array<double>"), "key", "l", len(indices(order)))
+    return _summed(pairs.mapInArrow(run, "key long, l array<double>"), "key", "l", rules.terms(order))
 
 
-def leaf_locals(tree: Tree, local: DataFrame, order: int = ORDER) -> DataFrame:
+def leaf_locals(tree: Tree, local: DataFrame, order: int = ORDER, rules: Rules = CARTESIAN) -> DataFrame:
     """(key, l) of the leaves: each ancestor's local expansion is shifted straight to the leaf, then summed."""
     leaves = tree.leaves().where("nb > 0").select(F.col("key").alias("leaf"), F.explode(tree.keys.ancestors(F.col("key"))).alias("key"))
     down = leaves.join(local, "key").withColumns(_centre(tree, F.col("leaf"), "a") | _centre(tree, F.col("key"), "b"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            yield pa.RecordBatch.from_arrays([b.column("leaf"), _as_arrays(l2l(_array(b, "l"), _vector(b, "a") - _vector(b, "b"), order))], names=["key", "l"])
+            yield pa.RecordBatch.from_arrays([b.column("leaf"), _as_arrays(rules.l2l(_array(b, "l"), _vector(b, "a") - _vector(b, "b"), order))], names=["key", "l"])
 
-    return _summed(down.mapInArrow(run, "key long, l array<double>"), "key", "l", len(indices(order)))
+    return _summed(down.mapInArrow(run, "key long, l array<double>"), "key", "l", rules.terms(order))
 
 
 def _evaluated(rows: DataFrame, name: str, rule, order: int, by: str = "body_id") -> DataFrame:
@@ -209,18 +251,23 @@ def _evaluated(rows: DataFrame, name: str, rule, order: int, by: str = "body_id"
     return rows.select(by, name, *AXES, *(f"c{a}" for a in AXES)).mapInArrow(run, f"{by} {kind}, pot double, acc_x double, acc_y double, acc_z double")
 
 
-def far_field(tree: Tree, far: DataFrame, order: int = ORDER, sources: Tree | None = None) -> DataFrame:
-    leaves = leaf_locals(tree, locals_(tree, far, order, sources), order)
+def far_field(tree: Tree, far: DataFrame, order: int = ORDER, sources: Tree | None = None, rules: Rules = CARTESIAN) -> DataFrame:
+    return at_bodies(tree, locals_(tree, far, order, sources, rules), order, rules)
+
+
+def at_bodies(tree: Tree, local: DataFrame, order: int = ORDER, rules: Rules = CARTESIAN) -> DataFrame:
+    """Potentials and gradients at the bodies from cells' local expansions (key, l)."""
+    leaves = leaf_locals(tree, local, order, rules)
     rows = tree.bodies_in_leaves().join(leaves.withColumnRenamed("key", "leaf"), "leaf").withColumns(_centre(tree, F.col("leaf"), "c"))
-    return _evaluated(rows, "l", l2p, order)
+    return _evaluated(rows, "l", rules.l2p, order)
 
 
-def by_multipoles(tree: Tree, far: DataFrame, order: int = ORDER, targets: DataFrame | None = None) -> DataFrame:
+def by_multipoles(tree: Tree, far: DataFrame, order: int = ORDER, targets: DataFrame | None = None, rules: Rules = CARTESIAN) -> DataFrame:
     """Potentials of far pairs (body, cell) straight from the cells' multipoles."""
     t = (tree.bodies if targets is None else targets).select(F.col("body_id").alias("i"), *AXES)
-    m = multipoles(tree, order).withColumnRenamed("key", "j")
+    m = multipoles(tree, order, rules).withColumnRenamed("key", "j")
     rows = far.join(t, "i").join(m, "j").withColumnRenamed("i", "body_id").withColumns(_centre(tree, F.col("j"), "c"))
-    return added(_evaluated(rows, "m", m2p, order))
+    return added(_evaluated(rows, "m", rules.m2p, order))
 
 
 def added(*parts: DataFrame) -> DataFrame:
@@ -232,6 +279,6 @@ def added(*parts: DataFrame) -> DataFrame:
     return every.groupBy("body_id").agg(*(F.sum(n).alias(n) for n in names))
 
 
-def fast_multipole(tree: Tree, pairs: Interactions, order: int = ORDER, sources: Tree | None = None) -> DataFrame:
+def fast_multipole(tree: Tree, pairs: Interactions, order: int = ORDER, sources: Tree | None = None, rules: Rules = CARTESIAN) -> DataFrame:
     """body_id, pot, acc_x.. of all pairs of traverse.dual."""
-    return added(far_field(tree, pairs.far, order, sources), near_field(tree, pairs.near, sources))
+    return added(far_field(tree, pairs.far, order, sources, rules), near_field(tree, pairs.near, sources))
