@@ -2,39 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treespan.plans.lineage import discard, freed_shuffles, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see, for tables that cut lineage.
-
-    It is the session's spark.checkpoint.dir. Only a local master may lack that setting;
-    then a folder of this machine does, as it has no other machines.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/treespan-{spark.sparkContext.applicationId}"
+__all__ = ["batches_of", "discard", "freed_shuffles", "materialize", "shared_dir", "table", "with_row_key"]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes `df` once to the shared folder and returns what was written.
-
-    Unlike a cache, the files outlive the executors; they go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, actions send at most so many rows at once to Python workers: a batch holds whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """Adds a long that differs between rows, equal ids and repeated rows included.
+    """`df`, written once, with a long that differs between rows, equal ids and repeated rows included.
 
-    It is stable as long as the input is read in the same splits, as file scans are.
+    As the keys are written they are the same wherever they are read, whatever the input's plan or the executors are.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))

@@ -3,7 +3,7 @@
 Suffixes that are equal through `length` bytes are a group of the last pass, and those groups are all that is asked
 for, so a pass deals suffixes out by the next digit and drops those alone in theirs; no order beyond it is made.
 Digits are of varying length (see windows.py): the anchor, the span, and, for the few suffixes still undecided, the
-whole window. Texts are moved by their row's key only, never by their digits.
+window's two halves. Texts are moved by their row's key only, never by their digits.
 """
 
 from __future__ import annotations
@@ -16,13 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treespan.llm.common import materialize, with_row_key
-from treespan.llm.windows import Hashes, cover, mix, spans
+from treespan.llm.common import batches_of, discard, materialize, with_row_key
+from treespan.llm.windows import DONE, MARK, OPEN, WINDOWS, Hashes, cover, halves, ordered, settled, spans, stretches
+from treespan.llm.windows import mix as mixed
 
 LENGTH = 200
-#: Bytes of an anchor at a length of LENGTH: half of it.
+#: Spans of an anchor in a block of documents beyond which their suffixes go to the last pass at once.
+MOST_SPANS = 8
+#: Texts that a Python worker gets at once.
+TEXTS = 2000
+_ROWS = "anchor long, span long, key long, place long, weight long, kind int"
+_SUFFIXES = "high long, low long, key long, start long, weight long"
 _BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-CUTS = "array<struct<start:bigint,end:bigint>>"
 
 
 def _tokens(raw: bytes) -> np.ndarray:
@@ -38,31 +43,62 @@ def _first_digits(length: int) -> Callable:
         for b in parts:
             key = b.column("key").to_numpy()
             for doc, anchor, span, low, more in spans(map(_tokens, _raw(b, "text")), length, length // 2):
-                cols = (anchor.view(np.int64), span.view(np.int64), key[doc], low << 20 | more)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "span", "key", "place"])
+                anchor, span, _, keys, place, weight, kind = settled(anchor, span, None, key[doc], low << 20 | more, MOST_SPANS)
+                cols = [pa.array(c) for c in (anchor, span, keys, place, weight, kind.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "span", "key", "place", "weight", "kind"])
 
     return run
 
 
-def _last_digits(length: int) -> Callable:
-    """Hashes of the windows asked for, beside their anchor, key and start; `same` is how often their span occurs."""
+def _block(high: np.ndarray, low: np.ndarray, key: np.ndarray, start: np.ndarray, weight: np.ndarray, length: int) -> pa.RecordBatch:
+    """One row for each of a block's suffixes, of a weight of at most 2; and cuts (weight 0, their end as `low`) of those that occur again here."""
+    order, new = ordered(high, low)
+    high, low, key, start, weight = (x[order] for x in (high, low, key, start, weight))
+    first = np.flatnonzero(new)
+    again = np.add.reduceat(weight, first) > 1 if len(first) else np.zeros(0, bool)
+    cut = again[np.cumsum(new) - 1] & (weight == 1) if len(first) else np.zeros(0, bool)
+    k, s, e = stretches(key[cut], start[cut], length)
+    alone = mixed(k.view(np.uint64) ^ mixed(s.view(np.uint64)))
+    cols = zip((high[first].view(np.int64), low[first].view(np.int64), key[first], start[first], np.where(again, 2, 1)), (alone.view(np.int64), e, k, s, np.zeros(len(k), np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], names=["high", "low", "key", "start", "weight"])
+
+
+def _stretches(length: int) -> Callable:
+    """The bytes under the suffixes asked for; where their span occurs again they are cut already and weigh 2."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for key, raw, asked in zip(b.column("key").to_pylist(), _raw(b, "text"), b.column("asked").to_pylist()):
-                places = np.array([(a["anchor"], a["place"], a["same"]) for a in asked], np.int64)
-                places = places[np.argsort(places[:, 1])]
-                low, more = places[:, 1] >> 20, places[:, 1] & 0xFFFFF
-                step = 1 << 20
-                for a in range(0, len(raw), step):
-                    mine = (low >= a) & (low < a + step)
-                    if not mine.any():
-                        continue
-                    hashes = Hashes(_tokens(raw[a : a + step + (1 << 15)]))
-                    n = more[mine] + 1
-                    at = np.repeat(low[mine] - a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    cols = (np.repeat(places[mine, 0], n), hashes.of(at, length).view(np.int64), np.full(len(at), key), at + a, np.repeat(places[mine, 2], n))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "window", "key", "start", "same"])
+                places = np.array([(a["place"] >> 20, (a["place"] & 0xFFFFF) + length, min(a["same"], 2)) for a in asked], np.int64)
+                said = [raw[low : low + n] for low, n, _ in places.tolist()]
+                cols = [pa.array(np.full(len(said), key)), pa.array(places[:, 0]), pa.array(places[:, 2]), pa.array(said, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "low", "weight", "bytes"])
+
+    return run
+
+
+def _last_digits(length: int) -> Callable:
+    """The two digits of each suffix of stretches (key, low, weight, bytes), settled block by block."""
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        key, low, weight, said = zip(*held)
+        n = np.array([len(x) for x in said]) - length + 1
+        begin = np.cumsum(n + length - 1) - (n + length - 1)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        each = lambda x: np.repeat(np.array(x, np.int64), n)
+        return _block(*halves(Hashes(_tokens(b"".join(said))), np.repeat(begin, n) + step, length), each(key), each(low) + step, each(weight), length)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in parts:
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "low", "weight", "bytes"))):
+                held.append(row)
+                size += len(row[3])
+                if size >= WINDOWS:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
 
     return run
 
@@ -71,29 +107,36 @@ def with_cuts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """Rows (key, doc_id, text, cuts): cuts are the intervals of bytes under windows that start elsewhere, too.
 
     They may overlap; cuts are null where there are none. Null and empty texts and those shorter than `length` have
-    none. Repeated rows are documents of their own, so each of them is covered wholly.
+    none. Repeated rows are documents of their own, so each of them is covered wholly. The input is written once with
+    a key for each row, so its plan may be any.
     """
     if not 2 <= length < 1 << 14:
         raise ValueError("length must be from 2 to 16383 bytes")
     docs = with_row_key(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "key")
-    digits = docs.select("key", "text").mapInArrow(_first_digits(length), "anchor long, span long, key long, place long")
-    group, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "span")
-    passed = digits.withColumns({
-        "same": F.count("*").over(same),
-        "nth": F.row_number().over(same.orderBy("key", "place")),
-        "apart": F.min("span").over(group) != F.max("span").over(group),
-    }).where("same > 1 or apart")
-    settled = materialize(passed.select("key", "place", F.when(F.col("apart") & (F.col("nth") == 1), F.col("anchor")).alias("anchor"), "same"))
-    asked = settled.where("anchor is not null").groupBy("key").agg(F.collect_list(F.struct("anchor", "place", "same")).alias("asked"))
-    last = docs.join(asked, "key").select("key", "doc_id", "text", "asked").mapInArrow(_last_digits(length), "anchor long, window long, key long, start long, same long")
-    again = last.withColumn("all", F.sum("same").over(Window.partitionBy("anchor", "window"))).where("same = 1 and all > 1")
-    start = F.shiftright("place", 20)
-    cuts = (
-        settled.where("same > 1").select("key", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0xFFFFF)) + length).alias("end"))
-        .union(again.select("key", "start", (F.col("start") + length).alias("end")))
-        .groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    )
-    return docs.join(cuts, "key", "left").select("key", "doc_id", "text", "cuts")
+    with batches_of(df.sparkSession, TEXTS):
+        digits = docs.select("key", "text").mapInArrow(_first_digits(length), _ROWS)
+        group, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "span")
+        passed = digits.withColumns({
+            "same": F.sum("weight").over(same),
+            "nth": F.row_number().over(same.orderBy("kind", "key", "place")),
+            "apart": (F.min("span").over(group) != F.max("span").over(group)) | (F.max("kind").over(group) == MARK),
+        })
+        cut = (F.col("kind") == DONE) | ((F.col("kind") != MARK) & (F.col("same") > 1))
+        ask = (F.col("kind") == OPEN) | ((F.col("kind") < MARK) & F.col("apart") & (F.col("nth") == 1))
+        known = materialize(passed.select("key", "place", "same", cut.alias("cut"), ask.alias("ask")).where("cut or ask"))
+        asked = known.where("ask").groupBy("key").agg(F.collect_list(F.struct("place", "same")).alias("asked"))
+        # written, so that the texts' shuffle is gone before the suffixes' begins
+        held = materialize(docs.join(asked, "key").select("key", "text", "asked").mapInArrow(_stretches(length), "key long, low long, weight long, bytes binary"))
+        again = held.mapInArrow(_last_digits(length), _SUFFIXES)
+        again = again.withColumn("all", F.sum("weight").over(Window.partitionBy("high", "low"))).where("weight = 0 or weight = 1 and all > 1")
+        start = F.shiftright("place", 20)
+        cuts = (
+            known.where("cut").select("key", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0xFFFFF)) + length).alias("end"))
+            .union(again.select("key", "start", F.when(F.col("weight") == 0, F.col("low")).otherwise(F.col("start") + length).alias("end")))
+        )
+        cuts = materialize(cuts)
+        discard(known, held)
+    return docs.join(cuts.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("cuts")), "key", "left").select("key", "doc_id", "text", "cuts")
 
 
 def runs_of(n: int, cuts: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
