@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treespan.functions.geometry import Box, point_distance2, slid_distance2
 from treespan.functions.keys import Keys
+from treespan.operators.partition import numbered
 from treespan.operators.tree import AXES, Tree
 from treespan.plans.lineage import materialize, small
 
@@ -55,6 +56,18 @@ def graft(roots: DataFrame, keys: Keys) -> DataFrame:
     return every.select("key", F.when(F.col("key") == 0, F.lit(-1).cast("long")).otherwise(keys.parent(F.col("key"))).alias("parent"))
 
 
+def received(rows: DataFrame, target: str, order: list[str], place: str = "place") -> DataFrame:
+    """Rows with their place among those that one target gets, in the given order (sources first): by ranges, not by target."""
+    firsts = rows.groupBy(target).agg(F.count("*").alias("__n"))
+    before = firsts.select(target, (F.sum("__n").over(Window.orderBy(target)) - F.col("__n")).alias("__first"))
+    return numbered(rows, [target, *order], place).join(F.broadcast(before), target).withColumn(place, F.col(place) - F.col("__first")).drop("__first")
+
+
+def to_all(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """A copy of each row for each target; targets are few."""
+    return rows.crossJoin(F.broadcast(targets))
+
+
 def matrix(pairs: DataFrame, source: str, target: str) -> DataFrame:
     return pairs.groupBy(source, target).agg(F.count("*").alias("rows"))
 

@@ -282,3 +282,21 @@ def added(*parts: DataFrame) -> DataFrame:
 def fast_multipole(tree: Tree, pairs: Interactions, order: int = ORDER, sources: Tree | None = None, rules: Rules = CARTESIAN) -> DataFrame:
     """body_id, pot, acc_x.. of all pairs of traverse.dual."""
     return added(far_field(tree, pairs.far, order, sources, rules), near_field(tree, pairs.near, sources))
+
+
+def periodic_local(tree: Tree, cycle: float, levels: int, order: int = ORDER, rules: Rules = CARTESIAN) -> DataFrame:
+    """(key, l) of the root: what the tree's images beyond the nearest 27 do, out to `levels` levels.
+
+    A level takes the 26 neighbours of a block of 3 x 3 x 3 images, image by image; the block then is the next
+    level's image. With one level or none, nothing is beyond. The root's multipole, one row, comes to the driver.
+    """
+    got = multipoles(tree, order, rules).where("key = 0").select("m").collect()
+    m = np.array(got[0].m if got else [0.0] * rules.terms(order))[None]
+    out = np.zeros_like(m)
+    block = np.array(list(product((-1.0, 0.0, 1.0), repeat=3)))
+    for _ in range(levels - 1):
+        beyond = np.array([3 * far + near for far in block if far.any() for near in block]) * cycle
+        out += rules.m2l(np.repeat(m, len(beyond), axis=0), -beyond, order).sum(axis=0, keepdims=True)
+        m = rules.m2m(np.repeat(m, len(block), axis=0), -block * cycle, order).sum(axis=0, keepdims=True)
+        cycle *= 3
+    return tree.cells.sparkSession.createDataFrame([(0, [float(x) for x in out[0]])], "key long, l array<double>")

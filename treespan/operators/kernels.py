@@ -72,3 +72,9 @@ def near_field(tree: Tree, near: DataFrame, sources: Tree | None = None, eps2: f
     t = _side(tree.bodies_in_leaves(), "t", dim, F.col("leaf").alias("i"), "body_id")
     s = _side((sources or tree).bodies_in_leaves(), "s", dim, F.col("leaf").alias("j"), F.col("src").alias("src_s"))
     return laplace(near.join(t, "i").join(s, "j"), dim, eps2)
+
+
+def normalized(sums: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Sums that carry each target's own strength, over that strength; null where it is 0."""
+    names = [c for c in sums.columns if c != "body_id"]
+    return sums.join(bodies.select("body_id", F.col("src").alias("__own")), "body_id").select("body_id", *(F.try_divide(n, "__own").alias(n) for n in names))

@@ -10,20 +10,36 @@ from treespan.operators.tree import AXES, Box
 from treespan.plans.lineage import materialize
 
 
-def scan(df: DataFrame, order: str | list[str], value: str, name: str, inclusive: bool = True) -> DataFrame:
-    """Adds running sums of `value` in the given order, which must tell all rows apart.
+#: Operators of scans: how values of a partition, and partitions' results, come together.
+OPERATORS = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}
 
-    Rows are dealt out by ranges of the order; each partition's sum comes from one aggregation with a row for each
-    partition, and running sums are local.
+
+def scan(df: DataFrame, order: str | list[str], value: str, name: str, inclusive: bool = True, op: str = "sum") -> DataFrame:
+    """Adds running results of `value` in the given order, which must tell all rows apart.
+
+    `op` is sum, min, max, product or minus: the first value less all later ones. Sums may be exclusive, too: of the
+    rows before. Rows are dealt out by ranges of the order; each partition's result comes from one aggregation with a
+    row for each partition, and running results are local.
     """
+    if op == "minus":
+        first = df.agg(F.min_by(value, F.struct(*([order] if isinstance(order, str) else order)))).first()[0]
+        # first - (the sum of the later ones) is twice the first less the sum of all
+        return scan(df, order, value, name).withColumn(name, F.lit(first) * 2 - F.col(name))
+    if not inclusive and op != "sum":
+        raise ValueError("only sums can be exclusive")
     order = [order] if isinstance(order, str) else list(order)
+    merge = OPERATORS[op]
     part, at = "__part", "__before"
-    # written once, so that ranges and sums are of the same partitions
+    # written once, so that ranges and results are of the same partitions
     dealt = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
-    sums = dealt.groupBy(part).agg(F.sum(value).alias("__sum"))
-    before = sums.select(part, (F.sum("__sum").over(Window.orderBy(part)) - F.col("__sum")).alias(at))
-    local = F.sum(value).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = local + F.col(at) if inclusive else local + F.col(at) - F.col(value)
+    whole = dealt.groupBy(part).agg(merge(value).alias("__whole"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select(part, merge("__whole").over(earlier).alias(at))
+    local = merge(value).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    two = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest, "product": lambda a, b: a * b}[op]
+    total = F.when(F.col(at).isNull(), local).otherwise(two(F.col(at), local))
+    if not inclusive:
+        total = total - F.col(value)
     return dealt.join(F.broadcast(before), part).withColumn(name, total).drop(part, at)
 
 

@@ -157,10 +157,21 @@ def vanderwaals(targets: DataFrame, sources: DataFrame, types: DataFrame, cuton:
     return _typed(pairs, types, cuton, cutoff)
 
 
-def _typed(pairs: DataFrame, types: DataFrame, cuton: float, cutoff: float) -> DataFrame:
+def direct_vanderwaals(targets: DataFrame, sources: DataFrame, types: DataFrame, cuton: float, cutoff: float, cycle: float) -> DataFrame:
+    """The same sums over all pairs of nearest images, those beyond the cutoff left out one by one: for checks."""
+    pairs = _pairs_nearest(targets.select("body_id", *AXES, "atype"), sources.select("body_id", *AXES, "atype"), cutoff, cycle)
+    return _typed(pairs, types, cuton, cutoff)
+
+
+def with_parameters(pairs: DataFrame, types: DataFrame) -> DataFrame:
+    """Pairs with their types' parameters; types (ti, tj, rscale, gscale, fgscale) are broadcast if they are few."""
     known = small(types.withColumnsRenamed({"ti": "atype_t", "tj": "atype_s"}))
+    return pairs.join(known, ["atype_t", "atype_s"])
+
+
+def _typed(pairs: DataFrame, types: DataFrame, cuton: float, cutoff: float) -> DataFrame:
     pot, force = _switched(F.col("r2"), F.col("rscale"), F.col("gscale"), F.col("fgscale"), cuton, cutoff)
-    return _summed(pairs.join(known, ["atype_t", "atype_s"]), pot, force)
+    return _summed(with_parameters(pairs, types), pot, force)
 
 
 def _listed(bodies: DataFrame, excluded: DataFrame, cycle: float, *more: str) -> DataFrame:

@@ -13,8 +13,8 @@ from treespan.operators import traverse as V
 from treespan.operators import tree as T
 from treespan.plans import sql as S
 from treespan.plans.force_queries import AX, _dual_sql, rounded
-from treespan.plans.registry import QUERIES, SQL, add
-from treespan.plans.tree_queries import K3, _HEADS, _keyed, tree_of
+from treespan.plans.registry import add
+from treespan.plans.tree_queries import K3, _HEADS, _LOCAL, _keyed, _owned_tree, tree_of
 from treespan.sources import bodies as B
 
 _TREE = f"WITH {S.tree('b3', 16)}"
@@ -63,7 +63,7 @@ add("flt_positive", lambda spark, sf_dir: B.b3c(spark, sf_dir).where("src >= 0")
 add("flt_negative", lambda spark, sf_dir: B.b3c(spark, sf_dir).where("src < 0").select("body_id", "src"), f"WITH {B.SQL['b3c']} SELECT body_id, src FROM b WHERE src < 0")
 add("flt_leaf", lambda spark, sf_dir: _cells(spark, sf_dir).where("is_leaf").select("key", "nb"), f"{_TREE} SELECT key, nb FROM cells WHERE is_leaf")
 add("flt_root", lambda spark, sf_dir: _cells(spark, sf_dir).where("key = 0").select("key", "nb"), f"{_TREE} SELECT key, nb FROM cells WHERE parent < 0")
-add("flt_local", QUERIES["agg_lroot_bool"], SQL["agg_lroot_bool"])
+add("flt_local", lambda spark, sf_dir: _owned_tree(spark, sf_dir).where("local").select("key", "nb"), f"{_LOCAL} SELECT key, nb FROM marked WHERE local")
 add("flt_owner_mask", lambda spark, sf_dir: B.b3(spark, sf_dir).withColumn("icpumap", F.pmod("body_id", F.lit(2))).where("icpumap = 1").select("body_id"), f"WITH {B.SQL['b3']} SELECT body_id FROM b WHERE body_id % 2 = 1")
 
 
@@ -138,8 +138,9 @@ def _level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NEXT = " AND ".join(f"ABS(p.{a} - q.{a}) <= 1" for a in AX)
 _UPNEXT = " AND ".join(f"ABS((p.{a} >> 1) - (q.{a} >> 1)) <= 1" for a in AX)
-for _n in ("join_uniform_p2p", "exch_uniform"):
-    add(_n, lambda spark, sf_dir: E.neighbours(K3, _level(spark, sf_dir), 3), f"{_L3} SELECT p.key AS i, q.key AS j FROM l p, l q WHERE {_NEXT}")
+add("join_uniform_p2p", lambda spark, sf_dir: E.neighbours(K3, _level(spark, sf_dir), 3), f"{_L3} SELECT p.key AS i, q.key AS j FROM l p, l q WHERE {_NEXT}")
+# what owners of octants get from others at the borders
+add("exch_uniform", lambda spark, sf_dir: E.requests(E.neighbours(K3, _level(spark, sf_dir), 3), K3.prefix(F.col("i"), 1), K3.prefix(F.col("j"), 1)), f"{_L3} SELECT DISTINCT {S.prefix('p.key', '1')} AS owner, q.key FROM l p, l q WHERE {_NEXT} AND (p.key >> 59) <> (q.key >> 59)")
 add("join_uniform_m2l", lambda spark, sf_dir: E.far_lists(K3, _level(spark, sf_dir), 3), f"{_L3} SELECT p.key AS i, q.key AS j FROM l p, l q WHERE {_UPNEXT} AND NOT ({_NEXT})")
 add("join_m2l_parentpairs", lambda spark, sf_dir: (lambda c: c.select(F.col("key").alias("i"), K3.prefix(F.col("key"), 1).alias("g")).join(c.select(F.col("key").alias("j"), K3.prefix(F.col("key"), 1).alias("g")), "g").where(K3.parent(F.col("i")) != K3.parent(F.col("j"))).select("i", "j"))(_level(spark, sf_dir)),
     f"{_L3} SELECT p.key AS i, q.key AS j FROM l p, l q WHERE (p.key >> 59) = (q.key >> 59) AND (p.key >> 56) <> (q.key >> 56)")
@@ -174,8 +175,10 @@ def _needed(spark: SparkSession, sf_dir: str) -> tuple[T.Tree, DataFrame, DataFr
 
 
 _PAIRS = f"{_SQL16}, {S.dual(0.4)}, oc AS (SELECT c.key, CAST(MAX(rank) AS INTEGER) AS o FROM cells c JOIN h ON h.head <= c.key GROUP BY c.key), op AS (SELECT p.i, p.j, p.state, a.o AS oi, e.o AS oj FROM pairs p JOIN oc a ON a.key = p.i JOIN oc e ON e.key = p.j WHERE p.state <> 'split')"
-for _n in ("join_let_exact", "exch_let_request", "exch_upstream"):
-    add(_n, lambda spark, sf_dir: E.requests(_needed(spark, sf_dir)[2], F.col("oi"), F.col("oj")), f"{_PAIRS} SELECT DISTINCT oi AS owner, j AS key FROM op WHERE oi <> oj")
+add("join_let_exact", lambda spark, sf_dir: E.requests(_needed(spark, sf_dir)[2], F.col("oi"), F.col("oj")), f"{_PAIRS} SELECT DISTINCT oi AS owner, j AS key FROM op WHERE oi <> oj")
+# far cells are asked for by their attributes, near ones by their bodies
+add("exch_let_request", lambda spark, sf_dir: _needed(spark, sf_dir)[2].where("oi <> oj").select(F.col("oi").alias("owner"), F.col("oj").alias("of"), F.col("j").alias("key"), F.when(F.col("state") == "far", "attribute").otherwise("bodies").alias("what")).distinct(),
+    f"{_PAIRS} SELECT DISTINCT oi AS owner, oj AS of, j AS key, CASE WHEN state = 'far' THEN 'attribute' ELSE 'bodies' END AS what FROM op WHERE oi <> oj")
 
 
 def _anti(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +223,17 @@ SELECT s.box, s.key FROM st s WHERE NOT EXISTS (SELECT 1 FROM st u WHERE u.box =
 
 add("join_let_oneside", lambda spark, sf_dir: _sent(spark, sf_dir, False), _sent_sql("(" + " + ".join(f"POWER(GREATEST(ABS(e.c{a} - q.c{a}) - e.s{i} / 2, 0), 2)" for i, a in enumerate(AX)) + ")"))
 add("join_let_upstream", lambda spark, sf_dir: _sent(spark, sf_dir, True), _sent_sql("(" + " + ".join(f"POWER(GREATEST(e.c{a} - e.s{i} / 2 - q.c{a}, q.c{a} - e.c{a} - e.s{i} / 2, 0), 2)" for i, a in enumerate(AX)) + ")"))
+_UPSTREAM = _sent_sql("(" + " + ".join(f"POWER(GREATEST(e.c{a} - e.s{i} / 2 - q.c{a}, q.c{a} - e.c{a} - e.s{i} / 2, 0), 2)" for i, a in enumerate(AX)) + ")")
+
+
+def _sent_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per octant of the root's: the bodies that others send it, those of the leaves among the cells it may need."""
+    t = tree_of(spark, sf_dir)
+    leaves = _sent(spark, sf_dir, True).join(t.leaves().select("key"), "key").where(K3.prefix(F.col("key"), 1) != F.col("box"))
+    return leaves.join(t.bodies_in_leaves().select(F.col("leaf").alias("key"), "body_id"), "key").select("box", "body_id")
+
+
+add("exch_upstream", _sent_bodies, _UPSTREAM.replace("SELECT s.box, s.key FROM st s WHERE", ", snt AS (SELECT s.box, s.key FROM st s WHERE") + f") SELECT snt.box, k.body_id FROM snt JOIN cells c ON c.key = snt.key JOIN k ON (k.key >> {S.below('c.depth')}) = (c.key >> {S.below('c.depth')}) WHERE c.is_leaf AND (snt.key >> 59) <> (snt.box >> 59)")
 add("join_let_graft", lambda spark, sf_dir: E.graft(_level(spark, sf_dir), K3), f"{_L3}, e AS (SELECT DISTINCT {S.prefix('key', 'd')} AS key FROM c, (SELECT UNNEST(range(0, 4)) AS d)) SELECT key, CASE WHEN key = 0 THEN -1 ELSE {S.prefix('key', 'GREATEST((key & 31) - 1, 0)')} END AS parent FROM e")
 
 # messages among four ranks, as rows
@@ -231,8 +245,23 @@ _RANKED = f"WITH {B.SQL['b3']}, r AS (SELECT body_id, CAST(body_id % 4 AS INTEGE
 add("exch_alltoall", lambda spark, sf_dir: _ranked(spark, sf_dir).groupBy("dst_rank", "src_rank").agg(F.count("*").alias("n"), F.min("body_id").alias("first")), f"{_RANKED} SELECT dst_rank, src_rank, COUNT(*) AS n, MIN(body_id) AS first FROM r GROUP BY 1, 2")
 add("exch_alltoallv", lambda spark, sf_dir: _ranked(spark, sf_dir).repartition("dst_rank").sortWithinPartitions("dst_rank", "src_rank", "body_id"), f"{_RANKED} SELECT body_id, src_rank, dst_rank FROM r")
 add("exch_allreduce", lambda spark, sf_dir: _ranked(spark, sf_dir).groupBy("src_rank").agg(F.sum("body_id").alias("v")).agg(F.sum("v").alias("total"), F.max("v").alias("most")), f"{_RANKED}, s AS (SELECT src_rank, SUM(body_id) AS v FROM r GROUP BY 1) SELECT CAST(SUM(v) AS BIGINT) AS total, CAST(MAX(v) AS BIGINT) AS most FROM s")
-_COPIES = "SELECT CAST(i AS INTEGER) AS rank, k AS copy FROM (SELECT UNNEST(range(0, 8)) AS i), (SELECT UNNEST(range(0, 8)) AS k) WHERE k < i"
-for _n in ("exch_gather", "exch_allgatherv", "exch_bcast"):
-    add(_n, lambda spark, sf_dir: spark.range(8).where("id > 0").select(F.col("id").cast("int").alias("rank"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") - 1)).alias("copy")), _COPIES)
+# in the order of their sources, with the place that each gets
+add("exch_alltoallv2", lambda spark, sf_dir: E.received(_ranked(spark, sf_dir), "dst_rank", ["src_rank", "body_id"]), f"{_RANKED} SELECT body_id, src_rank, dst_rank, ROW_NUMBER() OVER (PARTITION BY dst_rank ORDER BY src_rank, body_id) - 1 AS place FROM r")
+
+
+def _four(spark: SparkSession) -> DataFrame:
+    return spark.range(4).select(F.col("id").cast("int").alias("rank"))
+
+
+def _gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rank's sum at the root, in order of ranks."""
+    own = _ranked(spark, sf_dir).groupBy("src_rank").agg(F.sum("body_id").alias("v"))
+    return own.agg(F.array_sort(F.collect_list(F.struct("src_rank", "v"))).alias("a")).select(F.lit(0).alias("rank"), F.posexplode("a.v").alias("place", "v"))
+
+
+add("exch_gather", _gathered, f"{_RANKED}, s AS (SELECT src_rank, SUM(body_id) AS v FROM r GROUP BY 1) SELECT 0 AS rank, CAST(ROW_NUMBER() OVER (ORDER BY src_rank) - 1 AS INTEGER) AS place, CAST(v AS BIGINT) AS v FROM s")
+add("exch_bcast", lambda spark, sf_dir: E.to_all(_ranked(spark, sf_dir).where("src_rank = 0").select("body_id"), _four(spark)), f"{_RANKED} SELECT body_id, CAST(q AS INTEGER) AS rank FROM r, (SELECT UNNEST(range(0, 4)) AS q) WHERE src_rank = 0")
+add("exch_allgatherv", lambda spark, sf_dir: E.to_all(E.received(_ranked(spark, sf_dir).select("body_id", "src_rank", F.lit(0).alias("all")), "all", ["src_rank", "body_id"]).drop("all"), _four(spark)),
+    f"{_RANKED}, p AS (SELECT body_id, src_rank, ROW_NUMBER() OVER (ORDER BY src_rank, body_id) - 1 AS place FROM r) SELECT body_id, src_rank, place, CAST(q AS INTEGER) AS rank FROM p, (SELECT UNNEST(range(0, 4)) AS q)")
 add("exch_shift_bodies", lambda spark, sf_dir: _ranked(spark, sf_dir).select("body_id", F.pmod(F.col("src_rank") + 1, F.lit(4)).cast("int").alias("rank")), f"{_RANKED} SELECT body_id, CAST((src_rank + 1) % 4 AS INTEGER) AS rank FROM r")
 add("set_concat", lambda spark, sf_dir: (lambda r: r.where("src_rank = 0").unionByName(r.where("src_rank = 1")).select("body_id", "src_rank"))(_ranked(spark, sf_dir)), f"{_RANKED} SELECT body_id, src_rank FROM r WHERE src_rank < 2")

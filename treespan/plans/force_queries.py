@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from math import pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treespan import api
 from treespan.functions import special
+from treespan.functions import spherical as SH
 from treespan.operators import expansions as X
+from treespan.operators.harmonic import SPHERICAL
 from treespan.operators import kernels as K
+from treespan.operators import mapping as M
+from treespan.operators import partition as P
 from treespan.operators import periodic as E
 from treespan.operators import traverse as V
 from treespan.operators import tree as T
 from treespan.plans import sql as S
-from treespan.plans.registry import add
-from treespan.plans.tree_queries import K3, tree_of
+from treespan.plans.registry import SQL, add
+from treespan.plans.tree_queries import _HEADS, K3, tree_of
 from treespan.sources import bodies as B
 
 AX = ("x", "y", "z")
@@ -90,8 +97,21 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dual(4, 0.8)(spark, sf_dir).groupBy("state").agg(F.count("*").alias("pairs"))
 
 
-for _n in ("agg_count_kernels", "flt_mac_fmm"):
-    add(_n, _counts, f"{_dual_sql(4, 0.8)} SELECT state, COUNT(*) AS pairs FROM pairs WHERE state <> 'split' GROUP BY state")
+add("agg_count_kernels", _counts, f"{_dual_sql(4, 0.8)} SELECT state, COUNT(*) AS pairs FROM pairs WHERE state <> 'split' GROUP BY state")
+
+
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of cells that the criterion accepts, with the share of their distance that their radii take."""
+    t = tree_of(spark, sf_dir)
+    r = V.cell_radius(t, t.cells)
+    side = lambda s: r.select(F.col("key").alias(s), F.col("r").alias(f"r_{s}"), *(F.col(f"c{a}").alias(f"{a}_{s}") for a in AX))
+    both = V.dual(t, 0.5).far.join(side("i"), "i").join(side("j"), "j")
+    d2 = sum(((F.col(f"{a}_i") - F.col(f"{a}_j")) * (F.col(f"{a}_i") - F.col(f"{a}_j")) for a in AX), F.lit(0.0))
+    return rounded(both.select("i", "j", ((F.col("r_i") + F.col("r_j")) / F.sqrt(d2)).alias("share")), "i", "j")
+
+
+_CD2 = " + ".join(f"(a.c{x} - b.c{x}) * (a.c{x} - b.c{x})" for x in AX)
+add("flt_mac_fmm", _accepted, f"{_dual_sql(16, 0.5)} SELECT p.i, p.j, ROUND((a.r + b.r) / SQRT({_CD2}), 6) + 0.0 AS share FROM pairs p JOIN n a ON a.key = p.i JOIN n b ON b.key = p.j WHERE p.state = 'far'")
 add("agg_weight", lambda spark, sf_dir: _dual(16, 0.4)(spark, sf_dir).groupBy(F.col("i").alias("key")).agg(F.count("*").alias("weight")),
     f"{_dual_sql(16, 0.4)} SELECT i AS key, COUNT(*) AS weight FROM pairs WHERE state <> 'split' GROUP BY i")
 
@@ -120,8 +140,20 @@ def _bh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BH = f"WITH RECURSIVE {S.tree('b3', 1)}, {S.geometry()}, {S.body_walk(0.5)}"
-for _n in ("join_bh_interact", "flt_mac_bh"):
-    add(_n, _bh_pairs, f"{_BH} SELECT i, j, state FROM acts")
+add("join_bh_interact", _bh_pairs, f"{_BH} SELECT i, j, state FROM acts")
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that act on a body as wholes, with their width over the distance."""
+    t = tree_of(spark, sf_dir, "b3", 4)
+    g = t.with_geometry().select(F.col("key").alias("j"), "w0", *(f"c{a}" for a in AX))
+    both = V.by_bodies(t, 0.7).far.join(g, "j").join(t.bodies.select(F.col("body_id").alias("i"), *AX), "i")
+    d2 = sum(((F.col(f"c{a}") - F.col(a)) * (F.col(f"c{a}") - F.col(a)) for a in AX), F.lit(0.0))
+    return rounded(both.select("i", "j", (F.col("w0") / F.sqrt(d2)).alias("seen")), "i", "j")
+
+
+_BD2 = " + ".join(f"(g.c{a} - b.{a}) * (g.c{a} - b.{a})" for a in AX)
+add("flt_mac_bh", _seen, f"WITH RECURSIVE {S.tree('b3', 4)}, {S.geometry()}, {S.body_walk(0.7)} SELECT acts.i, acts.j, ROUND(g.s0 / SQRT({_BD2}), 6) + 0.0 AS seen FROM acts JOIN g ON g.key = acts.j JOIN b ON b.body_id = acts.i WHERE acts.state = 'far'")
 _MOMENTS = f"m AS (SELECT {S.prefix('key', 'd')} AS key, SUM(src) AS mass, SUM(x * src) AS sx, SUM(y * src) AS sy, SUM(z * src) AS sz FROM k, (SELECT UNNEST(range(0, 20)) AS d) GROUP BY 1), com AS (SELECT cells.key, mass, sx / mass AS x, sy / mass AS y, sz / mass AS z FROM m JOIN cells ON cells.key = m.key)"
 _COM = f"WITH {S.tree('b3', 16)}, {_MOMENTS} SELECT key, {_r(('mass', 'x', 'y', 'z'))} FROM com"
 
@@ -288,7 +320,16 @@ def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("agg_verify_sums", _sums, f"WITH {B.SQL['b3']}, {direct_sql(0.0)} SELECT ROUND(SUM(pot * src), 3) + 0.0 AS pot_q, ROUND(SUM(pot * pot), 0) + 0.0 AS pot2, ROUND(SUM(acc_x * acc_x + acc_y * acc_y + acc_z * acc_z) / 1000, 0) + 0.0 AS acc2 FROM d JOIN b ON b.body_id = d.body_id")
-add("agg_normalize", lambda spark, sf_dir: (lambda b: rounded(K.direct(b, b).join(b.select("body_id", "src"), "body_id").select("body_id", *((F.col(c) * F.col("src") / F.col("src")).alias(c) for c in KINDS)), "body_id"))(B.b3(spark, sf_dir)), _DIRECT)
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energies and forces, which carry each body's own strength, over that strength; charges of 0 have none."""
+    b = B.b3c(spark, sf_dir).withColumn("src", F.col("src") - 0.5)
+    sums = K.direct(b, b).join(b.select("body_id", "src"), "body_id").select("body_id", *((F.col(c) * F.col("src")).alias(c) for c in KINDS))
+    return rounded(K.normalized(sums, b), "body_id")
+
+
+_OWN = f"WITH {B.SQL['b3c']}, b0 AS (SELECT * REPLACE (src - 0.5::DOUBLE AS src) FROM b), {direct_sql(0.0).replace('FROM b t, b s', 'FROM b0 t, b0 s')}, e AS (SELECT d.body_id, b0.src, {', '.join(f'{c} * b0.src AS {c}' for c in KINDS)} FROM d JOIN b0 ON b0.body_id = d.body_id)"
+add("agg_normalize", _normalized, f"{_OWN} SELECT body_id, {', '.join(f'CASE WHEN src = 0 THEN NULL ELSE ROUND({c} / src, 6) + 0.0 END AS {c}' for c in KINDS)} FROM e")
+add("agg_direct_laplace", lambda spark, sf_dir: (lambda b: rounded(api.direct_laplace(b.where("body_id % 3 = 0"), b.where("body_id % 3 <> 0")), "body_id"))(B.b3(spark, sf_dir)), f"WITH {B.SQL['b3']}, {direct_sql(0.0, 't.body_id % 3 = 0 AND s.body_id % 3 <> 0')} SELECT body_id, {_r()} FROM d")
 add("agg_allreduce", lambda spark, sf_dir: B.lineitems(spark, sf_dir).agg(F.count("*").alias("n"), *(f(a).alias(f"{n}_{a}") for a in AX for n, f in (("lo", F.min), ("hi", F.max)))), f"WITH {B.SQL['lineitems']} SELECT COUNT(*) AS n, " + ", ".join(f"MIN({a}) AS lo_{a}, MAX({a}) AS hi_{a}" for a in AX) + " FROM b")
 
 # periodic
@@ -303,8 +344,10 @@ def _wrapped_sql(d: str) -> str:
 _WRAP = f"""w AS (SELECT t.body_id, s.body_id AS other, t.src AS tsrc, s.src, {', '.join(f'{_wrapped_sql(f"(t.{a} - s.{a})")} AS d{a}' for a in AX)} FROM b t, b s),
 v AS (SELECT w.*, dx * dx + dy * dy + dz * dz AS r2 FROM w)"""
 _NEAR = f"WITH {B.SQL['b3c']}, {_WRAP}"
-for _n in ("join_neighbor_range", "flt_cutoff"):
+for _n in ("join_neighbor_range",):
     add(_n, lambda spark, sf_dir: (lambda b: E.pairs_within(b, b, CUTOFF, CYCLE).select("body_id", "other"))(B.b3c(spark, sf_dir)), f"{_NEAR} SELECT body_id, other FROM v WHERE r2 > 0 AND r2 < 0.09::DOUBLE")
+add("flt_cutoff", lambda spark, sf_dir: (lambda b: rounded(E.pairs_within(b, b, 0.32, CYCLE).where((F.col("r2") > 0) & (F.col("r2") < 0.15 * 0.15)).groupBy("body_id").agg(F.count("*").alias("n"), F.max("r2").alias("furthest")), "body_id", "n"))(B.b3c(spark, sf_dir)),
+    f"{_NEAR} SELECT body_id, COUNT(*) AS n, ROUND(MAX(r2), 6) + 0.0 AS furthest FROM v WHERE r2 > 0 AND r2 < 0.15::DOUBLE * 0.15::DOUBLE GROUP BY body_id")
 _RS = f"(SQRT(r2) * {ALPHA}::DOUBLE)"
 _FORCE = f"src * (1.1283791670955126::DOUBLE * EXP(-{_RS} * {_RS}) / ({_RS} * {_RS}) + {special.erfc_sql(_RS)} / ({_RS} * {_RS} * {_RS})) * {ALPHA ** 3}::DOUBLE"
 add("agg_ewald_real", lambda spark, sf_dir: (lambda b: rounded(E.ewald_real(b, b, ALPHA, CUTOFF, CYCLE), "body_id"))(B.b3c(spark, sf_dir)),
@@ -352,8 +395,11 @@ def logs(df: DataFrame) -> DataFrame:
     return df.select("body_id", *((F.round(F.signum(c) * F.ln(1 + F.abs(c)), 6) + 0.0).alias(c) for c in KINDS))
 
 
-for _n in ("agg_vdw", "agg_direct_vdw", "join_type_params"):
-    add(_n, lambda spark, sf_dir: (lambda b: logs(E.vanderwaals(b, b, _types(spark), CUTON, CUTOFF, CYCLE)))(_typed(spark, sf_dir)), f"{_VDW} {_SIGN.format(s='')}")
+add("agg_vdw", lambda spark, sf_dir: (lambda b: logs(E.vanderwaals(b, b, _types(spark), CUTON, CUTOFF, CYCLE)))(_typed(spark, sf_dir)), f"{_VDW} {_SIGN.format(s='')}")
+# of every second body only, over all pairs
+add("agg_direct_vdw", lambda spark, sf_dir: (lambda b: logs(api.direct_vanderwaals(b.where("body_id % 2 = 1"), b, _types(spark), CUTON, CUTOFF, CYCLE)))(_typed(spark, sf_dir)), f"{_VDW} {_SIGN.format(s='')}".replace("FROM lj GROUP", "FROM lj WHERE body_id % 2 = 1 GROUP"))
+add("join_type_params", lambda spark, sf_dir: (lambda b: rounded(E.with_parameters(E.pairs_within(b.select("body_id", *AX, "atype"), b.select("body_id", *AX, "atype"), 0.1, CYCLE), _types(spark)).select("body_id", "other", "rscale", "gscale", "fgscale"), "body_id", "other"))(_typed(spark, sf_dir)),
+    f"{_NEAR} SELECT body_id, other, ROUND(40.0::DOUBLE + {_T}, 6) + 0.0 AS rscale, ROUND(0.1::DOUBLE * ({_T} + 1), 6) + 0.0 AS gscale, ROUND(0.2::DOUBLE * ({_T} + 1), 6) + 0.0 AS fgscale FROM v WHERE r2 > 0 AND r2 < 0.01::DOUBLE")
 
 
 def _excluded(b: DataFrame) -> DataFrame:
@@ -379,5 +425,87 @@ def _coulomb(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("agg_direct_coulomb", _coulomb, f"{_ALL} SELECT body_id, {_r()} FROM d")
 add("join_periodic_images", lambda spark, sf_dir: rounded(E.with_images(B.b3(spark, sf_dir), 1, CYCLE).select("body_id", "ix", "iy", "iz", *AX), "body_id", "ix", "iy", "iz"),
     f"WITH {B.SQL['b3']} SELECT body_id, CAST(i AS INTEGER) AS ix, CAST(j AS INTEGER) AS iy, CAST(l AS INTEGER) AS iz, ROUND(x + i, 6) + 0.0 AS x, ROUND(y + j, 6) + 0.0 AS y, ROUND(z + l, 6) + 0.0 AS z FROM b, (SELECT UNNEST(range(-1, 2)) AS i), (SELECT UNNEST(range(-1, 2)) AS j), (SELECT UNNEST(range(-1, 2)) AS l)")
-add("agg_load_balance", lambda spark, sf_dir: tree_of(spark, sf_dir).leaves().groupBy(K3.msbits(F.col("key"), 3).alias("rank")).agg(F.count("*").alias("leaves"), F.sum("nb").alias("bodies")),
-    f"WITH {S.tree('b3', 16)} SELECT (key >> 59) AS rank, COUNT(*) AS leaves, CAST(SUM(nb) AS BIGINT) AS bodies FROM cells WHERE is_leaf GROUP BY 1")
+
+
+def _load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per owner: bodies as first dealt by id and as owned by their place, and its leaves and cells."""
+    t = tree_of(spark, sf_dir)
+    heads = P.heads(t.bodies.select("key"), K3, 8)
+    ranks = spark.range(8).select(F.col("id").cast("int").alias("rank"))
+    counted = lambda df, name: df.groupBy("rank").agg(F.count("*").alias(name))
+    out = ranks.join(counted(t.bodies.select(F.pmod("body_id", F.lit(8)).cast("int").alias("rank")), "before"), "rank", "left")
+    for name, df in (("after", t.bodies), ("leaves", t.leaves()), ("cells", t.cells)):
+        out = out.join(counted(P.owned(df.select("key"), heads), name), "rank", "left")
+    return out.na.fill(0)
+
+
+_RANKS = f"WITH {S.tree('b3', 16)}, {_HEADS}, own AS (SELECT 'after' AS what, MAX(rank) AS rank FROM (SELECT ROW_NUMBER() OVER () AS n, key FROM k) k JOIN h ON h.head <= k.key GROUP BY n UNION ALL SELECT CASE WHEN c.is_leaf THEN 'leaf' ELSE 'cell' END, MAX(rank) FROM cells c JOIN h ON h.head <= c.key GROUP BY c.key, c.is_leaf)"
+add("agg_load_balance", _load, f"{_RANKS} SELECT CAST(r AS INTEGER) AS rank, (SELECT COUNT(*) FROM b WHERE body_id % 8 = r) AS before, (SELECT COUNT(*) FROM own WHERE what = 'after' AND rank = r) AS after, (SELECT COUNT(*) FROM own WHERE what = 'leaf' AND rank = r) AS leaves, (SELECT COUNT(*) FROM own WHERE what <> 'after' AND rank = r) AS cells FROM (SELECT UNNEST(range(0, 8)) AS r)")
+
+
+# expansions in solid harmonics are the Cartesian ones of the same order in fewer numbers
+def _harmonics(kind: str):
+    return lambda spark, sf_dir: rounded(SH.with_harmonics(B.b3(spark, sf_dir), 3, kind).select("body_id", *(F.col(part)[n * n + n + m].alias(f"{part}{n}{m}") for n in range(3) for m in range(n + 1) for part in ("re", "im"))), "body_id")
+
+
+_RHO = "SQRT(x * x + y * y)"
+_REGULAR = {"00": ("1.0::DOUBLE", "0.0::DOUBLE"), "10": ("-z", "0.0::DOUBLE"), "11": ("x / 2", "y / 2"), "20": ("(2 * z * z - x * x - y * y) / 4", "0.0::DOUBLE"), "21": ("-z * x / 2", "-z * y / 2"), "22": ("(x * x - y * y) / 8", "x * y / 4")}
+_ANGLE = {"00": ("0.0::DOUBLE", "0.0::DOUBLE"), "10": (_RHO, "0.0::DOUBLE"), "11": (f"z * x / {_RHO} / 2", f"z * y / {_RHO} / 2"), "20": (f"-1.5::DOUBLE * z * {_RHO}", "0.0::DOUBLE"), "21": (f"-(z * z - x * x - y * y) * x / {_RHO} / 2", f"-(z * z - x * x - y * y) * y / {_RHO} / 2"), "22": (f"z * (x * x - y * y) / {_RHO} / 4", f"z * x * y / {_RHO} / 2")}
+_SINGULAR = {"00": ("1 / r", "0.0::DOUBLE"), "10": ("-z / POWER(r, 3)", "0.0::DOUBLE"), "11": ("x / POWER(r, 3)", "y / POWER(r, 3)"), "20": ("(3 * z * z - r * r) / POWER(r, 5)", "0.0::DOUBLE"), "21": ("-3 * z * x / POWER(r, 5)", "-3 * z * y / POWER(r, 5)"), "22": ("3 * (x * x - y * y) / POWER(r, 5)", "6 * x * y / POWER(r, 5)")}
+for _n, _kind, _forms in (("sph_eval_multipole", "regular", _REGULAR), ("sph_eval_multipole_theta", "by_angle", _ANGLE), ("sph_eval_local", "singular", _SINGULAR)):
+    add(_n, _harmonics(_kind), f"WITH {B.SQL['b3']}, p AS (SELECT *, SQRT(x * x + y * y + z * z) AS r FROM b) SELECT body_id, " + ", ".join(f"ROUND({e}, 6) + 0.0 AS {part}{nm}" for nm, both in _forms.items() for part, e in zip(("re", "im"), both)) + " FROM p")
+
+
+def _spherical(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    t = tree_of(spark, sf_dir)
+    if part == "m2p":
+        return rounded(X.by_multipoles(t, V.by_bodies(t, 0.8).far, 4, rules=SPHERICAL), "body_id")
+    if part == "far":
+        return rounded(X.far_field(t, V.dual(t, 0.4).far, X.ORDER, rules=SPHERICAL), "body_id")
+    return rounded(X.fast_multipole(t, V.dual(t, 0.4), X.ORDER, rules=SPHERICAL), "body_id", digits=5)
+
+
+add("sph_m2p", lambda spark, sf_dir: _spherical(spark, sf_dir, "m2p"), SQL["agg_m2p"])
+add("sph_far", lambda spark, sf_dir: _spherical(spark, sf_dir, "far"), SQL["agg_fmm_down"])
+add("sph_fmm", lambda spark, sf_dir: _spherical(spark, sf_dir, "all"), SQL["fmm"])
+
+
+def _sph_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At order 10, errors against direct sums: whether they are within the gate, and what the direct sums are."""
+    b = B.b3(spark, sf_dir)
+    want = K.direct(b, b)
+    gate = verify(api.laplace(b, ncrit=16, order=10, rules=SPHERICAL), want, 5e-3).select("good")
+    return want.agg(F.count("*").alias("bodies"), (F.round(F.sum(F.col("pot") * F.col("pot")), 0) + 0.0).alias("pot2")).crossJoin(gate)
+
+
+add("sph_gate", _sph_gate, f"WITH {B.SQL['b3']}, {direct_sql(0.0)} SELECT COUNT(*) AS bodies, ROUND(SUM(pot * pot), 0) + 0.0 AS pot2, TRUE AS good FROM d")
+
+# Cartesian terms: powers over factorials, and derivatives of 1/r
+_T20, _T10 = S.multi(4), S.multi(3)
+
+
+def _terms(rule, order: int, digits: int):
+    """A rule of expansions over each body's own vector."""
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = rule(np.stack([b.column(a).to_numpy() for a in AX], axis=1), order)
+        return pa.RecordBatch.from_arrays([b.column("body_id"), pa.array(list(rows))], names=["body_id", "t"])
+
+    return lambda spark, sf_dir: rounded(M.map_batches(B.b3(spark, sf_dir).select("body_id", *AX), batch, "body_id long, t array<double>").select("body_id", *(F.col("t")[i].alias(f"t{i}") for i in range(len(X.indices(order))))), "body_id", digits=digits)
+
+
+add("cart_terms", _terms(X.powers, 4, 8), f"WITH {B.SQL['b3']} SELECT body_id, " + ", ".join(f"ROUND({S.monomial(AX, a)}, 8) + 0.0 AS t{i}" for i, a in enumerate(_T20)) + " FROM b")
+add("cart_uniform", _terms(X.derivatives, 5, 4), f"WITH {B.SQL['b3']}, p AS (SELECT *, x * x + y * y + z * z AS r2 FROM b) SELECT body_id, " + ", ".join(f"ROUND({S.inverse_r(a, AX)}, 4) + 0.0 AS t{i}" for i, a in enumerate(S.multi(5))) + " FROM p")
+
+
+def _periodic_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root's local expansion from the images beyond the nearest, of two levels."""
+    t = tree_of(spark, sf_dir, "b3c")
+    return rounded(X.periodic_local(t, CYCLE, 2, 4).select("key", *(F.col("l")[i].alias(f"l{i}") for i in range(20))), "key")
+
+
+_AT4 = {a: i for i, a in enumerate(S.multi(4))}
+_BEYOND = "far AS (SELECT -(3 * a + d) * 1.0::DOUBLE AS rx, -(3 * b + e) * 1.0::DOUBLE AS ry, -(3 * c + f) * 1.0::DOUBLE AS rz FROM " + ", ".join(f"(SELECT UNNEST(range(-1, 2)) AS {v})" for v in "abcdef") + " WHERE a <> 0 OR b <> 0 OR c <> 0)"
+_ROOT = ", ".join(f"SUM(k.src * {S.monomial(('(g.cx - k.x)', '(g.cy - k.y)', '(g.cz - k.z)'), a)}) AS m{i}" for a, i in _AT4.items())
+_L4 = ", ".join("ROUND(SUM(" + " + ".join(f"m{j} * d{_AT4[S._plus(a, b)]}" for b, j in _AT4.items() if S._plus(a, b) in _AT4) + f"), 6) + 0.0 AS l{i}" for a, i in _AT4.items())
+add("agg_periodic_m2l", _periodic_local, f"WITH {S.tree('b3c', 16)}, {S.geometry()}, {_BEYOND}, m AS (SELECT {_ROOT} FROM k, g WHERE g.key = 0), q AS (SELECT *, rx * rx + ry * ry + rz * rz AS r2 FROM far, m), fd AS (SELECT *, {', '.join(f'{S.inverse_r(a)} AS d{i}' for a, i in _AT4.items())} FROM q) SELECT 0::BIGINT AS key, {_L4} FROM fd")

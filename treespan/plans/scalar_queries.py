@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from treespan.functions import geometry as G
 from treespan.functions import keys as K
 from treespan.functions import vectors as V
+from treespan.operators.partition import scan
 from treespan.operators.tree import bounding_box, with_keys
 from treespan.plans import sql as S
 from treespan.plans.registry import add
@@ -129,7 +130,18 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RANGES = f"WITH {S.keyed('b3')}, c AS (SELECT DISTINCT {S.prefix('key', '2')} AS cell FROM k) SELECT cell, CAST(COUNT(*) FILTER (WHERE k.key < cell) AS BIGINT) AS pos, CAST(COUNT(*) FILTER (WHERE k.key >= cell AND k.key < cell + (1::BIGINT << 56)) AS BIGINT) AS len FROM c, k GROUP BY cell"
 add("key_find_range", _ranges, _RANGES)
-add("key_body_range", _ranges, _RANGES)
+
+
+def _body_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cell of depth 3 under those with bodies: the places of its bodies, (0, 0) where it has none."""
+    q = _keyed(spark, sf_dir).select("key")
+    counts = q.groupBy(K3.prefix(_key(), 3).alias("cell")).agg(F.count("*").alias("len"))
+    every = q.select(K3.prefix(_key(), 2).alias("up")).distinct().select(F.explode(K3.children(F.col("up"))).alias("cell"))
+    at = scan(counts, "cell", "len", "pos", inclusive=False)
+    return every.join(at, "cell", "left").select("cell", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("len", F.lit(0)).alias("len"))
+
+
+add("key_body_range", _body_ranges, f"WITH {S.keyed('b3')}, n AS (SELECT {S.prefix('key', '3')} AS cell, COUNT(*) AS len FROM k GROUP BY 1), s AS (SELECT cell, len, CAST(SUM(len) OVER (ORDER BY cell) - len AS BIGINT) AS pos FROM n), u AS (SELECT DISTINCT {S.prefix('key', '2')} AS up FROM k), e AS (SELECT ((up + 1) | (i << {S.below('3')})) AS cell FROM u, (SELECT UNNEST(range(0, 8)) AS i)) SELECT e.cell, COALESCE(s.pos, 0) AS pos, COALESCE(s.len, 0) AS len FROM e LEFT JOIN s ON s.cell = e.cell")
 
 
 def _completed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,10 +184,14 @@ def _rs(expr: str, name: str = "v") -> str:
     return f"ROUND({expr}, 6) + 0.0 AS {name}"
 
 
+_floats = lambda v: [c.cast("float") for c in v]
 _arith = ", ".join(_rs(e, f"{n}{a}") for a in "xyz" for n, e in (("neg", f"-{a}"), ("add", f"{a} + u{a}"), ("sub", f"{a} - u{a}"), ("mul", f"{a} * u{a}"), ("scale", f"{a} * src"), ("div", f"{a} / src")))
 _arith_cols = lambda: [_r(c, f"{n}{a}") for i, a in enumerate("xyz") for n, c in (("neg", V.neg(_v())[i]), ("add", V.add(_v(), _u())[i]), ("sub", V.sub(_v(), _u())[i]), ("mul", V.mul(_v(), _u())[i]), ("scale", V.mul(_v(), F.col("src"))[i]), ("div", V.div(_v(), F.col("src"))[i]))]
-for _name in ("vec_arith", "cvec_arith", "pyvec_arith"):
-    _pair(_name, _arith, lambda: (*_arith_cols(),))
+_pair("vec_arith", _arith, lambda: (*_arith_cols(),))
+# element by element in single precision; and scaling and adding in the plane
+_pair("cvec_arith", ", ".join(f"CAST(CAST({a} AS FLOAT) {o} CAST(u{a} AS FLOAT) AS DOUBLE) AS {n}{a}" for a in "xyz" for n, o in (("add", "+"), ("sub", "-"), ("mul", "*"))),
+      lambda: (*(c[i].cast("float").cast("double").alias(f"{n}{a}") for i, a in enumerate("xyz") for n, c in (("add", V.add(_floats(_v()), _floats(_u()))), ("sub", V.sub(_floats(_v()), _floats(_u()))), ("mul", V.mul(_floats(_v()), _floats(_u()))))),))
+_pair("pyvec_arith", ", ".join(_rs(e, f"{n}{a}") for a in "xy" for n, e in (("mult", f"{a} * src"), ("add", f"{a} * src + u{a}"))), lambda: (*(c for i, a in enumerate("xy") for c in (_r(V.mul(_v(), F.col("src"))[i], f"mult{a}"), _r(V.add(V.mul(_v(), F.col("src")), _u())[i], f"add{a}"))),))
 _pair("vec_cmp", "(x > ux AND y > uy AND z > uz) AS gt, (x <= ux AND y <= uy AND z <= uz) AS le", lambda: (V.gt(_v(), _u()).alias("gt"), V.le(_v(), _u()).alias("le"),))
 _pair("vec_norm2", _rs("x * x + y * y + z * z"), lambda: (_r(V.norm2(_v())),))
 _pair("vec_sum", _rs("x + y + z"), lambda: (_r(V.total(_v())),))

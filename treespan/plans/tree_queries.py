@@ -176,9 +176,13 @@ def _placed(spark: SparkSession, sf_dir: str, order: list[str]) -> DataFrame:
     return P.numbered(_keyed(spark, sf_dir).select("body_id", "key", cell, rank), order, "place").select("body_id", "place")
 
 
-for _n, _o in (("sort_by_perm", ["key", "body_id"]), ("sort_radix", ["key", "body_id"]), ("sort_counting", ["cell", "body_id"]), ("sort_irank", ["rank", "body_id"]), ("sort_ibody", ["body_id"])):
+for _n, _o in (("sort_by_perm", ["key", "body_id"]), ("sort_counting", ["cell", "body_id"]), ("sort_irank", ["rank", "body_id"]), ("sort_ibody", ["body_id"])):
     add(_n, lambda spark, sf_dir, o=_o: _placed(spark, sf_dir, o),
         f"WITH {S.keyed('b3')}, q AS (SELECT body_id, key, {S.prefix('key', '1')} AS cell, body_id % 4 AS rank FROM k) SELECT body_id, ROW_NUMBER() OVER (ORDER BY {', '.join(_o)}) - 1 AS place FROM q")
+# the digits of the key, most significant first, then places in that order
+_DIGITS = [f"d{i}" for i in range(4)]
+add("sort_radix", lambda spark, sf_dir: P.numbered(_keyed(spark, sf_dir, "parts").select("body_id", *(F.shiftright("key", 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)).alias(d) for i, d in enumerate(_DIGITS))), [*_DIGITS, "body_id"], "place"),
+    f"WITH {S.keyed('parts')} SELECT body_id, {', '.join(f'(key >> {48 - 16 * i}) & 65535 AS {d}' for i, d in enumerate(_DIGITS))}, ROW_NUMBER() OVER (ORDER BY key, body_id) - 1 AS place FROM k")
 add("lim_first_n", lambda spark, sf_dir: B.b3(spark, sf_dir).select("body_id").orderBy("body_id").limit(100), f"WITH {B.SQL['b3']} SELECT body_id FROM b ORDER BY body_id LIMIT 100")
 add("lim_stride", lambda spark, sf_dir: P.strided(B.b3(spark, sf_dir).select("body_id"), "body_id", 100), f"WITH {B.SQL['b3']}, n AS (SELECT body_id, ROW_NUMBER() OVER (ORDER BY body_id) - 1 AS n, COUNT(*) OVER () AS m FROM b) SELECT body_id FROM n WHERE n % GREATEST(m // 100, 1) = 0 AND n // GREATEST(m // 100, 1) < 100")
 add("lim_np_check", lambda spark, sf_dir: B.parts(spark, sf_dir).agg(F.least(F.lit(100), F.count("*")).alias("n")), f"WITH {B.SQL['parts']} SELECT LEAST(100, COUNT(*)) AS n FROM b")
@@ -190,6 +194,18 @@ def _leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEAF = f"WITH {S.tree('lineitems', 16)}, l AS (SELECT key, nb FROM cells WHERE is_leaf)"
 add("win_inclusive_scan", lambda spark, sf_dir: P.scan(_leaf_counts(spark, sf_dir), "key", "nb", "scan"), f"{_LEAF} SELECT key, nb, CAST(SUM(nb) OVER (ORDER BY key) AS BIGINT) AS scan FROM l")
+_OPS = {"min": "MIN(nb)", "max": "MAX(nb)", "minus": "2 * FIRST(nb) - SUM(nb)"}
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running results of several operators over the leaves' counts."""
+    out = _leaf_counts(spark, sf_dir)
+    for op in _OPS:
+        out = P.scan(out, "key", "nb", op, op=op)
+    return out
+
+
+add("win_scan_operators", _scans, f"{_LEAF} SELECT key, nb, " + ", ".join(f"CAST({e.replace(')', ') OVER (ORDER BY key)')} AS BIGINT) AS {op}" for op, e in _OPS.items()) + " FROM l")
 add("win_exclusive_scan", lambda spark, sf_dir: P.scan(_leaf_counts(spark, sf_dir), "key", "nb", "scan", inclusive=False), f"{_LEAF} SELECT key, nb, CAST(SUM(nb) OVER (ORDER BY key) - nb AS BIGINT) AS scan FROM l")
 add("win_gpu_scan", lambda spark, sf_dir: P.scan(_leaf_counts(spark, sf_dir).withColumn("nb", (F.col("nb") > 0).cast("long")), "key", "nb", "scan"), f"{_LEAF} SELECT key, CAST(nb > 0 AS BIGINT) AS nb, CAST(SUM(CAST(nb > 0 AS BIGINT)) OVER (ORDER BY key) AS BIGINT) AS scan FROM l")
 add("win_octant_offset", lambda spark, sf_dir: tree_of(spark, sf_dir).cells.where("parent >= 0").select("key", "parent", "nb", (F.sum("nb").over(Window.partitionBy("parent").orderBy("key")) - F.col("nb")).alias("offset")),
