@@ -49,17 +49,21 @@ def texts(seed, unit):
     return [*some, None, "", some[0], some[0], "a" * 60, unit.join(["a"] * 50), " \t "]
 
 
-@pytest.mark.parametrize("length", [8, 13])
-def test_bytes(spark, length):
+@pytest.mark.parametrize("length, most, together", [(8, 8, 1 << 20), (13, 8, 1 << 20), (8, 1, 1 << 20), (8, 0, 40), (13, 1, 64)])
+def test_bytes(spark, monkeypatch, length, most, together):
+    monkeypatch.setattr(suffix_dedup, "MOST_SPANS", most)
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", together)
     rows = list(enumerate(texts(length, "")))
     got = suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect()
     want = removed_bytes([t for _, t in rows], length)
     assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(want))
 
 
-@pytest.mark.parametrize("shard", [1, 4096])
-def test_words(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard, most, together", [(1, 64, 1 << 20), (4096, 64, 1 << 20), (4096, 1, 1 << 20), (4096, 0, 20), (3, 2, 50)])
+def test_words(spark, monkeypatch, shard, most, together):
     monkeypatch.setattr(automata, "SHARD", shard)
+    monkeypatch.setattr(automata, "MOST_SPANS", most)
+    monkeypatch.setattr(automata, "WINDOWS", together)
     rows = [(i // 2 if i < 20 else i, t) for i, t in enumerate(texts(3, " "))]
     rows[7] = (None, rows[7][1])
     got = automata.digest(spark.createDataFrame(rows, "doc_id long, text string"), length=4, gram=2).collect()
@@ -105,3 +109,63 @@ def test_empty_table_and_other_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, key string, place int")
     got = {r.doc_id: (r.text, r.key, r.place) for r in suffix_dedup.dedup(df).collect()}
     assert got == {1: ("z" * 10, "k", 5), 2: ("", "v", 6), 3: (None, None, None)}
+
+
+def boilerplate(n, seed=11):
+    """Documents that share a passage between texts of their own, in several blocks."""
+    rng = random.Random(seed)
+    own = lambda k: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(1 << 30)}" for _ in range(k))
+    passage = own(30)
+    return [f"{own(rng.randrange(8, 20))} {passage} {own(rng.randrange(8, 20))}" if i % 3 else own(20) for i in range(n)]
+
+
+def test_hot_passage_is_settled_in_blocks(spark):
+    rows = list(enumerate(boilerplate(240)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(df, length=100).collect()}
+    assert got == dict(enumerate(removed_bytes([t for _, t in rows], 100)))
+    got = {r.doc_id: tuple(r)[1:] for r in automata.digest(df).collect()}
+    assert got == dict(enumerate(removed_words(rows, 13)))
+
+
+def test_a_hot_passage_sends_few_rows():
+    rows = boilerplate(2000)
+    key = np.arange(len(rows))
+    for n, most, kinds in ((2000, 8, (0, 1, 2)), (2000, 4000, (0, 3))):
+        doc, anchor, span, low, more = next(windows.spans((suffix_dedup._tokens(t.encode()) for t in rows[:n]), 200, 100))
+        dealt, _, _, _, _, weight, kind = windows.settled(anchor, span, None, key[doc], low << 20 | more, most)
+        assert set(kinds) <= set(kind.tolist()) and weight.sum() >= len(doc)
+        plain = np.unique(dealt[kind == windows.ROW], return_counts=True)[1]
+        assert plain.max() <= most
+
+
+def test_long_runs_of_two_tokens_are_told_apart():
+    bits = np.array([i.bit_count() & 1 for i in range(4096)])
+    a, b = (windows.Hashes(suffix_dedup._BYTE[x + 97]) for x in (bits, 1 - bits))
+    zero = np.zeros(1, np.int64)
+    assert a.of(zero, 4096) != b.of(zero, 4096)
+    assert a.of(zero, 4096) == a.every(4096)[0] and a.of(zero, 100) == a.every(100)[0]
+
+
+@pytest.mark.parametrize("plan", ["repartition", "distinct", "join"])
+def test_any_plan_before(spark, plan):
+    """Rows are told apart by written keys: AQE may deal them differently each time that a plan runs."""
+    rows = [(i, t) for i, t in enumerate(texts(21, "") * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {
+        "repartition": lambda: df.repartition(40, "doc_id"),
+        "distinct": lambda: df.dropDuplicates(["doc_id"]),
+        "join": lambda: df.hint("merge").join(spark.range(len(rows)).withColumnRenamed("id", "doc_id"), "doc_id"),
+    }[plan]
+    small = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.removed_bytes for r in suffix_dedup.dedup(made(), length=9).collect()}
+        assert got == {i: w[1] for i, w in enumerate(removed_bytes([t for _, t in rows], 9))}
+        got = {r.doc_id: r.n_removed for r in automata.dedup(made(), length=4, gram=2).collect()}
+        assert got == {i: w[1] for i, w in enumerate(removed_words(rows, 4))}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -17,15 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treespan.llm.common import materialize, with_row_key
+from treespan.llm.common import batches_of, discard, materialize, with_row_key
 from treespan.llm.suffix_dedup import runs_of, without
-from treespan.llm.windows import Hashes, spans
+from treespan.llm.windows import DONE, MARK, OPEN, WINDOWS, Hashes, halves, mix, ordered, settled, spans, stretches
 
 LENGTH = 13
 #: Words of an anchor at that length.
 GRAM = 5
 #: Rows of an anchor beyond which its windows are counted one by one instead: that can be dealt to many tasks.
 SHARD = 4096
+#: Stretches of an anchor in a block of documents beyond which it counts as such an anchor at once.
+MOST_SPANS = 64
+#: Texts that a Python worker gets at once.
+TEXTS = 2000
+_ROWS = "anchor long, span long, rank long, key long, place long, kind int"
 
 
 class Automaton:
@@ -103,8 +108,9 @@ def _first_digits(length: int, gram: int) -> Callable:
         for b in parts:
             key, rank = b.column("key").to_numpy(), b.column("rank").to_numpy()
             for doc, anchor, span, low, more in spans((tokens(words(t)) for t in _texts(b)), length, gram):
-                cols = (anchor.view(np.int64), span.view(np.int64), rank[doc], key[doc], low << 20 | more)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "span", "rank", "key", "place"])
+                anchor, span, ranks, keys, place, _, kind = settled(anchor, span, rank[doc], key[doc], low << 20 | more, MOST_SPANS)
+                cols = [pa.array(c) for c in (anchor, span, ranks, keys, place, kind.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "span", "rank", "key", "place", "kind"])
 
     return run
 
@@ -148,16 +154,34 @@ def _by_automata(length: int) -> Callable:
     return run
 
 
+def _block(high: np.ndarray, low: np.ndarray, rank: np.ndarray, key: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
+    """A block's windows of the least rank that they have here; and cuts (of null rank, their end as `low`) of the others."""
+    order, new = ordered(high, low)
+    high, low, rank, key, start = (x[order] for x in (high, low, rank, key, start))
+    first = np.flatnonzero(new)
+    least = rank == np.minimum.reduceat(rank, first)[np.cumsum(new) - 1] if len(first) else np.zeros(0, bool)
+    k, s, e = stretches(key[~least], start[~least], length)
+    alone = mix(k.view(np.uint64) ^ mix(s.view(np.uint64)))
+    cols = zip((high[least].view(np.int64), low[least].view(np.int64), key[least], start[least]), (alone.view(np.int64), e, k, s))
+    ranks = pa.concat_arrays([pa.array(rank[least], pa.int64()), pa.nulls(len(k), pa.int64())])
+    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c), pa.int64()) for c in cols), ranks], names=["high", "low", "key", "start", "rank"])
+
+
 def _windows(length: int) -> Callable:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for b in parts:
-            cols: list[list] = [[], [], [], [], []]
-            for anchor, rank, key, low, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "rank", "key", "low", "words"))):
+            for rank, key, low, raw in zip(*(b.column(c).to_pylist() for c in ("rank", "key", "low", "words"))):
                 said = np.frombuffer(raw, np.uint64)
                 at = np.arange(len(said) - length + 1)
-                for col, v in zip(cols, (np.full(len(at), anchor), Hashes(said).of(at, length).view(np.int64), np.full(len(at), rank), np.full(len(at), key), at + low)):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in cols], names=["anchor", "window", "rank", "key", "start"])
+                held.append((*halves(Hashes(said), at, length), np.full(len(at), rank), np.full(len(at), key), at + low))
+                size += len(at)
+                if size >= WINDOWS:
+                    yield _block(*map(np.concatenate, zip(*held)), length)
+                    held, size = [], 0
+        if held:
+            yield _block(*map(np.concatenate, zip(*held)), length)
 
     return run
 
@@ -168,28 +192,35 @@ def with_cuts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     They may overlap; cuts are null where there are none. Ids are integers; a null id is larger than any other, and
     rows of equal id don't cut each other. Null, empty and short texts have no windows.
     """
-    docs = with_row_key(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "key").withColumn("rank", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    digits = docs.select("key", "rank", "text").mapInArrow(_first_digits(length, gram), "anchor long, span long, rank long, key long, place long")
-    group, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "span")
-    passed = digits.withColumns({
-        "first": F.min("rank").over(same),
-        "large": F.count("*").over(group) > SHARD,
-        "apart": F.min("span").over(group) != F.max("span").over(group),
-    }).where("rank > first or apart")
-    settled = materialize(passed.select("key", "place", "large", F.when(F.col("apart") & (F.col("rank") == F.col("first")), F.col("anchor")).alias("anchor"), (F.col("rank") > F.col("first")).alias("cut")))
-    asked = settled.where("anchor is not null").groupBy("key").agg(F.collect_list(F.struct("anchor", "large", "place")).alias("asked"))
-    held = docs.join(asked, "key").select("key", "doc_id", "text", "rank", "asked")
-    stretches = materialize(held.mapInArrow(_stretches(length), "anchor long, large boolean, rank long, key long, low long, words binary"))
-    small = stretches.where("not large").drop("large").repartition("anchor").sortWithinPartitions("anchor", "rank").mapInArrow(_by_automata(length), "key long, start long")
-    large = stretches.where("large").drop("large").mapInArrow(_windows(length), "anchor long, window long, rank long, key long, start long")
-    large = large.withColumn("first", F.min("rank").over(Window.partitionBy("anchor", "window"))).where("rank > first").select("key", "start")
-    start = F.shiftright("place", 20)
-    cuts = (
-        settled.where("cut").select("key", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0xFFFFF)) + length).alias("end"))
-        .union(small.union(large).select("key", "start", (F.col("start") + length).alias("end")))
-        .groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    )
-    return docs.join(cuts, "key", "left").select("key", "doc_id", "text", "cuts")
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    docs = with_row_key(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "key").withColumn("rank", rank)
+    with batches_of(df.sparkSession, TEXTS):
+        digits = docs.select("key", "rank", "text").mapInArrow(_first_digits(length, gram), _ROWS)
+        group, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "span")
+        marked = F.max("kind").over(group) == MARK
+        passed = digits.withColumns({
+            "first": F.min("rank").over(same),
+            "large": (F.col("kind") == OPEN) | marked | (F.count("*").over(group) > SHARD),
+            "apart": (F.min("span").over(group) != F.max("span").over(group)) | marked,
+        })
+        cut = (F.col("kind") == DONE) | ((F.col("kind") < MARK) & (F.col("rank") > F.col("first")))
+        ask = (F.col("kind") == OPEN) | ((F.col("kind") < MARK) & F.col("apart") & (F.col("rank") == F.col("first")))
+        known = materialize(passed.select("key", "place", "large", "anchor", cut.alias("cut"), ask.alias("ask")).where("cut or ask"))
+        asked = known.where("ask").groupBy("key").agg(F.collect_list(F.struct("anchor", "large", "place")).alias("asked"))
+        held = docs.join(asked, "key").select("key", "text", "rank", "asked")
+        read = materialize(held.mapInArrow(_stretches(length), "anchor long, large boolean, rank long, key long, low long, words binary"))
+        small = read.where("not large").drop("large").repartition("anchor").sortWithinPartitions("anchor", "rank").mapInArrow(_by_automata(length), "key long, start long")
+        large = read.where("large").select("rank", "key", "low", "words").mapInArrow(_windows(length), "high long, low long, key long, start long, rank long")
+        large = large.withColumn("first", F.min("rank").over(Window.partitionBy("high", "low"))).where("rank is null or rank > first")
+        start = F.shiftright("place", 20)
+        cuts = (
+            known.where("cut").select("key", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0xFFFFF)) + length).alias("end"))
+            .union(small.select("key", "start", (F.col("start") + length).alias("end")))
+            .union(large.select("key", "start", F.when(F.col("rank").isNull(), F.col("low")).otherwise(F.col("start") + length).alias("end")))
+        )
+        cuts = materialize(cuts)
+        discard(known, read)
+    return docs.join(cuts.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("cuts")), "key", "left").select("key", "doc_id", "text", "cuts")
 
 
 def _cut(df: DataFrame, out: str, kinds: Sequence[pa.DataType], made: Callable[[list[bytes], list[bytes], int], tuple]) -> DataFrame:
