@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from treespan.operators import expansions as X
 from treespan.operators import kernels as K
-from treespan.operators import tree as T
+from treespan.operators import traverse as V
 from treespan.plans import sql as S
 from treespan.plans.force_queries import rounded
 from treespan.plans.lineage import new_path
 from treespan.plans.registry import add
+from treespan.plans.timers import TIMED, Timers, reports, write_reports
 from treespan.plans.tree_queries import K3, tree_of
 from treespan.sources import bodies as B
 from treespan.sources import files as W
@@ -55,8 +56,8 @@ add("src_target_reset", lambda spark, sf_dir: G.with_targets(spark.range(N).with
 add("src_init", lambda spark, sf_dir: rounded(G.generate(spark, N, "c", 3).select("body_id", "x", "y", "z", "src"), "body_id"),
     f"{_draws(3, 3)}, r1 AS (SELECT n AS id, v FROM u WHERE n < {N}) SELECT r.id AS body_id, {_xyz(*_CUBE)}, ROUND(r1.v - 0.5, 6) + 0.0 AS src FROM r JOIN r1 ON r1.id = r.id")
 _BHR = f"{_draws(4)} SELECT id AS body_id, {_xyz('u0', 'u1', 'u2')}, ROUND(u3 / {N} * 1000, 6) + 0.0 AS src FROM r"
-for _n in ("src_bh_random", "src_direct_random"):
-    add(_n, lambda spark, sf_dir: rounded(G.random_masses(spark, N).withColumn("src", F.col("src") * 1000), "body_id"), _BHR)
+add("src_bh_random", lambda spark, sf_dir: rounded(G.random_masses(spark, N).withColumn("src", F.col("src") * 1000), "body_id"), _BHR)
+add("src_direct_random", lambda spark, sf_dir: G.random_floats(spark, N).select("body_id", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "src"))), f"{_draws(4)} SELECT id AS body_id, " + ", ".join(f"CAST(CAST(u{k} AS FLOAT) AS DOUBLE) AS {c}" for k, c in enumerate(("x", "y", "z", "src"))) + " FROM r")
 add("src_py", lambda spark, sf_dir: rounded(G.random_masses(spark, N, dim=2, equal=True), "body_id"), f"{_draws(2)} SELECT id AS body_id, {_xyz('u0', 'u1')}, ROUND(1.0::DOUBLE / {N}, 6) + 0.0 AS src FROM r")
 add("src_wrapper_neutral", lambda spark, sf_dir: rounded(G.neutral(G.random_masses(spark, N).withColumn("src", F.col("src") * N)), "body_id"), f"{_draws(4)} SELECT id AS body_id, {_xyz('u0', 'u1', 'u2')}, ROUND(u3 - (SELECT AVG(u3) FROM r), 6) + 0.0 AS src FROM r")
 add("src_arrays", lambda spark, sf_dir: G.from_arrays(spark, np.arange(30.0), np.arange(10.0)), "SELECT n AS body_id, 3.0::DOUBLE * n AS x, 3.0::DOUBLE * n + 1 AS y, 3.0::DOUBLE * n + 2 AS z, 1.0::DOUBLE * n AS src FROM (SELECT UNNEST(range(0, 10)) AS n)")
@@ -94,7 +95,7 @@ def _xyz_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     W.dump_xyz(b, path)
     W.dump_xyz(b, path, append=True)
     lines = spark.read.text(path).select(F.split("value", " ").alias("v"))
-    return lines.select(*(F.round(F.col("v")[i].cast("double"), 4).alias(a) + 0.0 if False else (F.round(F.col("v")[i].cast("double"), 4) + 0.0).alias(a) for i, a in enumerate("xyz"))).groupBy("x", "y", "z").agg(F.count("*").alias("n"))
+    return lines.select(*((F.round(F.col("v")[i].cast("double"), 4) + 0.0).alias(a) for i, a in enumerate("xyz"))).groupBy("x", "y", "z").agg(F.count("*").alias("n"))
 
 
 add("sink_dump_xyz", _xyz_dump, f"WITH {B.SQL['b3']} SELECT ROUND(x, 4) + 0.0 AS x, ROUND(y, 4) + 0.0 AS y, ROUND(z, 4) + 0.0 AS z, 2 * COUNT(*) AS n FROM b GROUP BY 1, 2, 3")
@@ -119,28 +120,25 @@ def _rank_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("sink_rank_csv", _rank_csv, "SELECT COUNT(*) AS bodies, 4 AS ranks FROM embeddings")
 
 
-def report(t: T.Tree) -> dict[str, DataFrame]:
-    """Tables of a tree for reports: its size, its depths, and its octants."""
-    return {
-        "misc": t.cells.agg(F.count("*").alias("cells"), F.sum(F.col("is_leaf").cast("long")).alias("leaves"), F.sum(F.when(F.col("is_leaf"), F.col("nb"))).alias("bodies")),
-        "tree_construction": t.cells.groupBy("depth").agg(F.count("*").alias("cells"), F.sum("nb").alias("bodies")),
-        "load_balancing": t.leaves().groupBy(t.keys.msbits(F.col("key"), t.dim).alias("rank")).agg(F.count("*").alias("leaves"), F.sum("nb").alias("bodies")),
-    }
-
-
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six reports, written and read back: rows and columns of each, and the numbers that don't change from run to run."""
+    path, timers = new_path(spark), Timers()
+    with timers.part("tree_construction", "all"):
+        t = tree_of(spark, sf_dir)
+    tables = reports(t, 8, timers)
+    write_reports(tables, path, suffix="_1")
     out = None
-    for name, df in report(tree_of(spark, sf_dir)).items():
-        path = new_path(spark)
-        W.write_csv(df, path)
-        one = spark.read.option("header", True).csv(path).agg(F.count("*").alias("rows"), F.sum(F.col("bodies").cast("long")).alias("bodies")).select(F.lit(name).alias("name"), "rows", "bodies")
+    for name in tables:
+        read = spark.read.option("header", True).csv(f"{path}/{name}_1.csv")
+        sums = [F.sum(F.col(c).cast("long")) for c in ("NB", "NumBodies1", "NumBodies2", "NumLeaves", "NumCells") if c in read.columns]
+        one = read.agg(F.count("*").alias("rows"), sum(sums, F.lit(0)).cast("long").alias("total")).select(F.lit(name).alias("name"), F.lit(len(read.columns)).alias("columns"), "rows", "total")
         out = one if out is None else out.union(one)
     return out
 
 
-add("sink_report", _report, f"""WITH {S.tree('b3', 16)} SELECT 'misc' AS name, 1 AS rows, CAST(SUM(nb) AS BIGINT) AS bodies FROM cells WHERE is_leaf
-UNION ALL SELECT 'tree_construction', COUNT(DISTINCT depth), CAST(SUM(nb) AS BIGINT) FROM cells
-UNION ALL SELECT 'load_balancing', COUNT(DISTINCT key >> 59), CAST(SUM(nb) AS BIGINT) FROM cells WHERE is_leaf""")
+add("sink_report", _report, f"""WITH {S.tree('b3', 16)}, n AS (SELECT (SELECT COUNT(*) FROM b) AS bodies, COUNT(*) AS cells, COUNT(*) FILTER (WHERE is_leaf) AS leaves FROM cells)
+SELECT 'hostnames' AS name, 2 AS columns, 1::BIGINT AS rows, 0::BIGINT AS total UNION ALL SELECT 'misc', 2, 1, bodies FROM n UNION ALL SELECT 'load_balancing', 5, 8, 2 * bodies + leaves + cells FROM n
+UNION ALL SELECT 'tree_construction', 6, 1, 0 UNION ALL SELECT 'let_construction', 10, 1, 0 UNION ALL SELECT 'map2', 5, 1, 0""")
 add("sink_copyback", lambda spark, sf_dir: (lambda t: rounded(t.bodies.select("body_id", "key").join(K.direct(t.bodies, t.bodies), "body_id").orderBy("key", "body_id"), "body_id", "key"))(tree_of(spark, sf_dir)),
     f"""WITH {S.keyed('b3')}, p AS (SELECT t.body_id, s.src, s.x - t.x AS x, s.y - t.y AS y, s.z - t.z AS z, (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z) AS r2 FROM b t, b s),
 d AS (SELECT body_id, SUM(src / SQRT(r2)) AS pot, {', '.join(f'SUM({a} * src / (SQRT(r2) * r2)) AS acc_{a}' for a in 'xyz')} FROM p WHERE r2 <> 0 GROUP BY body_id)
@@ -148,13 +146,19 @@ SELECT d.body_id, k.key, {', '.join(f'ROUND({c}, 6) + 0.0 AS {c}' for c in ('pot
 
 
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multipoles, local expansions and bodies of the cells, dumped and read back."""
     t, path = tree_of(spark, sf_dir), new_path(spark)
-    m = X.multipoles(t, 2)
-    W.write_json(m, path)
-    return spark.read.schema("key long, m array<double>").json(path).select("key", (F.round(F.col("m")[0], 6) + 0.0).alias("mass"))
+    W.write_json(X.multipoles(t, 3), f"{path}/m")
+    W.write_json(X.locals_(t, V.dual(t, 0.4).far, 3), f"{path}/l")
+    W.write_json(t.bodies_in_leaves().groupBy(F.col("leaf").alias("key")).agg(F.array_sort(F.collect_list("body_id")).alias("bodies")), f"{path}/b")
+    read = lambda part, kind: spark.read.schema(f"key long, {kind}").json(f"{path}/{part}")
+    r = lambda c: F.round(c, 5) + 0.0
+    m, l, b = read("m", "m array<double>"), read("l", "l array<double>"), read("b", "bodies array<long>")
+    both = t.cells.select("key").join(m, "key", "left").join(l, "key", "left").join(b, "key", "left")
+    return both.select("key", r(F.col("m")[0]).alias("m0"), r(F.col("m")[3]).alias("m3"), r(F.col("l")[0]).alias("l0"), r(F.col("l")[9]).alias("l9"), F.array_join("bodies", ",").alias("bodies"))
 
 
-add("sink_debug_dump", _json, f"WITH {S.tree('b3', 16)} SELECT c.key, ROUND(SUM(k.src), 6) + 0.0 AS mass FROM cells c JOIN k ON (k.key >> {S.below('c.depth')}) = (c.key >> {S.below('c.depth')}) GROUP BY c.key")
+add("sink_debug_dump", _json, f"WITH RECURSIVE {S.tree('b3', 16)}, {S.geometry()}, {S.dual(0.4)}, {S.expansions(3)}, lb AS (SELECT c.key, STRING_AGG(CAST(k.body_id AS VARCHAR), ',' ORDER BY k.body_id) AS bodies FROM cells c JOIN k ON (k.key >> {S.below('c.depth')}) = (c.key >> {S.below('c.depth')}) WHERE c.is_leaf GROUP BY c.key) SELECT c.key, ROUND(m0, 5) + 0.0 AS m0, ROUND(m3, 5) + 0.0 AS m3, ROUND(l0, 5) + 0.0 AS l0, ROUND(l9, 5) + 0.0 AS l9, bodies FROM cells c LEFT JOIN mm ON mm.key = c.key LEFT JOIN lo ON lo.key = c.key LEFT JOIN lb ON lb.key = c.key")
 
 
 def _cells_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,22 +168,32 @@ def _cells_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("sink_cells_dump", _cells_dump, f"WITH {S.tree('b3', 16)}, {S.geometry()} SELECT key, depth, is_leaf, nb, " + ", ".join(f"ROUND(c{a}, 6) + 0.0 AS c{a}" for a in "xyz") + " FROM g")
-add("sink_vtk", lambda spark, sf_dir: W.vtk_lines(B.b3(spark, sf_dir)).groupBy("part").agg(F.count("*").alias("lines")), "SELECT 0 AS part, 5 AS lines UNION ALL SELECT 1, COUNT(*) FROM embeddings")
-
+def _vtk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a VTK file, written and read back; points in thousandths, as text forms of numbers differ."""
+    path = new_path(spark)
+    W.write_vtk(B.b3(spark, sf_dir), path)
+    parts = F.split("value", " ")
+    point = F.col("value").rlike("^[-0-9.eE]+ [-0-9.eE]+ [-0-9.eE]+$")
+    said = F.when(point, F.concat_ws(" ", *(F.floor(F.get(parts, F.lit(i)).try_cast("double") * 1000).cast("string") for i in range(3)))).otherwise(F.col("value"))
+    return spark.read.text(path).select(said.alias("line")).groupBy("line").agg(F.count("*").alias("n"))
 
-def _timers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wall seconds of the parts of a step."""
-    from time import perf_counter
 
-    rows, t0 = [], perf_counter()
-    t = tree_of(spark, sf_dir)
-    rows.append(("tree", perf_counter() - t0))
-    t0 = perf_counter()
-    X.multipoles(t, 3).count()
-    rows.append(("upward", perf_counter() - t0))
-    return spark.createDataFrame(rows, "timer string, seconds double")
+_HEAD = " UNION ALL ".join(f"SELECT '{h}' AS line" for h in ("# vtk DataFile Version 3.0", "bodies", "ASCII", "DATASET POLYDATA"))
+add("sink_vtk", _vtk, f"WITH {B.SQL['b3']}, v AS ({_HEAD} UNION ALL SELECT CONCAT('POINTS ', CAST(COUNT(*) AS VARCHAR), ' double') FROM b UNION ALL SELECT CONCAT_WS(' ', {', '.join(f'CAST(CAST(FLOOR({a} * 1000) AS BIGINT) AS VARCHAR)' for a in 'xyz')}) FROM b) SELECT line, COUNT(*) AS n FROM v GROUP BY line")
 
 
-add("sink_timers", _timers)
+def _timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts of a step took time: all that were run."""
+    timers = Timers()
+    with timers.part("tree_construction", "all"):
+        t = tree_of(spark, sf_dir)
+    with timers.part("map2", "all"):
+        with timers.part("map2", "net_traverse"):
+            V.dual(t, 0.8).far.count()
+    return timers.table(spark).select("report", "part", (F.col("seconds") > 0).alias("timed"))
+
+
+_PARTS = ", ".join(f"('{r}', '{p}', {str((r, p) in (('tree_construction', 'all'), ('map2', 'all'), ('map2', 'net_traverse'))).upper()})" for r, parts in TIMED.items() for p in parts)
+add("sink_timers", _timers, f"SELECT * FROM (VALUES {_PARTS}) t(report, part, timed)")
 add("date_now", lambda spark, sf_dir: spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("now")))
 assert K3.dim == 3

@@ -83,7 +83,24 @@ _scalar("key_includes", f"((c & 31) <= (c2 & 31) AND (c2 >> {S.below('c & 31')})
 _scalar("key_decode", "CONCAT('0', " + ", ".join(f"CASE WHEN {_d} >= {l} THEN CONCAT('-', {', '.join(f'CAST((c >> {3 * (19 - l) + 5 + b}) & 1 AS VARCHAR)' for b in (2, 1, 0))}) ELSE '' END" for l in range(1, 20)) + f", '<', CAST({_d} AS VARCHAR), '>') AS v", lambda: (K3.decoded(_c()).alias("v"),))
 _scalar("key_simplify", "CONCAT(SUBSTR(LPAD(CAST(c AS VARCHAR), 20, '0'), 1, 4), '..', SUBSTR(LPAD(CAST(c AS VARCHAR), 20, '0'), 17, 4)) AS v", lambda: (K3.simplified(_c()).alias("v"),))
 _scalar("key_describe", f"CONCAT(SUBSTR(LPAD(CAST(c AS VARCHAR), 20, '0'), 1, 4), '..', SUBSTR(LPAD(CAST(c AS VARCHAR), 20, '0'), 17, 4), ' ', CAST({_d} AS VARCHAR)) AS v", lambda: (F.concat_ws(" ", K3.simplified(_c()), K3.depth(_c()).cast("string")).alias("v"),))
-_scalar("key_legacy", f"{_d} AS depth, c + (1::BIGINT << {S.below(_d)}) AS nxt, (c >> 5) AS bits", lambda: (_as(K3.depth(_c()), "depth"), _as(K3.next(_c()), "nxt"), _as(K3.remove_depth(_c()), "bits"),))
+_legacy_sql = [
+    f"{_d} AS depth", f"c + (1::BIGINT << {S.below(_d)}) AS nxt", "(c >> 5) AS bits", "c + 1 AS deeper", "ci + 1 AS first",
+    f"((ci + 1) | (i8 << {S.below('(ci & 31) + 1')})) AS child", f"CASE WHEN {_d} = 0 THEN 0 ELSE {S.prefix('c', f'GREATEST({_d} - 1, 0)')} END AS parent",
+    f"((c & 31) < (key & 31) AND {S.prefix('key', 'c & 31')} = c) AS under", f"{S.prefix('(key & ~31::BIGINT) | d0', 'd0')} AS cleared",
+    *(f"{S.index('c', i)} AS a{i}" for i in range(3)),
+]
+
+
+def _legacy() -> tuple[Column, ...]:
+    """All functions on keys as plain numbers, one beside the other."""
+    return (
+        _as(K3.depth(_c()), "depth"), _as(K3.next(_c()), "nxt"), _as(K3.remove_depth(_c()), "bits"), _as(K3.incr_depth(_c(), 1), "deeper"), _as(K3.first_child(_ci()), "first"),
+        _as(K3.child(_ci(), F.col("i8")), "child"), _as(K3.parent(_c()), "parent"), K3.is_descendant(_c(), _key()).alias("under"), _as(K3.clear_descendants(K3.remove_depth(_key()) * 32 + F.col("d0")), "cleared"),
+        *(_as(K3.index(_c(), i), f"a{i}") for i in range(3)),
+    )
+
+
+_scalar("key_legacy", ", ".join(_legacy_sql), _legacy)
 _scalar("key_min_bitlen", "CASE WHEN a0 = 0 THEN 0 ELSE CAST(FLOOR(LOG2(a0)) AS BIGINT) + 1 END AS v", lambda: (_as(K.min_bit_length(K3.index(_key(), 0))),))
 _a5 = lambda: [K.shr(K3.index(_key(), i), 14) for i in range(3)]
 _b5 = "(" + " | ".join(f"((((a{i} >> 14) >> {b}) & 1) << {3 * b + i})" for b in range(5) for i in range(3)) + ")"

@@ -28,8 +28,19 @@ def _cells(df: DataFrame) -> DataFrame:
 for _name, _view, _ncrit in (("tree_partition", "b3", 16), ("tree_grow", "lineitems", 16), ("tree_refine", "coincident", 64), ("tree_py", "b2", 16), ("tree_c", "parts", 16)):
     add(_name, lambda spark, sf_dir, v=_view, n=_ncrit: _cells(tree_of(spark, sf_dir, v, n).cells), f"WITH {S.tree(_view, _ncrit, VIEWS[_view][1])} SELECT * FROM cells")
 add("tree_octree_upstream", lambda spark, sf_dir: _cells(tree_of(spark, sf_dir, "b3", 64, emit_empty=False).cells), f"WITH {S.tree('b3', 64, empty=False)} SELECT * FROM cells")
-add("tree_gpu", lambda spark, sf_dir: tree_of(spark, sf_dir, "parts", 64, emit_empty=False).cells.groupBy("depth").agg(F.count("*").alias("cells"), F.sum("nb").alias("bodies")).withColumn("depth", F.col("depth").cast("int")),
-    f"WITH {S.tree('parts', 64, empty=False)} SELECT depth, COUNT(*) AS cells, CAST(SUM(nb) AS BIGINT) AS bodies FROM cells GROUP BY depth")
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells in the order of their levels: each one's place, the range of its level, and the range of its bodies in key order."""
+    t = tree_of(spark, sf_dir, "parts", 64, emit_empty=False)
+    cells = P.numbered(t.cells.select("key", F.col("depth").cast("int").alias("depth")), ["depth", "key"], "place")
+    ranges = cells.groupBy("depth").agg(F.min("place").alias("level_first"), F.max("place").alias("level_last"))
+    placed = P.numbered(t.bodies.select("body_id", "key"), ["key", "body_id"], "at")
+    bodies = placed.select(F.explode(K3.ancestors(F.col("key"))).alias("key"), "at").groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    return cells.join(F.broadcast(ranges), "depth").join(bodies, "key")
+
+
+add("tree_gpu", _levels, f"WITH {S.tree('parts', 64, empty=False)}, p AS (SELECT key, ROW_NUMBER() OVER (ORDER BY key, body_id) - 1 AS pos FROM k), l AS (SELECT key, depth, ROW_NUMBER() OVER (ORDER BY depth, key) - 1 AS place FROM cells) SELECT l.key, l.depth, l.place, MIN(place) OVER (PARTITION BY l.depth) AS level_first, MAX(place) OVER (PARTITION BY l.depth) AS level_last, r.first, r.last FROM l JOIN (SELECT {S.prefix('key', 'd')} AS key, MIN(pos) AS first, MAX(pos) AS last FROM p, (SELECT UNNEST(range(0, 20)) AS d) GROUP BY 1) r ON r.key = l.key")
 add("tree_leaves", lambda spark, sf_dir: tree_of(spark, sf_dir).leaves().select("key", "nb"), f"WITH {S.tree('b3', 16)} SELECT key, nb FROM cells WHERE is_leaf")
 add("tree_stats", lambda spark, sf_dir: tree_of(spark, sf_dir, "lineitems", 64).cells.agg(F.sum(F.when(F.col("is_leaf"), F.col("nb"))).alias("bodies"), F.count("*").alias("cells"), F.max("depth").cast("int").alias("depth")),
     f"WITH {S.tree('lineitems', 64)} SELECT CAST(SUM(nb) FILTER (WHERE is_leaf) AS BIGINT) AS bodies, COUNT(*) AS cells, MAX(depth) AS depth FROM cells")
@@ -119,17 +130,17 @@ add("tree_local_bb", _local_boxes, f"{_LOCAL}, {S.geometry()} SELECT g.key, {_BO
 
 
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each cell of a finer tree is found in a coarser: itself, or else in the halo of its parent."""
-    fine, coarse = tree_of(spark, sf_dir, "b3", 4).cells, tree_of(spark, sf_dir, "b3", 16).cells
-    own = coarse.select("key", F.col("nb").alias("own"))
-    halo = coarse.select(F.col("key").alias("parent"), F.col("nb").alias("halo"))
-    return fine.join(own, "key", "left").join(halo, "parent", "left").select("key", F.coalesce("own", "halo", F.lit(-1)).alias("found"))
+    """Where an owner finds each cell of a finer tree: among its own, else among cells got for it, else in the global tree."""
+    fine, marked = tree_of(spark, sf_dir, "b3", 4).cells.select("key"), _owned_tree(spark, sf_dir)
+    own = marked.where("local and owner = 0").select("key", F.lit("local").alias("a"))
+    got = marked.where("local and owner > 0").select("key", F.lit("got").alias("b"))
+    every = T.global_tree(T.local_roots(marked), K3).select("key", F.lit("global").alias("c"))
+    return fine.join(own, "key", "left").join(got, "key", "left").join(every, "key", "left").select("key", F.coalesce("a", "b", "c", F.lit("none")).alias("found"))
 
 
-_FINE = S.tree("b3", 4)
-add("tree_lookup", _lookup, f"""WITH {S.tree('b3', 16)}, below4 AS (SELECT c.key AS parent, ((c.key + 1) | (i << {S.below('(c.key & 31) + 1')})) AS key FROM counts c, (SELECT UNNEST(range(0, 8)) AS i) WHERE c.nb > 4 AND (c.key & 31) < 19),
-fine AS (SELECT 0::BIGINT AS key, -1::BIGINT AS parent UNION ALL SELECT key, parent FROM below4)
-SELECT f.key, COALESCE(o.nb, h.nb, -1) AS found FROM fine f LEFT JOIN cells o ON o.key = f.key LEFT JOIN cells h ON h.key = f.parent""")
+add("tree_lookup", _lookup, f"""{_LOCAL}, below4 AS (SELECT c.key AS parent, ((c.key + 1) | (i << {S.below('(c.key & 31) + 1')})) AS key FROM counts c, (SELECT UNNEST(range(0, 8)) AS i) WHERE c.nb > 4 AND (c.key & 31) < 19),
+fine AS (SELECT 0::BIGINT AS key UNION ALL SELECT key FROM below4), gtree AS (SELECT DISTINCT {S.prefix('key', 'd')} AS key FROM roots, (SELECT UNNEST(range(0, 20)) AS d) WHERE d <= (key & 31))
+SELECT f.key, CASE WHEN m.local AND m.owner = 0 THEN 'local' WHEN m.local THEN 'got' WHEN g.key IS NOT NULL THEN 'global' ELSE 'none' END AS found FROM fine f LEFT JOIN marked m ON m.key = f.key LEFT JOIN gtree g ON g.key = f.key""")
 
 
 def _accessors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,9 @@ def vtk_lines(df: DataFrame) -> DataFrame:
     head = ["# vtk DataFile Version 3.0", "bodies", "ASCII", "DATASET POLYDATA", f"POINTS {n} double"]
     top = df.sparkSession.createDataFrame([(0, i, h) for i, h in enumerate(head)], "part int, n long, value string")
     return top.union(numbered(df, ["body_id"], "n").select(F.lit(1), "n", F.concat_ws(" ", *(F.col(a).cast("string") for a in "xyz"))))
+
+
+def write_vtk(df: DataFrame, path: str) -> None:
+    """A legacy VTK file of points: its parts, one after the other by name, are the file."""
+    lines = vtk_lines(df)
+    lines.repartitionByRange("part", "n").sortWithinPartitions("part", "n").select("value").write.mode("overwrite").text(path)

@@ -115,6 +115,11 @@ def random_masses(spark: SparkSession, n: int, seed: int = 0, dim: int = 3, equa
     return u.select(F.col("id").alias("body_id"), *(F.col(f"u{k}").alias(a) for k, a in enumerate(AXES[:dim])), src.alias("src"))
 
 
+def random_floats(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """Bodies of the unit cube in single precision: coordinates, then strength, as the generator gives them."""
+    return draws(spark, n, 4, seed).select(F.col("id").alias("body_id"), *(F.col(f"u{k}").cast("float").alias(a) for k, a in enumerate((*AXES, "src"))))
+
+
 def neutral(bodies: DataFrame) -> DataFrame:
     """Charges less their mean."""
     mean = bodies.agg(F.avg("src").alias("__mean"))
