@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treespan.operators.traverse import Interactions
 from treespan.operators.tree import AXES, Tree
+from treespan.plans.lineage import small
 
 #: Softening of the gravity sums.
 EPS2 = 1e-6
+#: Bodies of a leaf that are taken together, on average at most.
+BLOCK = 128
 
 
 def squared(dim: int, a: str = "x", b: str = "t") -> Column:
@@ -66,12 +73,56 @@ def barnes_hut(tree: Tree, pairs: Interactions, targets: DataFrame | None = None
     return laplace(acting, dim, eps2)
 
 
+def _blocks(tree: Tree, side: str, values: dict[str, Column], by: tuple[str, ...]) -> DataFrame:
+    """Bodies of leaves as arrays, about BLOCK at most in a row: leaves of the greatest depth may hold any number."""
+    rows = tree.bodies_in_leaves()
+    if side == "s":  # sources at one place act as one
+        rows = rows.groupBy("leaf", *AXES[: tree.dim]).agg(F.sum("src").alias("src"))
+    parts = small(tree.leaves().where("nb > 0").select(F.col("key").alias("leaf"), F.ceil(F.col("nb") / BLOCK).alias("__parts")), tree.n_cells)
+    block = F.pmod(F.xxhash64(*by), F.col("__parts"))
+    grouped = rows.join(parts, "leaf").groupBy("leaf", block.alias("__block")).agg(F.collect_list(F.struct(*(c.alias(n) for n, c in values.items()))).alias("__rows"))
+    return grouped.select(F.col("leaf").alias(f"leaf_{side}"), *(F.col("__rows")[n].alias(n) for n in values))
+
+
 def near_field(tree: Tree, near: DataFrame, sources: Tree | None = None, eps2: float = 0.0) -> DataFrame:
-    """Per body the sums over the bodies of the leaves paired with its own."""
-    dim = tree.dim
-    t = _side(tree.bodies_in_leaves(), "t", dim, F.col("leaf").alias("i"), "body_id")
-    s = _side((sources or tree).bodies_in_leaves(), "s", dim, F.col("leaf").alias("j"), F.col("src").alias("src_s"))
-    return laplace(near.join(t, "i").join(s, "j"), dim, eps2)
+    """Per body the sums over the bodies of the leaves paired with its own, block by block of two leaves' bodies.
+
+    As laplace: pairs of distance 0 count not, unless softened.
+    """
+    axes = AXES[: tree.dim]
+    t = _blocks(tree, "t", {"body_id": F.col("body_id")} | {f"{a}_t": F.col(a) for a in axes}, ("body_id",))
+    s = _blocks(sources or tree, "s", {"src": F.col("src")} | {f"{a}_s": F.col(a) for a in axes}, axes)
+    pairs = near.join(t, F.col("i") == F.col("leaf_t")).join(s, F.col("j") == F.col("leaf_s")).drop("i", "j", "leaf_t", "leaf_s")
+    names = ["body_id", "pot", *(f"acc_{a}" for a in axes)]
+
+    def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+        c = batch.column(name)
+        return c.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            if not b.num_rows:
+                continue
+            ids, at_t = column(b, "body_id")
+            q, at_s = column(b, "src")
+            x_t, x_s = (np.stack([column(b, f"{a}_{side}")[0] for a in axes], axis=1) for side in "ts")
+            out = np.zeros((len(ids), 1 + len(axes)))
+            for k in range(b.num_rows):
+                t, s = slice(at_t[k], at_t[k + 1]), slice(at_s[k], at_s[k + 1])
+                d = x_s[None, s] - x_t[t][:, None]
+                r2 = (d * d).sum(axis=2) + eps2
+                inv = np.divide(1.0, np.sqrt(r2), out=np.zeros_like(r2), where=r2 != 0)
+                out[t, 0] = inv @ q[s]
+                out[t, 1:] = ((inv**3 * q[s])[:, :, None] * d).sum(axis=1)
+            # a body's sums within the batch go as one row
+            unique, of = np.unique(ids, return_inverse=True)
+            sums = np.zeros((len(unique), out.shape[1]))
+            np.add.at(sums, of, out)
+            yield pa.RecordBatch.from_arrays([pa.array(unique), *(pa.array(sums[:, i]) for i in range(sums.shape[1]))], names=names)
+
+    kind = tree.bodies.schema["body_id"].dataType.simpleString()
+    sums = pairs.mapInArrow(run, f"body_id {kind}, " + ", ".join(f"{n} double" for n in names[1:]))
+    return sums.groupBy("body_id").agg(*(F.sum(n).alias(n) for n in names[1:]))
 
 
 def normalized(sums: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treespan.functions.keys import Keys
-from treespan.plans.lineage import materialize, small
+from treespan.plans.lineage import discard, materialize, small
 
 AXES = ("x", "y", "z")
 
@@ -38,6 +38,7 @@ class Tree:
     bodies: DataFrame
     cells: DataFrame
     n_cells: int = field(default=0)
+    _placed: DataFrame | None = field(default=None, repr=False)
 
     @property
     def dim(self) -> int:
@@ -57,15 +58,22 @@ class Tree:
         return cells.withColumns(out)
 
     def bodies_in_leaves(self) -> DataFrame:
-        """Bodies with the key of their `leaf`: an equi-join on the prefixes between the least and greatest leaf depth."""
-        low, high = self.leaves().where("nb > 0").agg(F.min("depth"), F.max("depth")).first()
-        if low is None:
-            return self.bodies.withColumn("leaf", F.lit(None).cast("long")).limit(0)
-        if low == high:
-            return self.bodies.withColumn("leaf", self.keys.prefix(F.col("key"), low))
-        prefixes = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda d: self.keys.prefix(F.col("key"), d))
-        asked = self.bodies.withColumn("leaf", F.explode(prefixes))
-        return asked.join(small(self.leaves().where("nb > 0").select(F.col("key").alias("leaf")), self.n_cells), "leaf")
+        """Bodies with the key of their `leaf`, written once: every sum over the tree's bodies reads it.
+
+        An equi-join on the prefixes between the least and greatest leaf depth.
+        """
+        if self._placed is None:
+            low, high = self.leaves().where("nb > 0").agg(F.min("depth"), F.max("depth")).first()
+            if low is None:
+                placed = self.bodies.withColumn("leaf", F.lit(None).cast("long")).limit(0)
+            elif low == high:
+                placed = self.bodies.withColumn("leaf", self.keys.prefix(F.col("key"), low))
+            else:
+                prefixes = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda d: self.keys.prefix(F.col("key"), d))
+                asked = self.bodies.withColumn("leaf", F.explode(prefixes))
+                placed = asked.join(small(self.leaves().where("nb > 0").select(F.col("key").alias("leaf")), self.n_cells), "leaf")
+            self._placed = materialize(placed)
+        return self._placed
 
 
 def bounding_box(bodies: DataFrame, dim: int = 3, kind: str = "cube") -> Box:
@@ -97,9 +105,12 @@ def with_keys(bodies: DataFrame, box: Box, keys: Keys) -> DataFrame:
     return bodies.withColumn("key", F.coalesce(keys.encode(anchor), F.lit(0).cast("long")))
 
 
-def prefix_counts(keyed: DataFrame, keys: Keys, ncrit: int, n: int, max_depth: int) -> DataFrame:
-    """(key, nb) of every prefix with bodies down to where counts are at most ncrit, and a few more."""
-    out, top, rest = None, 0, keyed.select("key", F.lit(1).cast("long").alias("nb"))
+def prefix_counts(finest: DataFrame, keys: Keys, ncrit: int, n: int, max_depth: int) -> DataFrame:
+    """(key, nb) of every prefix with bodies down to where counts are at most ncrit, and a few more.
+
+    `finest` is a written table of (key, nb), a row for each key of the deepest level that bodies have.
+    """
+    out, top, rest = None, 0, finest
     fine = min(max_depth, max(1, ceil(log(max(n, 2) / ncrit, keys.fan))) + 3) if n > ncrit else 0
     while True:
         cells = rest.groupBy(keys.prefix(F.col("key"), fine).alias("key")).agg(F.sum("nb").alias("nb"))
@@ -125,8 +136,10 @@ def build_tree(bodies: DataFrame, ncrit: int = 16, dim: int = 3, box: Box | str
     deepest = keys.max_depth if max_depth is None else min(max_depth, keys.max_depth)
     box = bounding_box(bodies, dim, box) if isinstance(box, str) else box
     keyed = with_keys(placed(bodies, dim), box, keys)
-    n = keyed.count()
-    counts = prefix_counts(keyed, keys, ncrit, n, deepest)
+    # bodies are read, encoded and counted once; all else is about their distinct keys
+    finest = materialize(keyed.groupBy("key").agg(F.count("*").alias("nb")))
+    n = finest.agg(F.sum("nb")).first()[0] or 0
+    counts = prefix_counts(finest, keys, ncrit, n, deepest)
     spark = bodies.sparkSession
     depth = keys.depth(F.col("key"))
     split = counts.where((F.col("nb") > ncrit) & (depth < deepest)).select("key")
@@ -135,6 +148,7 @@ def build_tree(bodies: DataFrame, ncrit: int = 16, dim: int = 3, box: Box | str
     root = spark.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("parent"), F.lit(n).cast("long").alias("nb"))
     cells = root.unionByName(below).select("key", "parent", depth.alias("depth"), ((F.col("nb") <= ncrit) | (depth >= deepest)).alias("is_leaf"), "nb")
     cells = materialize(cells)
+    discard(finest)
     return Tree(keys, box, ncrit, keyed, cells, cells.count())
 
 

@@ -9,10 +9,12 @@ from treespan.operators import exchange as E
 from treespan.operators import expansions as X
 from treespan.operators import kernels as K
 from treespan.operators import partition as P
+from treespan.operators import periodic
 from treespan.operators import traverse as V
 from treespan.operators import tree as T
 from treespan.plans import sql as S
 from treespan.plans.force_queries import AX, _dual_sql, rounded
+from treespan.plans.lineage import small
 from treespan.plans.registry import add
 from treespan.plans.tree_queries import K3, _HEADS, _LOCAL, _keyed, _owned_tree, tree_of
 from treespan.sources import bodies as B
@@ -78,7 +80,7 @@ def _gpu_mac(spark: SparkSession, sf_dir: str) -> DataFrame:
     trg = g.where("is_leaf").select(F.col("key").alias("i"), *(F.col(f"c{a}").alias(f"t{a}") for a in AX), F.col("w0").alias("tw"))
     d = [F.greatest(F.abs(F.col(f"m{a}") - F.col(f"t{a}")) - F.col("tw") / 2, F.lit(0.0)) for a in AX]
     near = (sum((x * x for x in d), F.lit(0.0)) < F.col("reach") * F.col("reach")) | (F.col("nb") < 3)
-    return trg.crossJoin(F.broadcast(src)).groupBy("i").agg(F.count("*").alias("cells"), F.sum(near.cast("long")).alias("near"))
+    return trg.crossJoin(small(src, t.n_cells)).groupBy("i").agg(F.count("*").alias("cells"), F.sum(near.cast("long")).alias("near"))
 
 
 _COMS = f"m AS (SELECT {S.prefix('key', 'd')} AS key, SUM(src) AS mass, SUM(x * src) AS sx, SUM(y * src) AS sy, SUM(z * src) AS sz FROM k, (SELECT UNNEST(range(0, 20)) AS d) GROUP BY 1), j AS (SELECT g.*, sx / mass AS mx, sy / mass AS my, sz / mass AS mz FROM g JOIN m ON m.key = g.key)"
@@ -90,13 +92,13 @@ add("flt_mac_gpu", _gpu_mac, f"{_TREE}, {S.geometry()}, {_COMS} SELECT t.key AS
 def _close(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tree_of(spark, sf_dir)
     g = t.with_geometry(t.leaves().where("nb > 0"))
-    a = g.select(F.col("key").alias("i"), *(F.col(f"c{x}").alias(f"a{x}") for x in AX))
-    b = g.select(F.col("key").alias("j"), *(F.col(f"c{x}").alias(f"b{x}") for x in AX))
-    d2 = sum(((F.col(f"a{x}") - F.col(f"b{x}")) * (F.col(f"a{x}") - F.col(f"b{x}")) for x in AX), F.lit(0.0))
-    return a.join(F.broadcast(b), d2 < 0.04).select("i", "j")
+    centres = g.select(F.col("key").alias("body_id"), *(F.col(f"c{x}").alias(x) for x in AX))
+    # a grid join; a leaf is close to itself, too
+    near = periodic.pairs_within(centres, centres, 0.2).select(F.col("body_id").alias("i"), F.col("other").alias("j"))
+    return near.union(centres.select(F.col("body_id").alias("i"), F.col("body_id").alias("j")))
 
 
-add("flt_mac_proto", _close, f"{_TREE}, {S.geometry()} SELECT p.key AS i, q.key AS j FROM g p, g q WHERE p.is_leaf AND q.is_leaf AND p.nb > 0 AND q.nb > 0 AND {' + '.join(f'(p.c{a} - q.c{a}) * (p.c{a} - q.c{a})' for a in AX)} < 0.04::DOUBLE")
+add("flt_mac_proto", _close, f"{_TREE}, {S.geometry()} SELECT p.key AS i, q.key AS j FROM g p, g q WHERE p.is_leaf AND q.is_leaf AND p.nb > 0 AND q.nb > 0 AND {' + '.join(f'(p.c{a} - q.c{a}) * (p.c{a} - q.c{a})' for a in AX)} < 0.2::DOUBLE * 0.2::DOUBLE")
 
 
 def _rmax(spark: SparkSession, sf_dir: str) -> DataFrame:
