@@ -167,20 +167,29 @@ add("agg_count_cells", lambda spark, sf_dir: K.moments(tree_of(spark, sf_dir)).s
 
 
 def _bh_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, p = _bh(spark, sf_dir)
-    return rounded(K.barnes_hut(t, p), "body_id", digits=4)
+    return rounded(K.barnes_hut_sums(tree_of(spark, sf_dir, "b3", 1)), "body_id", digits=4)
+
+
+def _bh_force_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With leaves of several bodies, by the rows of pairs that trees of any size go by."""
+    t = tree_of(spark, sf_dir, "b3", 8)
+    return rounded(K.barnes_hut(t, V.by_bodies(t, 0.5)), "body_id", digits=4)
 
 
 _ACT = f"""{_BH}, {_MOMENTS}, s AS (SELECT acts.i, com.mass AS src, com.x, com.y, com.z FROM acts JOIN com ON com.key = acts.j),
 q AS (SELECT t.body_id, s.src, s.x - t.x AS x, s.y - t.y AS y, s.z - t.z AS z, (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z) + 1e-6::DOUBLE AS r2 FROM s JOIN b t ON t.body_id = s.i),
 d AS (SELECT body_id, SUM(src / SQRT(r2)) AS pot, {', '.join(f'SUM({a} * src / (SQRT(r2) * r2)) AS acc_{a}' for a in AX)} FROM q GROUP BY body_id)"""
 add("agg_bh_force", _bh_force, f"{_ACT} SELECT body_id, {_r(digits=4)} FROM d")
+_ACT8 = f"""WITH RECURSIVE {S.tree('b3', 8)}, {S.geometry()}, {S.body_walk(0.5)}, {_MOMENTS}, s AS (SELECT acts.i, com.mass AS src, com.x, com.y, com.z FROM acts JOIN com ON com.key = acts.j WHERE acts.state = 'far'
+ UNION ALL SELECT acts.i, k.src, k.x, k.y, k.z FROM acts JOIN k ON (k.key >> {S.below('(acts.j & 31)')}) = (acts.j >> {S.below('(acts.j & 31)')}) WHERE acts.state = 'near'),""" + _ACT.split("FROM acts JOIN com ON com.key = acts.j),", 1)[1]
+add("agg_bh_force_pairs", _bh_force_leaves, f"{_ACT8} SELECT body_id, {_r(digits=4)} FROM d")
+add("agg_bh_force_walked", lambda spark, sf_dir: rounded(K.barnes_hut_sums(tree_of(spark, sf_dir, "b3", 8)), "body_id", digits=4), f"{_ACT8} SELECT body_id, {_r(digits=4)} FROM d")
 
 
 def _bh_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative errors against the direct sum, and whether both are below the accuracy asked for."""
-    t, p = _bh(spark, sf_dir)
-    return verify(K.barnes_hut(t, p), K.direct(t.bodies, t.bodies, eps2=K.EPS2), 1e-2)
+    t = tree_of(spark, sf_dir, "b3", 1)
+    return verify(K.barnes_hut_sums(t), K.direct(t.bodies, t.bodies, eps2=K.EPS2), 1e-2)
 
 
 def verify(got: DataFrame, want: DataFrame, most: float) -> DataFrame:
