@@ -169,3 +169,41 @@ def test_stage_at_exactly_its_similarity(spark):
     assert errors(grouped_of(spark, texts), want) == (0, 0)
     kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == set(want)
+
+
+@pytest.mark.parametrize("plan", ["repartition", "distinct", "join"])
+def test_any_plan_before(spark, plan):
+    """Half of the rows are copies: whatever plan they come from and however AQE deals it, the other half stays."""
+    rng = random.Random(14)
+    own = [" ".join(f"w{rng.randrange(1 << 30)}" for _ in range(30)) for _ in range(400)]
+    df = spark.createDataFrame([(i, own[i // 2]) for i in range(800)], "doc_id long, text string")
+    made = {
+        "repartition": lambda: df.repartition(40, "doc_id"),
+        "distinct": lambda: df.dropDuplicates(["doc_id"]),
+        "join": lambda: df.hint("merge").join(spark.range(800).withColumnRenamed("id", "doc_id"), "doc_id"),
+    }[plan]
+    small = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        assert sorted(r.doc_id for r in simhash.one_of_each(made()).collect()) == list(range(0, 800, 2))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_stages_on_empty_null_and_repeated_rows(spark, tmp_path):
+    """Every stage, and the whole, on a table without rows, and on one of nulls, empty texts and repeated rows."""
+    kind = table(spark, DATA, "documents").schema
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "x y z", "en", "s", 5), (3, "a b c d e f g", None, None, 13), (3, "a b c d e f g", None, None, 13), (4, " \t ", "en", "s", 3)]
+    for name, some in (("none", []), ("few", rows)):
+        docs = spark.createDataFrame([dict(zip(("doc_id", "text", "lang", "source", "n_chars"), r)) for r in some], kind)
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0), (None, 0, None), (3, None, 1)], table(spark, DATA, "labels").schema).limit(len(some)).write.parquet(str(tmp_path / name / "labels.parquet"))
+        for _, stage in pipeline.STAGES:
+            got = stage(spark, docs, str(tmp_path / name))
+            assert got.count() <= max(len(some), 0)
+        assert pipeline.run(spark, str(tmp_path / name)).count() <= len(some)
+    kept = [r.doc_id for r in simhash.one_of_each(spark.createDataFrame([dict(zip(("doc_id", "text", "lang", "source", "n_chars"), r)) for r in rows], kind)).collect()]
+    assert sorted(kept, key=str) == [1, 3, None]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treespan.llm.common import materialize
+from treespan.llm.common import discard, materialize
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = materialize(low.select(F.col("a").alias("node"), F.least(F.col("m"), mark(F.col("a")))["v"].alias("root")))
         steps.append(step)
         moved = cur.join(step.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-        cur = materialize(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        before, cur = cur, materialize(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(before)
     if not steps:
         return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
     full = steps[-1]

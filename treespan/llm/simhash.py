@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treespan.llm.common import materialize, with_row_key
+from treespan.llm.common import batches_of, discard, materialize, with_row_key
 from treespan.llm.components import components
 from treespan.llm.windows import mix
 
@@ -334,25 +334,15 @@ def _alike(size: int):
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar. Texts always move by shuffle, so that what is moved follows the input at every size."""
-    spark = docs.sparkSession
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    """The pairs (a, b) of keys whose texts are similar; `pairs` is a written table."""
+    # where each text goes: to its own key if that has pairs to judge, and to every a that it is the b of
+    asked = pairs.select(F.col("a").alias("key"), "a", F.lit(None).cast("long").alias("b")).distinct().union(pairs.select(F.col("b").alias("key"), "a", "b"))
     # few texts are asked for: most others go by a hash of their key before the shuffle
     code = F.pmod(F.xxhash64("key"), F.lit(ASKED_CODES)).alias("code")
     codes = F.broadcast(asked.select(code).distinct())
     likely = docs.withColumn("code", code).join(codes, "code", "left_semi").drop("code")
-    texts = materialize(likely.join(asked.hint("merge"), "key"))
-    own = texts.join(pairs.select(F.col("a").alias("key")).distinct().hint("merge"), "key").select(F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    other = pairs.join(texts.select(F.col("key").alias("b"), "text").hint("merge"), "b").select("a", "b", "text")
-    rows = own.union(other).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
-    # a batch holds whole texts
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(TEXTS_AT_ONCE, int(before)) if int(before) > 0 else TEXTS_AT_ONCE))
-    try:
-        return materialize(rows.mapInArrow(_alike(size), "a long, b long"))
-    finally:
-        spark.conf.set(name, before)
+    rows = likely.join(asked, "key").select("a", "b", "text").repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    return materialize(rows.mapInArrow(_alike(size), "a long, b long"))
 
 
 def _postings(size: int, common: np.ndarray):
@@ -445,8 +435,7 @@ def unmet(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
     similar, they share 0.8 / 1.8 * (m + n); so, with the shingles of both in the same order, the first that they
     share has as many from there to the end of either. Only the first fifth of a set can hold it.
     """
-    # by shuffle at every size, as above
-    rows = docs.join(groups.hint("merge"), "key").select("key", "group", "text")
+    rows = docs.join(groups, "key").select("key", "group", "text")
     postings = rows.mapInArrow(_postings(size, _common(docs, size)), "shingle long, group long, key long, place long")
     met = postings.repartition("shingle").sortWithinPartitions("shingle", "group", "key").mapInArrow(_meeting, "a long, b long")
     return materialize(met.distinct())
@@ -472,20 +461,26 @@ def similar(df: DataFrame, key_col: str, text_col: str = "text", size: int = 5)
     other links are verified by the sets. The fingerprints' trees find most at little cost; `unmet` finds all that are missing between the groups of
     those, so the links that trees and candidates lose cost time only. Texts without words are one group.
     """
-    docs = df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
+    with batches_of(df.sparkSession, TEXTS_AT_ONCE):
+        return _similar_groups(df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")), size).withColumnRenamed("key", key_col)
+
+
+def _similar_groups(docs: DataFrame, size: int) -> DataFrame:
     marked = _marked(docs, size)
     values = materialize(marked.groupBy("same").agg(F.min("key").alias("key"), F.first("fingerprint").alias("fingerprint")))
     dealt = values.select("key", "fingerprint").mapInArrow(_dealt, "shard long, key long, fingerprint binary")
     found = dealt.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(_similar, "a long, b long, bits long")
-    found = materialize(found.distinct())
     # at most SHARDS candidates each; the others are left to `unmet`
-    nearest = F.slice(F.array_sort(F.collect_list(F.struct("bits", "b"))), 1, NEAREST)
-    asked = found.groupBy("a").agg(nearest.alias("n")).select("a", F.explode("n.b").alias("b"))
+    nearest = F.slice(F.array_sort(F.collect_set(F.struct("bits", "b"))), 1, NEAREST)
+    asked = materialize(found.groupBy("a").agg(nearest.alias("n")).select("a", F.explode("n.b").alias("b")))
     links = _verified(docs, asked, size)
+    discard(asked)
     grouped = lambda links: values.join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").select("same", "key", F.coalesce("root", "key").alias("group"))
-    missing = _verified(docs, unmet(docs, grouped(links).select("key", "group"), size), size)
+    pairs = unmet(docs, grouped(links).select("key", "group"), size)
+    missing = _verified(docs, pairs, size)
+    discard(pairs)
     named = grouped(links.union(missing)).select("same", "group")
-    return marked.join(named, "same").select(F.col("key").alias(key_col), "group")
+    return marked.join(named, "same").select("key", "group")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
