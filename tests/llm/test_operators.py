@@ -491,6 +491,51 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def auc(scored):
+    """The share of pairs of a good and a bad text that are in the right order, ties counting half."""
+    good, bad = ([s for s, y in scored if y == k] for k in (1, 0))
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_quality_of_held_out_labels(spark):
+    """Labels that were never learnt from, by text length, and each score against the model's own formula."""
+    import zstandard
+
+    data = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = quality.fit(docs, quality.learnable(labels))
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    held = {d for d in known if zlib.crc32(str(d).encode()) % 5 == 0}
+    rows = [r for r in quality.score(docs, model).collect() if r.doc_id in held]
+    assert len(rows) > 100 and auc([(r.score, known[r.doc_id]) for r in rows]) > 0.95
+    good = [r for r in rows if known[r.doc_id] == 1]
+    assert sum(r.score >= quality.THRESHOLD for r in good) >= 0.95 * len(good)
+    long = [r for r in good if len(r.text or "") > quality.FIT_CHARS]
+    assert sum(r.score >= quality.THRESHOLD for r in long) >= 0.9 * len(long)
+
+    def size(text, dictionary):
+        raw = text.encode()
+        n = -(-len(raw) // quality.BLOCK_BYTES)
+        step = -(-len(raw) // n)
+        c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(raw[a : a + step])) for a in range(0, len(raw), step)), len(raw)
+
+    for r in [r for r in rows if r.text][:40]:
+        (g, n), (b, _) = size(r.text, model.good), size(r.text, model.bad)
+        z = float(np.dot(model.weights, [1, (b - g) / (b + g), min(g, b) / n, abs(b - g) / n]))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_quality_learns_from_long_texts(spark):
+    rng = random.Random(6)
+    long = lambda word: "".join(f"{word()} " for _ in range(4000))
+    good, bad = (lambda: rng.choice(["the", "of", "and", "in"])), (lambda: rng.choice(["$$$", "WIN", "!!", "click"]))
+    docs = spark.createDataFrame([(i, long(good if i % 2 else bad)) for i in range(40)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in quality.score(docs, model).collect())
+
+
 # 10
 def slow_base(text):
     text = text or ""

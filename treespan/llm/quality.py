@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fitting takes at most so many rows of either label, those of the smallest hash of their id, and no text longer than FIT_CHARS.
+from treespan.llm.common import materialize
+
+#: Fitting takes at most so many rows of either label, those of the smallest hash of their id, and of a longer text a
+#: stretch of FIT_CHARS characters from a place that its id's hash chooses.
 FIT_ROWS = 2000
 FIT_CHARS = 10_000
 DICTIONARY_BYTES = 110 << 10
@@ -76,9 +79,9 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on a bounded sample: at most FIT_ROWS ids of either label (1 good, 0 bad), texts of 1 to FIT_CHARS characters.
+    """Fits on a bounded sample: at most FIT_ROWS ids of either label (1 good, 0 bad), FIT_CHARS characters of each.
 
-    Ids are chosen among the labels alone, those of smallest hash; then their texts are fetched. Every second text
+    Ids are chosen among the labels alone, those of smallest hash; then their texts are fetched in one scan. Every second text
     makes the dictionaries, the others the calibration. Rows with nulls are left out. With rows of one label or
     none, every text has the score of that label's share (1/2 if there are none).
     """
@@ -86,8 +89,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = marked.withColumn("h", F.xxhash64(F.col("k").cast("string")))
     # both samples together are at most 2 * FIT_ROWS ids
     chosen = marked.where("y = 1").orderBy("h", "k").limit(FIT_ROWS).union(marked.where("y = 0").orderBy("h", "k").limit(FIT_ROWS))
-    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where((F.length("t") > 0) & (F.length("t") <= FIT_CHARS))
-    rows = texts.join(F.broadcast(chosen), "k")
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where(F.length("t") > 0).join(F.broadcast(chosen), "k")
+    start = 1 + F.pmod("h", F.greatest(F.length("t") - FIT_CHARS, F.lit(0)) + 1)
+    rows = materialize(texts.select("k", "y", "h", F.substring("t", start, F.lit(FIT_CHARS)).alias("t")))
     sample = {y: [r.t for r in rows.where(F.col("y") == y).orderBy("h", "k", "t").limit(FIT_ROWS).collect()] for y in (1, 0)}
     if not (len(sample[1]) > 1 and len(sample[0]) > 1):
         n = len(sample[1]) + len(sample[0])
