@@ -11,6 +11,8 @@ DATA = "/root/testdata/sf0.001"
 SOME = (
     "key_child", "key_region", "key_decode", "vec_arith", "geo_dist_approx", "evec_wrap", "tree_partition", "tree_py", "tree_exchange", "tree_local_roots", "part_bisection", "win_exclusive_scan", "join_direct", "join_dtt", "agg_bh_com",
     "agg_p2p", "agg_ewald_real", "agg_vdw", "join_exclusion", "src_plummer", "sink_write_sources", "join_let_anti", "join_uniform_m2l",
+    "fmm", "agg_m2p", "agg_verify_fmm", "sph_eval_multipole", "sph_eval_multipole_theta", "sph_eval_local", "sph_far", "agg_periodic_m2l", "agg_normalize", "agg_load_balance", "exch_upstream", "exch_alltoallv2", "sink_report",
+    "sink_debug_dump", "sink_vtk", "tree_gpu", "tree_lookup", "map_py", "map_pair_overloads", "join_product_mutual", "flt_mac_bh", "flt_mac_fmm", "agg_bh_force_walked", "win_scan_operators",
 )
 
 
