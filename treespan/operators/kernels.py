@@ -19,6 +19,8 @@ EPS2 = 1e-6
 BLOCK = 128
 #: Bodies that are walked down the tree together.
 WALKED = 1024
+#: Bodies that a task walks at most, on average.
+MOST_WALKED = 100_000
 
 
 def squared(dim: int, a: str = "x", b: str = "t") -> Column:
@@ -194,7 +196,10 @@ def barnes_hut_sums(tree: Tree, theta: float = 0.5, eps2: float = EPS2, targets:
                 cells = pa.concat_arrays([pa.nulls(b.num_rows, pa.int64()), pa.array(j, pa.int64())])
                 yield pa.RecordBatch.from_arrays([ids, cells, *(pa.concat_arrays([pa.array(sums[:, k]), empty]) for k in range(sums.shape[1]))], names=names)
 
-    out = materialize(who.mapInArrow(run, f"body_id {kind}, j long, " + ", ".join(f"{n} double" for n in names[2:])))
+    # walks cost far more than moving bodies does
+    bodies = int(get("nb")[0]) if len(key) else 0
+    dealt = who.repartition(max(2 * tree.cells.sparkSession.sparkContext.defaultParallelism, bodies // MOST_WALKED))
+    out = materialize(dealt.mapInArrow(run, f"body_id {kind}, j long, " + ", ".join(f"{n} double" for n in names[2:])))
     near = out.where("j is not null").select("body_id", "j").join(who.distinct(), "body_id").select("body_id", "j", *(F.col(a).alias(f"{a}_t") for a in axes))
     near = laplace(near.join(_side(tree.bodies_in_leaves(), "s", tree.dim, F.col("leaf").alias("j"), F.col("src").alias("src_s")), "j"), tree.dim, eps2)
     every = out.where("j is null").drop("j").unionByName(near)

@@ -6,17 +6,22 @@ for the next is written to the shared folder, so lineage stays one round long.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treespan.operators.tree import AXES, Tree
-from treespan.plans.lineage import materialize, small
+from treespan.plans.lineage import BROADCAST_ROWS, materialize, small
 
 #: Cells count as this much wider than they are where cells of two trees are compared.
 LEEWAY = 1.00001
+#: Pairs that the driver goes on to before tasks do, and pairs that a task splits at once.
+SEEDS = 2048
+WALKED = 1024
 
 
 @dataclass
@@ -44,7 +49,12 @@ def dual(tree: Tree, theta: float = 0.4, accept: Callable[[Column, Column, Colum
     A pair is far if `accept` says so; near if both are leaves; else the source is split if the target is a leaf,
     the target if the source is a leaf or isn't larger, else the source. With `mutual` each unordered pair of one
     tree's cells is looked at once and both orders are returned: the pairs cover the same pairs of bodies.
+
+    Small trees are walked by tasks that have all cells; larger ones, and rules of one's own, go by joins round by round.
     """
+    few = max(tree.n_cells, (sources or tree).n_cells) <= BROADCAST_ROWS
+    if accept is None and not mutual and few:
+        return _walked(tree, sources or tree, far_by_radii(theta))
     accept = accept or far_by_radii(theta)
     dim = tree.dim
     side = lambda t, s: small(cell_radius(t, t.cells).select(F.col("key").alias(s), F.col("is_leaf").alias(f"leaf_{s}"), F.col("r").alias(f"r_{s}"), *(F.col(f"c{a}").alias(f"{a}_{s}") for a in AXES[:dim])), t.n_cells)
@@ -80,6 +90,92 @@ def dual(tree: Tree, theta: float = 0.4, accept: Callable[[Column, Column, Colum
     return Interactions(pairs.where("state = 'far'").select("i", "j"), pairs.where("state = 'near'").select("i", "j"))
 
 
+class Cells:
+    """The cells of a small tree as arrays; the children of one follow each other in `child`."""
+
+    def __init__(self, tree: Tree):
+        axes = AXES[: tree.dim]
+        rows = cell_radius(tree, tree.cells).orderBy("depth", "key").select("key", "parent", "is_leaf", "r", *(f"c{a}" for a in axes)).toArrow()
+        get = lambda n: rows.column(n).to_numpy()
+        self.key, self.leaf, self.r = get("key"), get("is_leaf"), get("r")
+        self.centre = [get(f"c{a}") for a in axes]
+        by_key = np.argsort(self.key)
+        up = by_key[np.searchsorted(self.key[by_key], get("parent")[1:])]  # of all but the root, which is first
+        self.child = np.argsort(up, kind="stable") + 1
+        self.count = np.bincount(up, minlength=len(self.key))
+        self.first = np.cumsum(self.count) - self.count
+
+    def children(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of `at` each child is of, and the children."""
+        n = self.count[at]
+        steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(np.arange(len(at)), n), self.child[np.repeat(self.first[at], n) + steps]
+
+
+def _step(a: Cells, b: Cells, accept: Callable, i: np.ndarray, j: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """The far and the near among pairs, and what the others are split into."""
+    d2 = np.zeros(len(i))
+    for x, y in zip(a.centre, b.centre):
+        d2 += (x[i] - y[j]) * (x[i] - y[j])
+    far = accept(d2, a.r[i], b.r[j])
+    near = ~far & a.leaf[i] & b.leaf[j]
+    rest = ~far & ~near
+    split_i = rest & (b.leaf[j] | (~a.leaf[i] & (a.r[i] >= b.r[j])))
+    split_j = rest & ~split_i
+    of_i, down_i = a.children(i[split_i])
+    of_j, down_j = b.children(j[split_j])
+    return (i[far], j[far]), (i[near], j[near]), (np.concatenate([down_i, i[split_j][of_j]]), np.concatenate([j[split_i][of_i], down_j]))
+
+
+def _walked(tree: Tree, sources: Tree, accept: Callable) -> Interactions:
+    """dual where both trees are few cells, which go to all tasks: the driver splits the first pairs, tasks the others."""
+    spark = tree.cells.sparkSession
+    a = Cells(tree)
+    b = a if sources is tree else Cells(sources)
+    done: list[tuple[np.ndarray, np.ndarray, int]] = []
+    todo = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while 0 < len(todo[0]) < SEEDS:
+        far, near, todo = _step(a, b, accept, *todo)
+        done += [(*far, 0), (*near, 1)]
+    held = spark.sparkContext.broadcast((a, b))  # at most BROADCAST_ROWS rows of a few numbers each
+
+    def rows(found: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+        a, b = held.value
+        i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        state = np.concatenate([np.full(len(f[0]), f[2], np.int32) for f in found] or [np.zeros(0, np.int32)])
+        return pa.RecordBatch.from_arrays([pa.array(a.key[i], pa.int64()), pa.array(b.key[j], pa.int64()), pa.array(state, pa.int32())], names=["i", "j", "state"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = held.value
+        for part in parts:
+            i, j = (part.column(k).to_numpy() for k in (0, 1))
+            stack = [(i[k : k + WALKED], j[k : k + WALKED]) for k in range(0, len(i), WALKED)]
+            found: list[tuple[np.ndarray, np.ndarray, int]] = []
+            while stack:
+                i, j = stack.pop()
+                if len(i) > 256 * WALKED:  # so that what is held stays small
+                    half = len(i) // 2
+                    stack += [(i[:half], j[:half]), (i[half:], j[half:])]
+                    continue
+                far, near, more = _step(a, b, accept, i, j)
+                found += [(*far, 0), (*near, 1)]
+                if len(more[0]):
+                    stack.append(more)
+                if sum(len(f[0]) for f in found) > 256 * WALKED:
+                    yield rows(found)
+                    found = []
+            yield rows(found)
+
+    schema = "i long, j long, state int"
+    early = spark.createDataFrame(pa.Table.from_batches([rows(done)]))
+    pairs = early.select(F.col("i"), F.col("j"), F.col("state").cast("int").alias("state"))
+    if len(todo[0]):
+        seeds = spark.createDataFrame(pa.table({"i": todo[0], "j": todo[1]})).repartition(2 * spark.sparkContext.defaultParallelism)
+        pairs = pairs.union(seeds.mapInArrow(run, schema))
+    pairs = materialize(pairs)
+    return Interactions(pairs.where("state = 0").select("i", "j"), pairs.where("state = 1").select("i", "j"))
+
+
 def by_bodies(tree: Tree, theta: float = 0.5, targets: DataFrame | None = None, centres: DataFrame | None = None) -> Interactions:
     """For each target body the cells of the tree that act on it: far as a whole, near with their bodies.
 
