@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 
 
 def byte_table() -> list[str]:
