@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treespan.llm.common import batches_of, discard, materialize, with_row_key
-from treespan.llm.components import components
+from treespan.llm.components import components, firsts
 from treespan.llm.windows import mix
 
 RADIUS = 2
@@ -137,25 +137,6 @@ class Forest:
                     todo.append((asked[which], self.child[low[which] + step]))
 
 
-def firsts(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n items the least item that pairs join it to."""
-    least = np.arange(n)
-    for i, j in pairs:
-        while True:
-            a, b = least[i], least[j]
-            if (a == b).all():
-                break
-            low = np.minimum(a, b)
-            np.minimum.at(least, a, low)
-            np.minimum.at(least, b, low)
-            np.minimum.at(least, i, low)
-            np.minimum.at(least, j, low)
-            least = least[least]
-    while not np.array_equal(least, again := least[least]):
-        least = again
-    return least
-
-
 def _links(radius: int):
     """Over rows (shard, value) in order of shard: each value, and the first that it is joined to in its shard."""
 
@@ -475,11 +456,16 @@ def _similar_groups(docs: DataFrame, size: int) -> DataFrame:
     asked = materialize(found.groupBy("a").agg(nearest.alias("n")).select("a", F.explode("n.b").alias("b")))
     links = _verified(docs, asked, size)
     discard(asked)
-    grouped = lambda links: values.join(components(links).select(F.col("node").alias("key"), "root"), "key", "left").select("same", "key", F.coalesce("root", "key").alias("group"))
-    pairs = unmet(docs, grouped(links).select("key", "group"), size)
+    found = components(links).select(F.col("node").alias("key"), "root")
+    groups = materialize(values.select("same", "key").join(found, "key", "left").select("same", "key", F.coalesce("root", "key").alias("group")))
+    pairs = unmet(docs, groups.select("key", "group"), size)
     missing = _verified(docs, pairs, size)
     discard(pairs)
-    named = grouped(links.union(missing)).select("same", "group")
+    # only links between groups are left to follow
+    of = lambda key, group: groups.select(F.col("key").alias(key), F.col("group").alias(group))
+    between = missing.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    joined = components(between, "x", "y").select(F.col("node").alias("group"), "root")
+    named = groups.join(joined, "group", "left").select("same", F.coalesce("root", "group").alias("group"))
     return marked.join(named, "same").select("key", "group")
 
 
