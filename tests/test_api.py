@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from treespan import api
+from treespan.functions.special import erfc
 from treespan.sources import generate as G
 from treespan.streaming.batches import cells_to_parquet
 
@@ -55,3 +56,10 @@ def test_short_range(spark):
     pairs = spark.createDataFrame([(0, 1), (1, 0), (5, 6)], "body_id long, other long")
     assert {r.body_id for r in api.coulomb_exclusion(b, pairs, 1.0).collect()} == {0, 1, 5}
     assert {r.body_id for r in api.vanderwaals_exclusion(b, pairs, types, 0.2, 0.3, 1.0).collect()} <= {0, 1, 5}
+
+
+def test_erfc(spark):
+    import math
+
+    rows = spark.range(1, 600).select((F.col("id") / 100).alias("x"))
+    assert all(abs(r.e / math.erfc(r.x) - 1) < 1e-12 for r in rows.select("x", erfc(F.col("x")).alias("e")).collect())

@@ -113,9 +113,10 @@ def ewald_wave(targets: DataFrame, sources: DataFrame, ksize: int, alpha: float,
 def ewald_real(targets: DataFrame, sources: DataFrame, alpha: float, cutoff: float, cycle: float) -> DataFrame:
     """Potential and gradient of the short-range part."""
     pairs = pairs_within(targets.select("body_id", *AXES), sources.select("body_id", *AXES, "src"), cutoff, cycle)
-    rs = F.sqrt(F.col("r2")) * alpha
-    pot = F.col("src_s") * erfc(rs) / rs * alpha
-    force = F.col("src_s") * (F.lit(TWO_OVER_ROOT_PI) * F.exp(-rs * rs) / (rs * rs) + erfc(rs) / (rs * rs * rs)) * alpha**3
+    pairs = pairs.withColumn("__rs", F.sqrt(F.col("r2")) * alpha).withColumn("__erfc", erfc(F.col("__rs")))
+    rs, tail = F.col("__rs"), F.col("__erfc")
+    pot = F.col("src_s") * tail / rs * alpha
+    force = F.col("src_s") * (F.lit(TWO_OVER_ROOT_PI) * F.exp(-rs * rs) / (rs * rs) + tail / (rs * rs * rs)) * alpha**3
     return _summed(pairs, pot, force)
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treespan import api
-from treespan.functions import special
 from treespan.functions import spherical as SH
 from treespan.operators import expansions as X
 from treespan.operators.harmonic import SPHERICAL
@@ -358,9 +357,9 @@ for _n in ("join_neighbor_range",):
 add("flt_cutoff", lambda spark, sf_dir: (lambda b: rounded(E.pairs_within(b, b, 0.32, CYCLE).where((F.col("r2") > 0) & (F.col("r2") < 0.15 * 0.15)).groupBy("body_id").agg(F.count("*").alias("n"), F.max("r2").alias("furthest")), "body_id", "n"))(B.b3c(spark, sf_dir)),
     f"{_NEAR} SELECT body_id, COUNT(*) AS n, ROUND(MAX(r2), 6) + 0.0 AS furthest FROM v WHERE r2 > 0 AND r2 < 0.15::DOUBLE * 0.15::DOUBLE GROUP BY body_id")
 _RS = f"(SQRT(r2) * {ALPHA}::DOUBLE)"
-_FORCE = f"src * (1.1283791670955126::DOUBLE * EXP(-{_RS} * {_RS}) / ({_RS} * {_RS}) + {special.erfc_sql(_RS)} / ({_RS} * {_RS} * {_RS})) * {ALPHA ** 3}::DOUBLE"
+_FORCE = f"src * (1.1283791670955126::DOUBLE * EXP(-rs * rs) / (rs * rs) + tail / (rs * rs * rs)) * {ALPHA ** 3}::DOUBLE"
 add("agg_ewald_real", lambda spark, sf_dir: (lambda b: rounded(E.ewald_real(b, b, ALPHA, CUTOFF, CYCLE), "body_id"))(B.b3c(spark, sf_dir)),
-    f"{_NEAR}, d AS (SELECT body_id, SUM(src * {special.erfc_sql(_RS)} / {_RS} * {ALPHA}::DOUBLE) AS pot, {', '.join(f'SUM(-d{a} * ({_FORCE})) AS acc_{a}' for a in AX)} FROM v WHERE r2 > 0 AND r2 < 0.09::DOUBLE GROUP BY body_id) SELECT body_id, {_r()} FROM d")
+    f"{_NEAR}, rr AS (SELECT *, {_RS} AS rs FROM v WHERE r2 > 0 AND r2 < 0.09::DOUBLE), ee AS (SELECT *, {S.erfc('rs')} AS tail FROM rr), d AS (SELECT body_id, SUM(src * tail / rs * {ALPHA}::DOUBLE) AS pot, {', '.join(f'SUM(-d{a} * ({_FORCE})) AS acc_{a}' for a in AX)} FROM ee GROUP BY body_id) SELECT body_id, {_r()} FROM d")
 _WAVES = f"kw AS (SELECT kx, ky, kz FROM (SELECT UNNEST(range(0, {KSIZE + 1})) AS kx), (SELECT UNNEST(range(-{KSIZE}, {KSIZE + 1})) AS ky), (SELECT UNNEST(range(-{KSIZE}, {KSIZE + 1})) AS kz) WHERE kx * kx + ky * ky + kz * kz <= {KSIZE * KSIZE} AND NOT (kx = 0 AND ky < 0) AND NOT (kx = 0 AND ky = 0 AND kz < 1))"
 add("agg_ewald_waves", lambda spark, sf_dir: E.waves(spark, KSIZE), f"WITH {_WAVES} SELECT CAST(kx AS INTEGER) AS kx, CAST(ky AS INTEGER) AS ky, CAST(kz AS INTEGER) AS kz FROM kw")
 _TH = f"((kx * x + ky * y + kz * z) * {2 * pi!r}::DOUBLE)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import factorial
+from math import factorial, pi
 
 from treespan.sources.bodies import SQL as BODIES
 
@@ -121,6 +121,14 @@ def rounded(expr: str, digits: int = 6) -> str:
     return f"ROUND({expr}, {digits}) + 0.0"
 
 
+def erfc(x: str, terms: int = 70) -> str:
+    """One less the error function, by its series of positive terms alone; for a column between 0 and 4."""
+    said = "1.0::DOUBLE"
+    for n in range(terms, 0, -1):
+        said = f"(1.0::DOUBLE + {x} * {x} * {2 / (2 * n + 1)!r}::DOUBLE * {said})"
+    return f"(1.0::DOUBLE - {2 / pi**0.5!r}::DOUBLE * {x} * EXP(-{x} * {x}) * {said})"
+
+
 # expansions, from their definitions: polynomials over powers of r, made by differentiating, not by recurrences in r
 def multi(order: int) -> list[tuple[int, int, int]]:
     """Multi-indices of degree below an order, by degree."""
