@@ -177,10 +177,20 @@ def test_links_are_exact(spark, monkeypatch, split):
     assert len(group) == len(set(want))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 5, 1 << 18])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     links = [(i, i + 1) for i in range(0, 30)] + [(100, 200), (200, 100), (200, 200), (300, 100), (None, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert len({got[i] for i in range(31)}) == 1 and got[100] == got[200] == got[300] != got[0]
+    rng = random.Random(3)
+    some = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(some, "a long, b long")).collect()}
+    want = classes(list(range(200)), [0] * 200, -1)
+    for _ in range(200):
+        for a, b in some:
+            want[a] = want[b] = min(want[a], want[b])
+    assert all((got.get(a, a) == got.get(b, b)) == (want[a] == want[b]) for a in range(200) for b in range(200))
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
