@@ -169,3 +169,17 @@ def test_any_plan_before(spark, plan):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["op5_suffix_array_dedup", "op9_substring_dedup"])
+def test_registered_sql(spark, name):
+    import duckdb
+
+    from treespan.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, data).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treespan.llm import automata, bpe, edit_embedding, media, packing, pii, quality, simhash, suffix_dedup, url_filter
+from treespan.llm import automata, bpe, edit_embedding, media, oracles, packing, pii, quality, simhash, suffix_dedup, url_filter
 from treespan.llm.common import table
 
 
@@ -69,4 +69,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return oracles.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
