@@ -590,3 +590,33 @@ def test_account_numbers_before_other_words():
             spans = [s for s in pii.find(before + number + after) if s.kind == "iban"]
             assert [(s.start, s.end) for s in spans] == [(len(before), len(before) + len(number))], (before, number, after)
     assert not [s for s in pii.find("BE69 5390 0754 7034 EUR") if s.kind == "iban"]
+
+
+def test_spans_that_overlap_go_as_one():
+    spans = [pii.Span("email", 2, 8, 0.9), pii.Span("phone", 5, 12, 0.6), pii.Span("card", 6, 7, 0.8), pii.Span("ip", 12, 14, 0.6)]
+    assert pii.redact("ab........cd..ef", spans) == "ab<EMAIL><IP>ef"
+    assert pii.redact("", []) == "" and pii.redact("abc", []) == "abc"
+
+
+def test_clashing_columns(spark):
+    """Columns called as the new ones are replaced, others stay as they are, null texts included."""
+    df = spark.createDataFrame([(1, "a b", "old", 7), (2, None, "old", 8), (1, "a b", "old", 7)], "doc_id long, text string, fingerprint string, score int")
+    fp = edit_embedding.with_fingerprint(df).collect()
+    assert [r.score for r in fp] == [7, 8, 7] and fp[0].fingerprint == fp[2].fingerprint == edit_embedding.fingerprints(["a b"])[0] and fp[1].fingerprint == edit_embedding.fingerprints([""])[0]
+    found = pii.detect(df.withColumn("pii_spans", F.lit(1))).collect()
+    assert [r.fingerprint for r in found] == ["old"] * 3 and found[1].pii_redacted is None
+    shown = media.sequences(df.select("doc_id", F.col("text").alias("html"), F.lit(3).alias("sequence"))).collect()
+    assert [len(r.sequence) for r in shown] == [1, 0, 1]
+    assert quality.score(df, quality.Model(b"good", b"bad", (0.0, 0.0, 0.0, 0.0))).select("score").distinct().collect()[0].score == 0.5
+    ids = bpe.encode(df.withColumn("ids", F.lit("old")), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert [len(r.ids) for r in ids] == [2, 0, 2] and ids[0].fingerprint == "old"
+
+
+def test_sorted_fingerprints_of_larger_tables(spark, monkeypatch):
+    """Components of many fingerprints by contraction and by one task are the same."""
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    once = sorted(map(tuple, simhash.near_duplicates(df).collect()))
+    monkeypatch.setattr(components, "FEW", 0)
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == once

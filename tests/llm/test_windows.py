@@ -183,3 +183,18 @@ def test_registered_sql(spark, name):
     want = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, data).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_very_long_texts(spark):
+    """Passages that recur across the pieces that a text of millions of bytes is hashed in."""
+    rng = random.Random(31)
+    own = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = "{" + own(398) + "}"
+    long = own(1_048_400) + "1" + passage + "2" + own(900_000) + "3" + passage + "4" + own(200_000)
+    rows = [(1, long), (2, own(50) + "5" + passage), (3, own(3000))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (len(long), 800, 2), 2: (451, 400, 1), 3: (3000, 0, 0)}
+    words = [f"w{i}" for i in range(300_000)]
+    said = " ".join(words[:200_000] + ["x"] + words[100:140] + ["y"] + words[200_000:])
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in automata.digest(spark.createDataFrame([(1, said), (2, " ".join(words[199_990:200_010])), (3, " ".join(words[120:160]))], "doc_id long, text string")).collect()}
+    assert got == {1: (300_042, 0), 2: (20, 0), 3: (40, 40)}
