@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treespan.llm import packing, pii, quality, simhash, suffix_dedup
-from treespan.llm.common import materialize, table
+from treespan.llm.common import discard, materialize, table
 
 
 def _as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -55,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        discard(*written)  # what the stage has read
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
