@@ -33,35 +33,31 @@ def new_path(spark: SparkSession) -> str:
 
 
 @contextmanager
-def configured(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Inside, settings of SETTINGS have these values."""
-    before = {SETTINGS[k]: spark.conf.get(SETTINGS[k], None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(SETTINGS[k], v)
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, what an action shuffles is deleted when it ends, not when the driver's garbage is next collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
     try:
         yield
     finally:
-        for name, v in before.items():
-            spark.conf.unset(name) if v is None else spark.conf.set(name, v)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-#: Settings that are changed for single actions: whether what one shuffles is deleted when it ends, not when the driver's
-#: garbage is next collected; and whether shuffles keep as many partitions as there are cores, however small.
-SETTINGS = {
-    "freed": "spark.sql.classic.shuffleDependency.fileCleanup.enabled",
-    "parallel": "spark.sql.adaptive.coalescePartitions.parallelismFirst",
-}
+def writers(spark: SparkSession) -> int:
+    """Files that a table is written in at most: two for each core, or a quarter of the shuffle partitions.
 
+    A file costs its executor more than its rows where they are few: on local file systems each is created by a fork
+    of the JVM.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
 
-def materialize(df: DataFrame, few_files: bool = False) -> DataFrame:
-    """Writes `df` once to the shared folder and returns what was written; it outlives lost executors.
 
-    With `few_files`, shuffle partitions are merged up to the advisory size: for tables that are small or cheap to make.
-    """
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes `df` once to the shared folder and returns what was written; it outlives lost executors."""
     path = new_path(df.sparkSession)
-    more = {"parallel": "false"} if few_files else {}
-    with configured(df.sparkSession, freed="true", **more):
-        df.write.parquet(path, compression="zstd")
+    with freed_shuffles(df.sparkSession):
+        df.coalesce(writers(df.sparkSession)).write.parquet(path, compression="zstd")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
