@@ -8,9 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treespan.plans.lineage import discard, freed_shuffles, materialize, shared_dir
+from treespan.plans.lineage import discard, materialize, shared_dir
 
-__all__ = ["batches_of", "discard", "freed_shuffles", "materialize", "shared_dir", "table", "with_row_key"]
+__all__ = ["batches_of", "discard", "materialize", "shared_dir", "table", "with_row_key"]
 
 
 @contextmanager
