@@ -123,10 +123,10 @@ def with_cuts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         })
         cut = (F.col("kind") == DONE) | ((F.col("kind") != MARK) & (F.col("same") > 1))
         ask = (F.col("kind") == OPEN) | ((F.col("kind") < MARK) & F.col("apart") & (F.col("nth") == 1))
-        known = materialize(passed.select("key", "place", "same", cut.alias("cut"), ask.alias("ask")).where("cut or ask"))
+        known = materialize(passed.select("key", "place", "same", cut.alias("cut"), ask.alias("ask")).where("cut or ask"), few_files=True)
         asked = known.where("ask").groupBy("key").agg(F.collect_list(F.struct("place", "same")).alias("asked"))
         # written, so that the texts' shuffle is gone before the suffixes' begins
-        held = materialize(docs.join(asked, "key").select("key", "text", "asked").mapInArrow(_stretches(length), "key long, low long, weight long, bytes binary"))
+        held = materialize(docs.join(asked, "key").select("key", "text", "asked").mapInArrow(_stretches(length), "key long, low long, weight long, bytes binary"), few_files=True)
         again = held.mapInArrow(_last_digits(length), _SUFFIXES)
         again = again.withColumn("all", F.sum("weight").over(Window.partitionBy("high", "low"))).where("weight = 0 or weight = 1 and all > 1")
         start = F.shiftright("place", 20)
@@ -134,7 +134,7 @@ def with_cuts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             known.where("cut").select("key", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0xFFFFF)) + length).alias("end"))
             .union(again.select("key", "start", F.when(F.col("weight") == 0, F.col("low")).otherwise(F.col("start") + length).alias("end")))
         )
-        cuts = materialize(cuts)
+        cuts = materialize(cuts, few_files=True)
         discard(known, held)
     return docs.join(cuts.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("cuts")), "key", "left").select("key", "doc_id", "text", "cuts")
 
