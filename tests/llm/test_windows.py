@@ -59,8 +59,10 @@ def test_bytes(spark, monkeypatch, length, most, together):
     assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("told", [0, 1 << 16])
 @pytest.mark.parametrize("shard, most, together", [(1, 64, 1 << 20), (4096, 64, 1 << 20), (4096, 1, 1 << 20), (4096, 0, 20), (3, 2, 50)])
-def test_words(spark, monkeypatch, shard, most, together):
+def test_words(spark, monkeypatch, shard, most, together, told):
+    monkeypatch.setattr(automata, "TOLD_WORDS", told)
     monkeypatch.setattr(automata, "SHARD", shard)
     monkeypatch.setattr(automata, "MOST_SPANS", most)
     monkeypatch.setattr(automata, "WINDOWS", together)
@@ -102,6 +104,19 @@ def test_automaton():
         assert a.matches(text) == want
 
 
+def test_least_ranks_of_runs():
+    rng = random.Random(14)
+    for _ in range(60):
+        held = sorted((rng.randint(0, 4), "".join(rng.choice("ab") for _ in range(rng.randint(0, 10)))) for _ in range(5))
+        a = automata.Automaton()
+        for rank, h in held:
+            a.add(h, rank)
+        text = "".join(rng.choice("abc") for _ in range(25))
+        for length in (1, 2, 3, 5):
+            want = [(i, min(r for r, h in held if text[i : i + length] in h)) for i in range(26 - length) if any(text[i : i + length] in h for _, h in held)]
+            assert list(a.windows(text, length)) == want
+
+
 def test_empty_table_and_other_columns(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.digest(none).count() == automata.digest(none).count() == 0
@@ -119,13 +134,15 @@ def boilerplate(n, seed=11):
     return [f"{own(rng.randrange(8, 20))} {passage} {own(rng.randrange(8, 20))}" if i % 3 else own(20) for i in range(n)]
 
 
-def test_hot_passage_is_settled_in_blocks(spark):
+def test_hot_passage_is_settled_in_blocks(spark, monkeypatch):
     rows = list(enumerate(boilerplate(240)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(df, length=100).collect()}
     assert got == dict(enumerate(removed_bytes([t for _, t in rows], 100)))
-    got = {r.doc_id: tuple(r)[1:] for r in automata.digest(df).collect()}
-    assert got == dict(enumerate(removed_words(rows, 13)))
+    for told in (1 << 16, 0):
+        monkeypatch.setattr(automata, "TOLD_WORDS", told)
+        got = {r.doc_id: tuple(r)[1:] for r in automata.digest(df).collect()}
+        assert got == dict(enumerate(removed_words(rows, 13)))
 
 
 def test_a_hot_passage_sends_few_rows():

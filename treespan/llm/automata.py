@@ -2,9 +2,10 @@
 
 A shard holds what one anchor (see windows.py) brings together: the stretches of words around it that differ, in
 order of their documents. Its automaton takes in what earlier documents have; the next document's stretch is read
-over it, and wherever the longest match reaches the threshold, that window starts in an earlier document. Automata
-go to the tasks that hold the stretches, not to all, as together they grow with the corpus; stretches that are
-equal as a whole need none.
+over it, and wherever the longest match reaches the threshold, that window starts in an earlier document. Where all
+stretches together are few words, one automaton of them, which knows the least document of each run, is broadcast, and
+the stretches stream over it. Beyond, automata go to the tasks that hold the stretches, not to all, as together they
+grow with the corpus. Stretches that are equal as a whole need none.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ LENGTH = 13
 GRAM = 5
 #: Rows of an anchor beyond which its windows are counted one by one instead: that can be dealt to many tasks.
 SHARD = 4096
+#: Words of all stretches up to which one automaton of them is broadcast.
+TOLD_WORDS = 1 << 16
 #: Stretches of an anchor in a block of documents beyond which it counts as such an anchor at once.
 MOST_SPANS = 64
 #: Texts that a Python worker gets at once.
@@ -40,30 +43,33 @@ class Automaton:
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.length = [0]
+        self.least = [0]
 
-    def _state(self, length: int, next_: dict, link: int) -> int:
+    def _state(self, length: int, next_: dict, link: int, least: int) -> int:
         self.next.append(next_)
         self.link.append(link)
         self.length.append(length)
+        self.least.append(least)
         return len(self.link) - 1
 
     def _split(self, p: int, q: int, token) -> int:
         """A copy of q for the shorter suffixes that lead there by `token` from p and its links."""
-        copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
+        copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q], self.least[q])
         while p >= 0 and self.next[p].get(token) == q:
             self.next[p][token] = copy
             p = self.link[p]
         self.link[q] = copy
         return copy
 
-    def add(self, tokens: Sequence) -> None:
+    def add(self, tokens: Sequence, rank: int = 0) -> None:
+        """Takes in a sequence. Where ranks never fall from one to the next, a state has the least of its runs."""
         last = 0
         for t in tokens:
             q = self.next[last].get(t)
             if q is not None:
                 last = q if self.length[q] == self.length[last] + 1 else self._split(last, q, t)
                 continue
-            new = self._state(self.length[last] + 1, {}, 0)
+            new = self._state(self.length[last] + 1, {}, 0, rank)
             p = last
             while p >= 0 and t not in self.next[p]:
                 self.next[p][t] = new
@@ -75,8 +81,19 @@ class Automaton:
 
     def matches(self, tokens: Sequence) -> list[int]:
         """For each token the length of the longest run ending there that a sequence taken in has."""
+        return [n for n, _ in self.walk(tokens)]
+
+    def windows(self, tokens: Sequence, length: int) -> Iterator[tuple[int, int]]:
+        """Where runs of `length` tokens begin that a sequence taken in has, and the least rank of those that have it."""
+        for i, (n, state) in enumerate(self.walk(tokens)):
+            if n >= length:
+                while self.length[self.link[state]] >= length:
+                    state = self.link[state]
+                yield i - length + 1, self.least[state]
+
+    def walk(self, tokens: Sequence) -> Iterator[tuple[int, int]]:
+        """For each token the length of the longest run ending there that a sequence taken in has, and its state."""
         state = n = 0
-        out = []
         for t in tokens:
             while state and t not in self.next[state]:
                 state = self.link[state]
@@ -85,8 +102,7 @@ class Automaton:
                 state, n = to, n + 1
             else:
                 n = 0
-            out.append(n)
-        return out
+            yield n, state
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -154,6 +170,26 @@ def _by_automata(length: int) -> Callable:
     return run
 
 
+def _told(read: DataFrame, length: int) -> DataFrame:
+    """(key, start): windows that earlier ranks have, by one automaton of all stretches: at most TOLD_WORDS words."""
+    shard = Automaton()
+    for r in sorted(read.select("rank", "words").collect()):
+        shard.add(np.frombuffer(r.words, np.int64).tolist(), r.rank)
+    held = read.sparkSession.sparkContext.broadcast(shard)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            key, start = [], []
+            for rank, k, low, raw in zip(*(b.column(c).to_pylist() for c in ("rank", "key", "low", "words"))):
+                for at, least in held.value.windows(np.frombuffer(raw, np.int64).tolist(), length):
+                    if least < rank:
+                        key.append(k)
+                        start.append(low + at)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int64())], names=["key", "start"])
+
+    return read.mapInArrow(run, "key long, start long")
+
+
 def _block(high: np.ndarray, low: np.ndarray, rank: np.ndarray, key: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
     """A block's windows of the least rank that they have here; and cuts (of null rank, their end as `low`) of the others."""
     order, new = ordered(high, low)
@@ -205,19 +241,20 @@ def with_cuts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         })
         cut = (F.col("kind") == DONE) | ((F.col("kind") < MARK) & (F.col("rank") > F.col("first")))
         ask = (F.col("kind") == OPEN) | ((F.col("kind") < MARK) & F.col("apart") & (F.col("rank") == F.col("first")))
-        known = materialize(passed.select("key", "place", "large", "anchor", cut.alias("cut"), ask.alias("ask")).where("cut or ask"))
+        known = materialize(passed.select("key", "place", "large", "anchor", cut.alias("cut"), ask.alias("ask")).where("cut or ask"), few_files=True)
         asked = known.where("ask").groupBy("key").agg(F.collect_list(F.struct("anchor", "large", "place")).alias("asked"))
         held = docs.join(asked, "key").select("key", "text", "rank", "asked")
-        read = materialize(held.mapInArrow(_stretches(length), "anchor long, large boolean, rank long, key long, low long, words binary"))
-        small = read.where("not large").drop("large").repartition("anchor").sortWithinPartitions("anchor", "rank").mapInArrow(_by_automata(length), "key long, start long")
-        large = read.where("large").select("rank", "key", "low", "words").mapInArrow(_windows(length), "high long, low long, key long, start long, rank long")
-        large = large.withColumn("first", F.min("rank").over(Window.partitionBy("high", "low"))).where("rank is null or rank > first")
+        read = materialize(held.mapInArrow(_stretches(length), "anchor long, large boolean, rank long, key long, low long, words binary"), few_files=True)
         start = F.shiftright("place", 20)
-        cuts = (
-            known.where("cut").select("key", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0xFFFFF)) + length).alias("end"))
-            .union(small.select("key", "start", (F.col("start") + length).alias("end")))
-            .union(large.select("key", "start", F.when(F.col("rank").isNull(), F.col("low")).otherwise(F.col("start") + length).alias("end")))
-        )
+        cuts = known.where("cut").select("key", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(0xFFFFF)) + length).alias("end"))
+        if (read.agg(F.sum(F.length("words"))).first()[0] or 0) <= 8 * TOLD_WORDS:
+            cuts = cuts.union(_told(read, length).select("key", "start", (F.col("start") + length).alias("end")))
+        else:
+            small = read.where("not large").drop("large").repartition("anchor").sortWithinPartitions("anchor", "rank").mapInArrow(_by_automata(length), "key long, start long")
+            large = read.where("large").select("rank", "key", "low", "words").mapInArrow(_windows(length), "high long, low long, key long, start long, rank long")
+            large = large.withColumn("first", F.min("rank").over(Window.partitionBy("high", "low"))).where("rank is null or rank > first")
+            cuts = cuts.union(small.select("key", "start", (F.col("start") + length).alias("end")))
+            cuts = cuts.union(large.select("key", "start", F.when(F.col("rank").isNull(), F.col("low")).otherwise(F.col("start") + length).alias("end")))
         cuts = materialize(cuts)
         discard(known, read)
     return docs.join(cuts.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("cuts")), "key", "left").select("key", "doc_id", "text", "cuts")
