@@ -53,16 +53,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round, and a star goes in one. What a round makes is written to the shared folder. The last links are joined in
     one task. Nodes are longs; nulls link nothing; repeated links and both directions do no harm.
     """
-    cur = materialize(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    cur = materialize(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), few_files=True)
     steps: list[DataFrame] = []
     while (left := cur.count()) > FEW:
         mark = lambda c, k=len(steps): F.struct(F.xxhash64(F.lit(k), c).alias("h"), c.alias("v"))
         ends = cur.union(cur.select("b", "a"))
         low = ends.groupBy("a").agg(F.min(mark(F.col("b"))).alias("m"))
-        step = materialize(low.select(F.col("a").alias("node"), F.least(F.col("m"), mark(F.col("a")))["v"].alias("root")))
+        step = materialize(low.select(F.col("a").alias("node"), F.least(F.col("m"), mark(F.col("a")))["v"].alias("root")), few_files=True)
         steps.append(step)
         moved = cur.join(step.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-        before, cur = cur, materialize(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        before, cur = cur, materialize(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), few_files=True)
         discard(before)
     if left or not steps:
         steps.append(materialize(cur.coalesce(1).mapInArrow(_rooted, "node long, root long")))

@@ -201,7 +201,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of their own. A row of null id is counted, but its id is no component's.
     """
     docs = materialize(fingerprints(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), size=size))
-    values = materialize(docs.groupBy(F.col("fingerprint").alias("value")).agg(F.min("doc_id").alias("least")))
+    values = materialize(docs.groupBy(F.col("fingerprint").alias("value")).agg(F.min("doc_id").alias("least")), few_files=True)
     joined = components(links(values.select("value"), radius)).select(F.col("node").alias("value"), "root")
     rooted = values.join(joined, "value", "left").withColumn("root", F.coalesce("root", "value"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -448,7 +448,7 @@ def similar(df: DataFrame, key_col: str, text_col: str = "text", size: int = 5)
 
 def _similar_groups(docs: DataFrame, size: int) -> DataFrame:
     marked = _marked(docs, size)
-    values = materialize(marked.groupBy("same").agg(F.min("key").alias("key"), F.first("fingerprint").alias("fingerprint")))
+    values = materialize(marked.groupBy("same").agg(F.min("key").alias("key"), F.first("fingerprint").alias("fingerprint")), few_files=True)
     dealt = values.select("key", "fingerprint").mapInArrow(_dealt, "shard long, key long, fingerprint binary")
     found = dealt.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(_similar, "a long, b long, bits long")
     # at most SHARDS candidates each; the others are left to `unmet`
@@ -457,7 +457,7 @@ def _similar_groups(docs: DataFrame, size: int) -> DataFrame:
     links = _verified(docs, asked, size)
     discard(asked)
     found = components(links).select(F.col("node").alias("key"), "root")
-    groups = materialize(values.select("same", "key").join(found, "key", "left").select("same", "key", F.coalesce("root", "key").alias("group")))
+    groups = materialize(values.select("same", "key").join(found, "key", "left").select("same", "key", F.coalesce("root", "key").alias("group")), few_files=True)
     pairs = unmet(docs, groups.select("key", "group"), size)
     missing = _verified(docs, pairs, size)
     discard(pairs)
