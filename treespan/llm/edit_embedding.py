@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from math import isqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -132,25 +133,43 @@ def fingerprints(texts: Sequence[str]) -> list[str]:
     return [fingerprint(len(t), g) for t, g in zip(texts, embed(texts))]
 
 
-def _parsed(fp: str) -> tuple[int, list[int]]:
+class Parsed(NamedTuple):
+    """What a fingerprint says: the text's characters, the steps it was walked for, and its groups of bits."""
+
+    n_chars: int
+    steps: int
+    words: list[int]
+
+
+def parsed(fp: str) -> Parsed:
     n, _, rest = fp.partition(".")
-    return steps_of(int(n, 16)), [int(rest[i : i + 16], 16) for i in range(0, len(rest), 16)]
+    return Parsed(int(n, 16), steps_of(int(n, 16)), [int(rest[i : i + 16], 16) for i in range(0, len(rest), 16)])
+
+
+@lru_cache(1 << 12)
+def _valid(group: int, steps: int) -> int:
+    """The bits of a group whose steps come before so many."""
+    return sum(1 << k for k, s in enumerate(_sample(group)[0]) if s < steps)
 
 
 def likeness(a: str, b: str) -> float:
     """From 0 to 1: how far bits agree beyond chance, each group weighing as many steps as the longer walk has there."""
+    return 1.0 if a == b else _alike(parsed(a), parsed(b))
+
+
+def _alike(a: Parsed, b: Parsed) -> float:
     if a == b:
         return 1.0
-    (m, x), (n, y) = _parsed(a), _parsed(b)
     total = same = 0.0
-    most = max(m, n)
+    most = max(a.steps, b.steps)
+    both = min(len(a.words), len(b.words))
     for g in range(groups_of(most)):
         low = 0 if g == 0 else BITS << (g - 1)
-        steps = min(most, BITS << g) - low
-        valid = sum(1 << k for k, s in enumerate(_sample(g)[0]) if s < most)
-        total += steps
-        if valid and g < len(x) and g < len(y):
-            same += steps * (1 - 2 * ((x[g] ^ y[g]) & valid).bit_count() / valid.bit_count())
+        end = min(most, BITS << g)
+        valid = _valid(g, end)
+        total += end - low
+        if valid and g < both:
+            same += (end - low) * (1 - 2 * ((a.words[g] ^ b.words[g]) & valid).bit_count() / valid.bit_count())
     return min(1.0, max(0.0, same / total)) if total else 1.0
 
 
@@ -186,7 +205,7 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
 BAND_BITS = 16
 BANDS = 24
 BANDED = 3
-MOST_EDITS = 16
+MOST_EDITS = 8
 
 
 @lru_cache(64)
@@ -204,16 +223,25 @@ def _banded(n_chars: int) -> range:
 
 def candidates(a: str, b: str) -> bool:
     """Whether two fingerprints share a band."""
+    return a == b or _share(parsed(a), parsed(b))
+
+
+def _share(a: Parsed, b: Parsed) -> bool:
     if a == b:
         return True
-    (_, x), (_, y) = _parsed(a), _parsed(b)
-    groups = (set(_banded(int(fp.partition(".")[0], 16))) for fp in (a, b))
-    return any(not (x[g] ^ y[g]) & mask for g in set.intersection(*groups) if g < min(len(x), len(y)) for mask in _bands(g))
+    x, y = _banded(a.n_chars), _banded(b.n_chars)
+    for g in range(max(x.start, y.start), min(x.stop, y.stop, len(a.words), len(b.words))):
+        off = a.words[g] ^ b.words[g]
+        # no band of BAND_BITS bits agrees if fewer do
+        if off.bit_count() <= BITS - BAND_BITS and any(not off & mask for mask in _bands(g)):
+            return True
+    return False
 
 
-def verified(a: str, b: str, fp_a: str, fp_b: str, most: int = MOST_EDITS) -> int | None:
+def verified(a: str, b: str, fp_a: Parsed | str, fp_b: Parsed | str, most: int = MOST_EDITS) -> int | None:
     """The edit distance of two texts whose fingerprints share a band, if it is at most `most`."""
-    return distance_within(a, b, most) if candidates(fp_a, fp_b) else None
+    of = lambda fp: parsed(fp) if isinstance(fp, str) else fp
+    return distance_within(a, b, most) if abs(len(a) - len(b)) <= most and _share(of(fp_a), of(fp_b)) else None
 
 
 def distance_within(a: str, b: str, most: int) -> int | None:
@@ -274,8 +302,7 @@ def near_pairs(df: DataFrame, most: int, id_col: str = "doc_id", text_col: str =
         for b in parts:
             ids, lengths, bands = [], [], []
             for i, fp in enumerate(b.column(1).to_pylist()):
-                _, words = _parsed(fp)
-                n = int(fp.partition(".")[0], 16)
+                n, _, words = parsed(fp)
                 # texts next to a doubling of length share all of these groups but one
                 for g in _banded(n):
                     for k, mask in enumerate(_bands(g)):
@@ -353,11 +380,13 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:])]
         fps = fingerprints([*texts, *edited])
         own, other = fps[: len(texts)], fps[len(texts) :]
+        said = [parsed(fp) for fp in fps]
+        mine, cut = said[: len(texts)], said[len(texts) :]
         keep = [i for i in range(len(held) - 1) if not held[i][1]]
         return (
             [held[i][2] for i in keep], [len(texts[i]) for i in keep], [hashlib.sha256(edited[i].encode()).hexdigest() for i in keep], [own[i] for i in keep], [other[i] for i in keep],
-            [likeness(own[i], other[i]) for i in keep], [likeness(own[i], own[i + 1]) for i in keep],
-            [verified(texts[i], edited[i], own[i], other[i]) for i in keep], [verified(texts[i], texts[i + 1], own[i], own[i + 1]) for i in keep],
+            [_alike(mine[i], cut[i]) for i in keep], [_alike(mine[i], mine[i + 1]) for i in keep],
+            [verified(texts[i], edited[i], mine[i], cut[i]) for i in keep], [verified(texts[i], texts[i + 1], mine[i], mine[i + 1]) for i in keep],
         )
 
     kind = df.select(id_col).schema[0].dataType
