@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 def byte_table() -> list[str]:
@@ -36,11 +36,11 @@ def as_bytes(ids: list[int]) -> bytes:
 class Pieces(dict):
     """Ids of pieces of text as bytes of little-endian unsigned 32-bit numbers, computed when first asked for."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, most: int = REMEMBERED):
+        self.encode, self.most = encode, most
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         ids = self.encode(piece)
         if len(piece) <= 64:

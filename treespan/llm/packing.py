@@ -22,6 +22,8 @@ END = 2
 #: Pieces shorter than a window that are packed together; the number of such shards follows the number of pieces. Each
 #: leaves about one window half empty, beside what no piece fits.
 SHARD = 4096
+#: Words, and parts of them, that a worker remembers: fewer than where nothing else runs beside it, as stages follow this.
+REMEMBERED = 300_000
 
 _UNSURE = re.compile("[\x1c-\x1f]")
 #: Letters that have one form in lower case and are their own normal form, then ASCII signs other than the apostrophe.
@@ -39,8 +41,8 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.model, self.byte = self.library.model, byte_table()
-        self.parts = Pieces(self._part)
-        self.words = Pieces(self._word)
+        self.parts = Pieces(self._part, REMEMBERED)
+        self.words = Pieces(self._word, REMEMBERED)
 
     def _part(self, part: str) -> bytes:
         """One match of the vocabulary's pattern, given in lower case."""
