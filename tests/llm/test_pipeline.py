@@ -5,6 +5,8 @@ import re
 import zlib
 
 import corpus_pipeline as pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +173,93 @@ def test_stage_at_exactly_its_similarity(spark):
     assert {r.doc_id for r in kept.collect()} == set(want)
 
 
+def test_sketches_rule_out_only_what_cannot_be_similar():
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for n in [1, 2, 5, 63, 64, 65, 129, 700, 5000] * 20:
+        both, more = int(rng.integers(0, n + 1)), int(rng.integers(0, n + 1))
+        hashes = rng.integers(0, 1 << 63, n + more, np.uint64)
+        x, y = np.unique(hashes[:n]), np.unique(hashes[n - both :])
+        apart = len(np.setxor1d(x, y))
+        least = simhash.at_least_apart(simhash.sketch_of(x), simhash.sketch_of(y))
+        assert least == simhash.at_least_apart(simhash.sketch_of(y), simhash.sketch_of(x)) <= apart
+        ruled_out += 5 * len(np.intersect1d(x, y)) < 4 * len(np.union1d(x, y)) and 9 * least > len(x) + len(y)
+    assert ruled_out > 60
+    assert simhash.at_least_apart(simhash.sketch_of(np.zeros(0, np.uint64)), simhash.sketch_of(np.zeros(0, np.uint64))) == 0
+
+
+def test_told_keys(spark):
+    df = spark.range(-300, 300).withColumnRenamed("id", "key").withColumn("x", F.col("key") * 2)
+    asked = {k for k in range(-300, 300) if k % 7 == 0}
+    keys = spark.createDataFrame([(k,) for k in sorted(asked)] * 2, "key long")
+    having, rest = ([(r.key, r.x) for r in simhash._told(df, keys, among).collect()] for among in (True, False))
+    assert asked <= {k for k, _ in having} and not asked & {k for k, _ in rest}
+    assert sorted(having + rest) == [(k, 2 * k) for k in range(-300, 300)]
+    assert simhash._told(df, keys.limit(0), False).count() == 600
+
+
+def test_unlike_texts_that_meet_are_not_moved(spark, monkeypatch):
+    """Texts of a passage in common are pairs that meet; only those that may be similar are read to be judged."""
+    rng = random.Random(12)
+    texts = [" ".join([f"p{k // 4}x{i}" for i in range(14)] + [f"u{rng.randrange(1 << 40)}" for _ in range(60)]) for k in range(240)]
+    texts += [" ".join(edited(rng, texts[k].split(), 0.02)) for k in range(0, 20, 2)]
+    met, judged, unmet, verified = [], [], simhash.unmet, simhash._verified
+    monkeypatch.setattr(simhash, "unmet", lambda *a: met.append(unmet(*a)) or met[-1])
+    monkeypatch.setattr(simhash, "_verified", lambda docs, pairs, size: judged.append((len(met) and met[-1].count(), pairs.count())) or verified(docs, pairs, size))
+    monkeypatch.setattr(simhash, "discard", lambda *tables: None)
+    assert grouped_of(spark, texts) == components_of(texts)
+    assert judged[-1][0] > 100 and judged[-1][1] < 20
+
+
+def test_one_text_of_many_pairs_is_judged_in_parts(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:-1] + [f"x{k}"] if k % 3 else [f"y{k}x{i}" for i in range(60)]) for k in range(400)] + [" ".join(words)]
+    docs = materialize(spark.createDataFrame(list(enumerate(texts)), "key long, text string"))
+    pairs = materialize(spark.createDataFrame([(400, b) for b in range(400)] + [(399, 1), (2, 0), (2, 1)], "a long, b long"))
+    alike = {(400, b) for b in range(400) if b % 3} | {(2, 1)}
+    assert {(r.a, r.b) for r in simhash._verified(docs, pairs, 5).collect()} == alike
+
+    def sizes(size):
+        def run(parts):
+            n = sum(p.num_rows for p in parts)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([0])], names=["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(simhash, "_alike", sizes)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "100"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert max(r.a for r in simhash._verified(docs, pairs, 5).collect()) < 250
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_texts_are_not_dealt_to_their_groups(spark, monkeypatch):
+    docs = materialize(spark.createDataFrame([(k, f"a b c d e f g h i j k l m {k // 2}") for k in range(40)], "key long, text string"))
+    groups = materialize(spark.createDataFrame([(k, k - k % 4) for k in range(0, 40, 2)], "key long, group long"))
+    plans, real = [], simhash.materialize
+
+    def seen(df, **more):
+        plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return real(df, **more)
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    try:
+        spark.conf.set(threshold, "-1")
+        got = {(r.a, r.b) for r in simhash.unmet(docs, groups, 5).collect()}
+    finally:
+        spark.conf.set(threshold, before)
+    assert got == {(a, b) for a in range(0, 40, 2) for b in range(0, a, 2) if a // 4 != b // 4}
+    dealt = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plans[-1])
+    assert dealt and not [x for x in dealt if "text#" in x]
+
+
 @pytest.mark.parametrize("plan", ["repartition", "distinct", "join"])
 def test_any_plan_before(spark, plan):
     """Half of the rows are copies: whatever plan they come from and however AQE deals it, the other half stays."""

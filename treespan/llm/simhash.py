@@ -229,8 +229,10 @@ COUNTED = 16
 MOST_COMMON = 250_000
 PAIRS_AT_ONCE = 1 << 18
 TEXTS_AT_ONCE = 256
-#: Hashes of keys that are told to all tasks at most.
-ASKED_CODES = 1 << 21
+#: Texts that are judged against one in one go, about; more are dealt out in parts, each with that text.
+JUDGED = 64
+#: Hashes that keys are told by to all tasks, 64 of them a row.
+CODES = 1 << 24
 
 
 def _bits(shard: int) -> np.ndarray:
@@ -294,7 +296,7 @@ def shingles_of(text: str | None, size: int) -> np.ndarray:
 
 
 def _alike(size: int):
-    """Over rows (a, b, text), those of equal a together and a's own text, of null b, before them: the pairs (a, b) whose texts have a Jaccard similarity of SIMILARITY or more."""
+    """Over rows (a, b, text), those of equal a and part together and a's own text, of null b, before them: the pairs (a, b) whose texts have a Jaccard similarity of SIMILARITY or more."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.zeros(0, np.uint64)
@@ -314,20 +316,29 @@ def _alike(size: int):
     return run
 
 
+def _told(df: DataFrame, keys: DataFrame, among: bool) -> DataFrame:
+    """The rows of `df` whose key has the hash of one of `keys`, or those whose key hasn't. Nothing of `df` is shuffled."""
+    code = F.pmod(F.xxhash64("key"), F.lit(CODES))
+    coded = lambda x: x.withColumns({"word": F.shiftright(code, 6), "bit": code.bitwiseAND(F.lit(63)).cast("int")})
+    words = F.broadcast(coded(keys).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("said")))
+    has = F.coalesce(F.getbit("said", F.col("bit")) == 1, F.lit(False))
+    return coded(df).join(words, "word", "left").where(has if among else ~has).drop("word", "bit", "said")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) of keys whose texts are similar; `pairs` is a written table."""
-    # where each text goes: to its own key if that has pairs to judge, and to every a that it is the b of
-    asked = pairs.select(F.col("a").alias("key"), "a", F.lit(None).cast("long").alias("b")).distinct().union(pairs.select(F.col("b").alias("key"), "a", "b"))
+    many = pairs.groupBy("a").count().where(F.col("count") > JUDGED)
+    parted = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / JUDGED)), F.lit(0)).alias("part"))
+    # where each text goes: to the parts of its own key if that has pairs to judge, and to every a that it is the b of
+    asked = parted.select(F.col("a").alias("key"), "a", F.lit(None).cast("long").alias("b"), "part").distinct().union(parted.select(F.col("b").alias("key"), "a", "b", "part"))
     # few texts are asked for: most others go by a hash of their key before the shuffle
-    code = F.pmod(F.xxhash64("key"), F.lit(ASKED_CODES)).alias("code")
-    codes = F.broadcast(asked.select(code).distinct())
-    likely = docs.withColumn("code", code).join(codes, "code", "left_semi").drop("code")
-    rows = likely.join(asked, "key").select("a", "b", "text").repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    rows = _told(docs, asked.select("key"), True).join(asked, "key").select("a", "part", "b", "text")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).select("a", "b", "text")
     return materialize(rows.mapInArrow(_alike(size), "a long, b long"))
 
 
-def _postings(size: int, common: np.ndarray):
-    """Over rows (key, group, text): a row for each shingle of the prefix of each text.
+def _prefixes(size: int, common: np.ndarray):
+    """Over rows (key, text): the prefix of each text that has shingles, in order, and how many it has in all.
 
     Shingles of a text are in one order for all texts: `common` ones last, as they come there, others by their hash.
     """
@@ -344,14 +355,10 @@ def _postings(size: int, common: np.ndarray):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     rank = np.where(known[at] == own, by[at] + 1, 0)
                 own = own[np.lexsort((own, rank))]
-                made.append((own[: len(own) - -(-NUM * len(own) // DEN) + 1], len(own)))
-            count = np.array([len(x) for x, _ in made], np.int64)
-            if not count.sum():
-                continue
-            at = pa.array(np.repeat(np.arange(len(made)), count))
-            place = np.concatenate([np.int64(n) << 32 | np.arange(len(x), dtype=np.int64) for x, n in made])
-            shingle = np.concatenate([x for x, _ in made]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shingle), b.column("group").take(at), b.column("key").take(at), pa.array(place)], names=["shingle", "group", "key", "place"])
+                made.append((own[: len(own) - -(-NUM * len(own) // DEN) + 1].view(np.int64), len(own)))
+            some = pa.array([n > 0 for _, n in made], pa.bool_())
+            cols = [b.column("key"), pa.array([x for x, _ in made], pa.list_(pa.int64())), pa.array([n for _, n in made], pa.int64())]
+            yield pa.RecordBatch.from_arrays([c.filter(some) for c in cols], names=["key", "prefix", "n"])
 
     return run
 
@@ -414,25 +421,63 @@ def unmet(docs: DataFrame, groups: DataFrame, size: int) -> DataFrame:
 
     `docs` has key and text, `groups` has key and group of those that count. Where two sets of m and n shingles are
     similar, they share 0.8 / 1.8 * (m + n); so, with the shingles of both in the same order, the first that they
-    share has as many from there to the end of either. Only the first fifth of a set can hold it.
+    share has as many from there to the end of either. Only the first fifth of a set can hold it. Those fifths, not the
+    texts, go to their groups, and only where the group isn't the key.
     """
-    rows = docs.join(groups, "key").select("key", "group", "text")
-    postings = rows.mapInArrow(_postings(size, _common(docs, size)), "shingle long, group long, key long, place long")
+    run = _prefixes(size, _common(docs, size))
+    others = docs.select("key").join(groups.where("group = key"), "key", "left_anti")
+    prefixes = lambda among: _told(docs.select("key", "text"), others, among).mapInArrow(run, "key long, prefix array<long>, n long")
+    grouped = prefixes(False).withColumn("group", F.col("key")).unionByName(prefixes(True).join(groups, "key"))
+    postings = grouped.select("group", "key", "n", F.posexplode("prefix").alias("at", "shingle"))
+    postings = postings.select("shingle", "group", "key", F.shiftleft("n", 32).bitwiseOR(F.col("at")).alias("place"))
     met = postings.repartition("shingle").sortWithinPartitions("shingle", "group", "key").mapInArrow(_meeting, "a long, b long")
     return materialize(met.distinct())
 
 
+def sketch_of(own: np.ndarray) -> bytes:
+    """A bit for each place that a hash's low bits name: whether an odd number of a set's hashes lie there. As many places as hashes or up to twice that, 64 at least."""
+    n = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    odd = np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def at_least_apart(x: bytes, y: bytes) -> int:
+    """How many hashes at least are in one only of two sets, of their sketches: each such hash changes one place. Halves laid over each other are the sketch of half as many places."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near_enough(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (a, b, m, x, n, y): the pairs whose sets, of m and n shingles and sketches x and y, can be similar."""
+    for p in parts:
+        rows = zip(*(p.column(c).to_pylist() for c in ("m", "x", "n", "y")))
+        keep = pa.array([at_least_apart(x, y) <= m + n - 2 * -(-NUM * (m + n) // (NUM + DEN)) for m, x, n, y in rows], pa.bool_())
+        yield pa.RecordBatch.from_arrays([p.column("a").filter(keep), p.column("b").filter(keep)], names=["a", "b"])
+
+
+def possible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) but those that the sketches of `marked` rule out; no similar pair is lost."""
+    of = lambda key, n, sketch: marked.select(F.col("key").alias(key), F.col("n").alias(n), F.col("sketch").alias(sketch))
+    both = pairs.join(of("a", "m", "x"), "a").join(of("b", "n", "y"), "b").select("a", "b", "m", "x", "n", "y")
+    return materialize(both.mapInArrow(_near_enough, "a long, b long"), few_files=True)
+
+
 def _marked(docs: DataFrame, size: int) -> DataFrame:
-    """(key, same, fingerprint): 128 bits that stand for the set of shingles, and the fingerprint of that set."""
+    """(key, same, fingerprint, n, sketch): 128 bits that stand for the set of shingles, and the fingerprint, number and sketch of that set."""
     import xxhash
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             sets = [shingles_of(t, size) for t in b.column("text").to_pylist()]
             same = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(same, pa.binary()), pa.array([_majority(s, WORDS) for s in sets], pa.binary())], names=["key", "same", "fingerprint"])
+            cols = [pa.array(same, pa.binary()), pa.array([_majority(s, WORDS) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *cols], names=["key", "same", "fingerprint", "n", "sketch"])
 
-    return materialize(docs.select("key", "text").mapInArrow(run, "key long, same binary, fingerprint binary"))
+    return materialize(docs.select("key", "text").mapInArrow(run, "key long, same binary, fingerprint binary, n long, sketch binary"))
 
 
 def similar(df: DataFrame, key_col: str, text_col: str = "text", size: int = 5) -> DataFrame:
@@ -458,7 +503,9 @@ def _similar_groups(docs: DataFrame, size: int) -> DataFrame:
     discard(asked)
     found = components(links).select(F.col("node").alias("key"), "root")
     groups = materialize(values.select("same", "key").join(found, "key", "left").select("same", "key", F.coalesce("root", "key").alias("group")), few_files=True)
-    pairs = unmet(docs, groups.select("key", "group"), size)
+    met = unmet(docs, groups.select("key", "group"), size)
+    pairs = possible(met, marked)
+    discard(met)
     missing = _verified(docs, pairs, size)
     discard(pairs)
     # only links between groups are left to follow
