@@ -93,8 +93,8 @@ def _close(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tree_of(spark, sf_dir)
     g = t.with_geometry(t.leaves().where("nb > 0"))
     centres = g.select(F.col("key").alias("body_id"), *(F.col(f"c{x}").alias(x) for x in AX))
-    # a grid join; a leaf is close to itself, too
-    near = periodic.pairs_within(centres, centres, 0.2).select(F.col("body_id").alias("i"), F.col("other").alias("j"))
+    # a leaf is close to itself, too
+    near = periodic.pairs_within(centres, centres, 0.2, want=("body_id", "other")).select(F.col("body_id").alias("i"), F.col("other").alias("j"))
     return near.union(centres.select(F.col("body_id").alias("i"), F.col("body_id").alias("j")))
 
 
