@@ -26,8 +26,8 @@ def read_values(spark: SparkSession, path: str, columns: list[str], skip: int =
 
 
 def dump_xyz(df: DataFrame, path: str, append: bool = False) -> None:
-    """Lines of coordinates in scientific notation."""
-    df.select(F.format_string("%.6e %.6e %.6e", "x", "y", "z").alias("value")).write.mode("append" if append else "overwrite").text(path)
+    """Lines of coordinates in scientific notation, with all digits: what is read back is what was written."""
+    df.select(F.format_string("%.16e %.16e %.16e", "x", "y", "z").alias("value")).write.mode("append" if append else "overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
